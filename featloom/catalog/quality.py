@@ -190,5 +190,6 @@ CAST(SUM(a) AS BIGINT) AS n_current FROM s GROUP BY w HAVING SUM(a) >= 300""")
 def drift_hourly(t: Tables) -> DataFrame:
     rows = t.events().select("ts", "value")
     cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    return drift.hourly_psi(rows.filter(cut), rows.filter(~cut), "value", "ts", min_samples=300).withColumn(
+    known = drift.fit_baseline(rows.filter(cut), "value")
+    return drift.hourly_psi(known, rows.filter(~cut), "ts", min_samples=300).withColumn(
         "score", F.round("score", 6))

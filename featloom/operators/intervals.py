@@ -22,16 +22,15 @@ def time_slice(moment: Column, seconds: int) -> Column:
 
 def with_next(df: DataFrame, keys: Sequence[str], moment: str, out: str = "valid_to",
               tiebreak: Sequence[str] = (), slice_seconds: int = HOUR) -> DataFrame:
-    """`df` with the `moment` of the following row of the same key, NULL for the last row."""
+    """`df` with the `moment` of the following row of the same key, NULL for the last row.
+
+    `moment` must not be NULL.
+    """
     sliced = df.withColumn("_slice", time_slice(F.col(moment), slice_seconds))
     inside = Window.partitionBy(*keys, "_slice").orderBy(moment, *tiebreak)
-    whole = Window.partitionBy(*keys, "_slice")
-    marked = (sliced
-              .withColumn(out, F.lead(moment).over(inside))
-              .withColumn("_n", F.row_number().over(inside))
-              .withColumn("_first", F.min(moment).over(whole))
-              .withColumn("_size", F.count(F.lit(1)).over(whole)))
-    is_last = F.col("_n") == F.col("_size")
+    marked = sliced.select("*", F.lead(moment).over(inside).alias(out),
+                           F.first(moment).over(inside).alias("_first"))
+    is_last = F.col(out).isNull()
     across = Window.partitionBy(*keys).orderBy("_slice")
     borders = marked.filter(is_last).withColumn(out, F.lead("_first").over(across))
     return (marked.filter(~is_last).unionByName(borders)

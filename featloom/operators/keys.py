@@ -29,12 +29,8 @@ def dense_keys(df: DataFrame, natural_key: str, out: str, start: int = 0) -> Dat
 def extend_dimension(existing: DataFrame, incoming: DataFrame, natural_key: str, key: str) -> DataFrame:
     """`existing` plus new members; members already known keep their key."""
     fresh = incoming.join(existing.select(natural_key), natural_key, "left_anti")
-    numbered = dense_keys(fresh, natural_key, key)
-    # a single row: the greatest key so far
-    top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    shifted = (numbered.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one")
-               .withColumn(key, F.col(key) + F.col("_top")))
-    return existing.unionByName(shifted.select(*existing.columns))
+    top = existing.agg(F.max(key)).first()[0] or 0  # one number
+    return existing.unionByName(dense_keys(fresh, natural_key, key, top).select(*existing.columns))
 
 
 def lookup(facts: DataFrame, dimension: DataFrame, natural_key: str, key: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom.functions.values import is_present
 
-EVEN_CHUNKS = 1024
-STEPS_PER_OCTAVE = 32
+STEPS_PER_OCTAVE = 1 << 16
+SMALLEST_OCTAVE = -64
 
 
 def tall(df: DataFrame, columns: Sequence[str], name: str = "feature", value: str = "v",
@@ -32,30 +32,21 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str,
     return df.groupBy(*group, value).agg(*[F.sum(m).alias(n) for n, m in measures.items()])
 
 
-def _chunk(value: Column, low: Column, high: Column) -> Column:
+def _chunk(value: Column) -> Column:
     """A chunk number that never falls as the value rises.
 
-    Two rising scales are combined: even steps over [low, high] and logarithmic steps
-    over the distance from `low`. The first divides spread-out data, the second data
-    with most of its values close to one end.
+    Steps are logarithmic and narrow (about a hundred-thousandth of the value), so data
+    bunched around any magnitude is divided, and values need no known range.
     """
-    offset = value - low
-    even = F.least(F.floor(F.try_divide(offset, high - low) * EVEN_CHUNKS), F.lit(EVEN_CHUNKS - 1))
-    logs = F.floor(F.log2(offset + F.lit(1e-6)) * STEPS_PER_OCTAVE)
-    return (F.coalesce(even, F.lit(0)) * F.lit(1 << 20) + logs + F.lit(1 << 18)).cast("bigint")
+    octaves = F.log2(F.greatest(F.abs(value), F.lit(2.0 ** SMALLEST_OCTAVE))) - SMALLEST_OCTAVE
+    steps = F.floor(octaves * STEPS_PER_OCTAVE).cast("bigint")
+    return F.when(value < 0, -steps).otherwise(steps)
 
 
 def running_totals(counts: DataFrame, group: Sequence[str], value: str,
                    measures: Sequence[str]) -> DataFrame:
-    """`counts` with `cum_<m>` (sum up to and with the value) and `all_<m>` per group.
-
-    `group` names the profiled columns or drift features, which a configuration lists.
-    """
-    span = counts.groupBy(*group).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    # one row per configured feature, so the broadcast side does not grow with the data
-    chunked = (counts.join(F.broadcast(span), list(group))
-               .withColumn("_chunk", _chunk(F.col(value), F.col("_low"), F.col("_high")))
-               .drop("_low", "_high"))
+    """`counts` with `cum_<m>` (sum up to and with the value) and `all_<m>` per group."""
+    chunked = counts.withColumn("_chunk", _chunk(F.col(value)))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     entire = Window.partitionBy(*group)
     per_chunk = chunked.groupBy(*group, "_chunk").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
@@ -76,15 +67,17 @@ def _at_rank(rank: Column, cum: str, count: str) -> Column:
     return (F.col(cum) >= rank) & (F.col(cum) - F.col(count) < rank)
 
 
-def discrete_quantiles(totals: DataFrame, group: Sequence[str], value: str, measure: str,
-                       probabilities: Sequence[float]) -> DataFrame:
-    """Exact quantiles as an ascending array `edges`: the smallest value that reaches each share."""
+def discrete_quantiles(value: str, measure: str, probabilities: Sequence[float]) -> Column:
+    """An aggregate over `running_totals`: an ascending array of exact quantiles.
+
+    Each is the smallest value that reaches its share of the group.
+    """
     n = F.col(f"all_{measure}")
     picks = []
     for p in probabilities:
         rank = F.greatest(F.lit(1), n - F.floor(n - n * F.lit(p)))
         picks.append(F.max(F.when(_at_rank(rank, f"cum_{measure}", measure), F.col(value))))
-    return totals.groupBy(*group).agg(F.array(*picks).alias("edges"))
+    return F.array(*picks)
 
 
 def interpolated_quantile(value: str, measure: str, probability: float, out: str) -> Column:

@@ -99,18 +99,18 @@ def customer_product_features(customers: DataFrame, products: DataFrame, purchas
                               lookback_days: int = 90) -> DataFrame:
     """Purchase features per customer and product, within the lookback only.
 
-    Customers and products have unique ids, so joining them only asks for existence;
-    that is done after the aggregation, on one row per pair.
+    Customers and products have unique ids, so joining them only asks for existence:
+    customers of the recent purchases, products of the aggregated pairs.
     """
     since = instant_like(purchases, "created_at", as_of) - interval(lookback_days, "day")
     recent = (purchases.filter(F.col("created_at") >= since)
-              .select("purchase_id", "customer_id", "created_at"))
+              .select("purchase_id", "customer_id", "created_at")
+              .join(customers.select("customer_id"), "customer_id", "left_semi"))
     pairs = (purchase_items.join(recent, "purchase_id")
              .groupBy("customer_id", "product_id")
              .agg(F.count("purchase_id").alias("_n"), F.sum("quantity").alias("_quantity"),
                   F.max("created_at").alias("_last")))
-    known = (pairs.join(customers.select("customer_id"), "customer_id", "left_semi")
-             .join(products.select("product_id"), "product_id", "left_semi"))
+    known = pairs.join(products.select("product_id"), "product_id", "left_semi")
     d = f"{lookback_days}d"
     return known.select(
         joined(F.col("customer_id"), F.col("product_id")).alias("entity_id"),

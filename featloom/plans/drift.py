@@ -53,52 +53,78 @@ def numeric_counts(sides: DataFrame, features: Sequence[str]) -> DataFrame:
     return ranks.value_counts(long, ["feature"], "v", _side_counts())
 
 
-def baseline_edges(counts: DataFrame, bins: int = BINS) -> DataFrame:
-    """(feature, edges): exact inner quantiles of the baseline, one row per feature."""
-    seen = counts.filter(F.col("expected") > 0).select("feature", "v", "expected")
-    totals = ranks.running_totals(seen, ["feature"], "v", ["expected"])
-    return ranks.discrete_quantiles(totals, ["feature"], "v", "expected",
-                                    [i / bins for i in range(1, bins)])
-
-
 def bucket_of(value: Column, edges: Column) -> Column:
     """How many edges lie below the value."""
     return F.size(F.filter(edges, lambda e: value > e))
 
 
-def psi_from_buckets(buckets: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
+def _psi_term(expected: Column, actual: Column) -> Column:
+    floor = F.lit(SHARE_FLOOR)
+    e, a = F.greatest(expected, floor), F.greatest(actual, floor)
+    return (a - e) * F.log(a / e)
+
+
+def psi_from_buckets(buckets: DataFrame, keys: Sequence[str], bucket: str,
+                     carry: dict[str, Column] | None = None) -> DataFrame:
     """PSI and sample sizes per `keys` from `expected` and `actual` counts per bucket."""
     total = Window.partitionBy(*keys)
-    share = lambda c: F.greatest(ratio(F.col(c), F.sum(c).over(total)), F.lit(SHARE_FLOOR))
+    share = lambda c: ratio(F.col(c), F.sum(c).over(total))
+    carry = carry or {}
     shares = (buckets.groupBy(*keys, bucket)
-              .agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
-              .select(*keys, "expected", "actual", share("expected").alias("_e"), share("actual").alias("_a")))
-    term = (F.col("_a") - F.col("_e")) * F.log(F.col("_a") / F.col("_e"))
-    return shares.groupBy(*keys).agg(F.sum(term).alias("score"), F.sum("expected").alias("n_baseline"),
-                                     F.sum("actual").alias("n_current"))
+              .agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"),
+                   *[c.alias(n) for n, c in carry.items()])
+              .select(*keys, "expected", "actual", *carry, _psi_term(share("expected"), share("actual")).alias("_t")))
+    return shares.groupBy(*keys).agg(F.sum("_t").alias("psi"), F.sum("expected").alias("n_baseline"),
+                                     F.sum("actual").alias("n_current"),
+                                     *[F.max(n).alias(n) for n in carry])
 
 
-def psi(sides: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-        bins: int = BINS) -> DataFrame:
-    """PSI per feature: numeric features by baseline quantiles, categorical ones by value."""
+def numeric_drift(sides: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
+    """PSI over baseline quantiles and KS per numeric feature.
+
+    Both are read off one frame of value counts: running totals give the KS distance
+    and the exact inner quantiles of the baseline, which then bucket the same counts.
+    """
+    counts = numeric_counts(sides, features)
+    totals = ranks.running_totals(counts, ["feature"], "v", ["expected", "actual"])
+    gap = F.abs(ratio(F.col("cum_expected"), F.col("all_expected"))
+                - ratio(F.col("cum_actual"), F.col("all_actual")))
+    edges = ranks.discrete_quantiles("v", "expected", [i / bins for i in range(1, bins)])
+    per_feature = totals.groupBy("feature").agg(F.max(gap).alias("ks"), edges.alias("edges"))
+    # one short row per configured feature
+    placed = counts.join(F.broadcast(per_feature), "feature").withColumn(
+        "bucket", bucket_of(F.col("v"), F.col("edges")))
+    return psi_from_buckets(placed, ["feature"], "bucket", {"ks": F.max("ks")})
+
+
+def categorical_drift(sides: DataFrame, features: Sequence[str]) -> DataFrame:
+    """PSI per categorical feature, one bucket per value."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bucket"))
+                      for c in features])
+    long = sides.select("is_current", F.inline(cells)).filter(F.col("bucket").isNotNull())
+    counts = long.groupBy("feature", "bucket").agg(*[F.sum(m).alias(n) for n, m in _side_counts().items()])
+    return psi_from_buckets(counts, ["feature"], "bucket").withColumn("ks", F.lit(None).cast("double"))
+
+
+def feature_drift(sides: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
+                  bins: int = BINS) -> DataFrame:
+    """(feature, psi, ks, n_baseline, n_current); KS is NULL for categorical features."""
+    columns = ["feature", "psi", "ks", "n_baseline", "n_current"]
     parts = []
     if numeric:
-        counts = numeric_counts(sides, numeric)
-        # one short array per configured feature
-        edges = F.broadcast(baseline_edges(counts, bins))
-        placed = counts.join(edges, "feature").withColumn(
-            "bucket", bucket_of(F.col("v"), F.col("edges")).cast("string"))
-        parts.append(placed.select("feature", "bucket", "expected", "actual"))
+        parts.append(numeric_drift(sides, numeric, bins).select(*columns))
     if categorical:
-        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bucket"))
-                          for c in categorical])
-        long = sides.select("is_current", F.inline(cells)).filter(F.col("bucket").isNotNull())
-        parts.append(long.groupBy("feature", "bucket").agg(
-            *[F.sum(m).alias(n) for n, m in _side_counts().items()]))
-    buckets = parts[0]
+        parts.append(categorical_drift(sides, categorical).select(*columns))
+    out = parts[0]
     for p in parts[1:]:
-        buckets = buckets.unionByName(p)
-    return psi_from_buckets(buckets, ["feature"], "bucket")
+        out = out.unionByName(p)
+    return out
+
+
+def psi(sides: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
+        bins: int = BINS) -> DataFrame:
+    return feature_drift(sides, numeric, categorical, bins).select(
+        "feature", F.col("psi").alias("score"), "n_baseline", "n_current")
 
 
 def ks(sides: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -114,22 +140,19 @@ def ks(sides: DataFrame, numeric: Sequence[str]) -> DataFrame:
 def report(sides: DataFrame, config: DriftConfig, min_samples: int = MIN_SAMPLES,
            bins: int = BINS) -> DataFrame:
     """One row per metric and feature with its verdict; too few samples give no verdict."""
-    parts = []
-    if config.psi_threshold is not None:
-        parts.append(psi(sides, config.numeric, config.categorical, bins)
-                     .withColumn("metric", F.lit("psi"))
-                     .withColumn("threshold", F.lit(config.psi_threshold)))
-    if config.ks_threshold is not None and config.numeric:
-        parts.append(ks(sides, config.numeric).withColumn("metric", F.lit("ks_test"))
-                     .withColumn("threshold", F.lit(config.ks_threshold)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(
-        F.lit(config.model).alias("model_name"),
-        F.concat(F.lit(METRIC_PREFIX + "_"), F.col("metric")).alias("metric"),
-        "feature", "score", "threshold", "n_baseline", "n_current",
-        F.when(F.col("n_current") >= min_samples, F.col("score") > F.col("threshold")).alias("is_drifted"))
+    metrics = {"psi": config.psi_threshold, "ks_test": config.ks_threshold}
+    rows = F.array(*[
+        F.struct(F.lit(f"{METRIC_PREFIX}_{name}").alias("metric"),
+                 F.col("psi" if name == "psi" else "ks").alias("score"),
+                 F.lit(float(threshold)).alias("threshold"))
+        for name, threshold in metrics.items() if threshold is not None])
+    drifted = feature_drift(sides, config.numeric, config.categorical, bins)
+    return (drifted.select("feature", "n_baseline", "n_current", F.inline(rows))
+            .filter(F.col("score").isNotNull())
+            .select(F.lit(config.model).alias("model_name"), "metric", "feature", "score", "threshold",
+                    "n_baseline", "n_current",
+                    F.when(F.col("n_current") >= min_samples, F.col("score") > F.col("threshold"))
+                    .alias("is_drifted")))
 
 
 def current_window(log: DataFrame, moment: str, as_of: Instant = None, hours: int = WINDOW_HOURS) -> DataFrame:
@@ -137,31 +160,62 @@ def current_window(log: DataFrame, moment: str, as_of: Instant = None, hours: in
     return log.filter((F.col(moment) > now - interval(hours, "hour")) & (F.col(moment) <= now))
 
 
-def hourly_psi(baseline: DataFrame, log: DataFrame, feature: str, moment: str,
-               hours: int = WINDOW_HOURS, check_minutes: int = CHECK_MINUTES,
-               min_samples: int = MIN_SAMPLES, bins: int = BINS) -> DataFrame:
-    """PSI of one feature in sliding windows with enough samples.
+@dataclass(frozen=True)
+class Baseline:
+    """What a numeric feature's baseline looked like: inner edges and rows per bucket."""
+    feature: str
+    edges: tuple[float, ...]
+    counts: tuple[int, ...]
+
+
+def fit_baseline(baseline: DataFrame, feature: str, bins: int = BINS) -> Baseline:
+    """Reduce a baseline to `bins` counts, once; later checks need no baseline rows.
+
+    Only the edges and counts come to the driver.
+    """
+    counts = ranks.value_counts(ranks.tall(baseline, [feature]), ["feature"], "v", {"n": F.lit(1)})
+    totals = ranks.running_totals(counts, ["feature"], "v", ["n"])
+    row = totals.agg(ranks.discrete_quantiles("v", "n", [i / bins for i in range(1, bins)]).alias("edges")).first()
+    edges = tuple(row["edges"])
+    inside = _literal_bucket(F.col(feature).cast("double"), edges)
+    found = baseline.filter(F.col(feature).isNotNull()).agg(
+        *[F.count_if(inside == i).alias(f"b{i}") for i in range(bins)]).first()
+    return Baseline(feature, edges, tuple(found))
+
+
+def _literal_bucket(value: Column, edges: Sequence[float]) -> Column:
+    out = None
+    for i, e in enumerate(edges):
+        out = F.when(value <= e, i) if out is None else out.when(value <= e, i)
+    return out.otherwise(len(edges))
+
+
+def hourly_psi(baseline: Baseline, log: DataFrame, moment: str, hours: int = WINDOW_HOURS,
+               check_minutes: int = CHECK_MINUTES, min_samples: int = MIN_SAMPLES) -> DataFrame:
+    """PSI of a feature in sliding windows with enough samples; works on streams too.
 
-    The log is counted per check interval and bucket first; windows add up those
-    counts, so rows are never copied once per window they belong to.
+    On static frames the log is counted per check interval first and windows add up
+    those counts, so rows are not copied once per window they belong to.
     """
-    counts = (baseline.select(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("v"))
-              .groupBy("feature", "v").agg(F.count(F.lit(1)).alias("expected")))
-    edges = F.broadcast(baseline_edges(counts.filter(F.col("v").isNotNull()), bins))
-    bucket = bucket_of(F.col("v"), F.col("edges")).alias("bucket")
-    expected = (counts.filter(F.col("v").isNotNull()).join(edges, "feature")
-                .groupBy(bucket).agg(F.sum("expected").alias("expected")))
-    step = f"{check_minutes} minutes"
-    panes = (log.select(F.lit(feature).alias("feature"), F.col(feature).cast("double").alias("v"),
-                        F.window(moment, step)["start"].alias("pane"))
-             .filter(F.col("v").isNotNull()).join(edges, "feature")
-             .groupBy("pane", bucket).agg(F.count(F.lit(1)).alias("actual")))
-    actual = (panes.groupBy(F.window("pane", f"{hours} hours", step).alias("window"), "bucket")
-              .agg(F.sum("actual").alias("actual")))
-    # a bucket table of `bins` rows, laid out once per window
-    windows = actual.select("window").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    grid = (windows.join(F.broadcast(expected), "bucket", "left").join(actual, ["window", "bucket"], "left")
-            .na.fill(0, ["expected", "actual"]))
-    return (psi_from_buckets(grid, ["window"], "bucket").filter(F.col("n_current") >= min_samples)
-            .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                    "score", "n_current"))
+    names = [f"b{i}" for i in range(len(baseline.counts))]
+    bucket = _literal_bucket(F.col(baseline.feature).cast("double"), baseline.edges)
+    step, width = f"{check_minutes} minutes", f"{hours} hours"
+    seen = log.filter(F.col(baseline.feature).isNotNull())
+    hits = {n: F.count_if(bucket == i) for i, n in enumerate(names)}
+    if log.isStreaming:
+        wide = seen.groupBy(F.window(moment, width, step).alias("window")).agg(
+            *[h.alias(n) for n, h in hits.items()])
+    else:
+        panes = (seen.groupBy(F.window(moment, step).alias("_w")).agg(*[h.alias(n) for n, h in hits.items()])
+                 .withColumn("pane", F.col("_w.start")))
+        wide = panes.groupBy(F.window("pane", width, step).alias("window")).agg(
+            *[F.sum(n).alias(n) for n in names])
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    known = float(sum(baseline.counts))
+    score = None
+    for n, count in zip(names, baseline.counts):
+        term = _psi_term(F.lit(count / known), ratio(F.col(n), total))
+        score = term if score is None else score + term
+    return (wide.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
+                        score.alias("score"), total.alias("n_current"))
+            .filter(F.col("n_current") >= min_samples))

@@ -4,62 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom.functions.values import ratio
 from featloom.operators import ranks
 
 
+def _per_column(df: DataFrame, columns: Sequence[str], measures: dict) -> DataFrame:
+    """One row per column from one pass; `measures` maps names to functions of a double column."""
+    def seen(c: str) -> Column:
+        return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    aggs = [f(seen(c)).alias(f"{m}__{c}") for c in columns for m, f in measures.items()]
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col("_rows"),
+                     *[F.col(f"{m}__{c}").alias(m) for m in measures]) for c in columns]
+    return df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).select(F.inline(F.array(*rows)))
+
+
+BASIC = {"_n": F.count, "min": F.min, "max": F.max, "mean": F.avg, "stddev": F.stddev_samp}
+
+
+def _missing() -> Column:
+    return (ratio(F.col("_rows") - F.col("_n"), F.col("_rows")) * 100).alias("missing_percentage")
+
+
 def profile(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     """Exact min, max, mean, median, stddev, unique count, missing share and a histogram.
 
-    The rows are reduced once to distinct values with counts; everything but the missing
-    share is read off those. The histogram has `bins` equal steps between min and max.
+    One pass takes the plain aggregates. Another reduces the rows to distinct values with
+    counts, from which median, unique count and histogram are read. The histogram has
+    `bins` equal steps between min and max.
     """
+    basic = _per_column(df, columns, BASIC)
     counts = ranks.value_counts(ranks.tall(df, columns, "column_name"), ["column_name"], "v",
                                 {"n": F.lit(1)})
-    totals = ranks.running_totals(counts, ["column_name"], "v", ["n"])
     v, n = F.col("v"), F.col("n")
-    stats = totals.groupBy("column_name").agg(
-        F.min("v").alias("min"), F.max("v").alias("max"),
-        ratio(F.sum(v * n), F.sum("n")).alias("mean"),
-        ranks.interpolated_quantile("v", "n", 0.5, "median"),
-        F.count(F.lit(1)).alias("unique_count"))
-
+    # `basic` has one row per profiled column
+    span = F.broadcast(basic.select("column_name", "min", "max"))
+    totals = ranks.running_totals(counts, ["column_name"], "v", ["n"]).join(span, "column_name")
     width = (F.col("max") - F.col("min")) / bins
     step = F.coalesce(F.least(F.floor(F.try_divide(v - F.col("min"), width)), F.lit(bins - 1)), F.lit(0))
-    # `stats` has one row per profiled column
-    spread = (counts.join(F.broadcast(stats.select("column_name", "min", "max", "mean")), "column_name")
-              .groupBy("column_name").agg(
-                  F.sqrt(ratio(F.sum((v - F.col("mean")) * (v - F.col("mean")) * n), F.sum("n") - 1)).alias("stddev"),
-                  F.array(*[F.coalesce(F.sum(F.when(step == b, n)), F.lit(0))
-                            for b in range(bins)]).alias("histogram")))
-    return (missing_shares(df, columns).join(stats, "column_name", "left").join(spread, "column_name", "left")
-            .select("column_name", "min", "max", "mean", "median", "stddev",
-                    F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
-                    "missing_percentage", "histogram"))
-
-
-def missing_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Percentage of NULL or NaN values per column, in one pass."""
-    present = [F.count(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(c) for c in columns]
-    return df.agg(F.count(F.lit(1)).alias("_rows"), *present).select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"),
-                 (ratio(F.col("_rows") - F.col(c), F.col("_rows")) * 100).alias("missing_percentage"))
-        for c in columns])))
+    ordered = totals.groupBy("column_name").agg(
+        ranks.interpolated_quantile("v", "n", 0.5, "median"), F.count(F.lit(1)).alias("unique_count"),
+        F.array(*[F.coalesce(F.sum(F.when(step == b, n)), F.lit(0)) for b in range(bins)]).alias("histogram"))
+    return basic.join(ordered, "column_name", "left").select(
+        "column_name", "min", "max", "mean", "median", "stddev",
+        F.coalesce("unique_count", F.lit(0)).alias("unique_count"), _missing(), "histogram")
 
 
 def profile_approximate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same statistics from one pass with sketches instead of grouped values."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.avg(x).alias(f"mean_{c}"),
-                 F.percentile_approx(x, 0.5).alias(f"median_{c}"), F.stddev_samp(x).alias(f"stddev_{c}"),
-                 F.approx_count_distinct(c).alias(f"unique_{c}"), F.count(c).alias(f"n_{c}")]
-    return df.agg(F.count(F.lit(1)).alias("_rows"), *aggs).select(F.inline(F.array(*[F.struct(
-        F.lit(c).alias("column_name"), F.col(f"min_{c}").alias("min"), F.col(f"max_{c}").alias("max"),
-        F.col(f"mean_{c}").alias("mean"), F.col(f"median_{c}").alias("median"),
-        F.col(f"stddev_{c}").alias("stddev"), F.col(f"unique_{c}").alias("unique_count"),
-        (ratio(F.col("_rows") - F.col(f"n_{c}"), F.col("_rows")) * 100).alias("missing_percentage"))
-        for c in columns])))
+    """The same statistics, without histogram, from one pass with sketches."""
+    sketches = {"median": lambda x: F.percentile_approx(x, 0.5), "unique_count": F.approx_count_distinct}
+    return _per_column(df, columns, {**BASIC, **sketches}).select(
+        "column_name", "min", "max", "mean", "median", "stddev", "unique_count", _missing())
