@@ -221,11 +221,11 @@ def feature_run_totals(t: Tables) -> DataFrame:
     return totals[0].unionByName(totals[1])
 
 
-@query(f"SELECT * FROM {SQL_PURCHASES} WHERE created_at >= {NOW} - INTERVAL 90 DAY")
+@query(f"SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM {SQL_PURCHASES} WHERE created_at >= {NOW} - INTERVAL 90 DAY")
 def retention_purchases(t: Tables) -> DataFrame:
-    return latest.retain(t.purchases(), "created_at", 90, ORDERS_AS_OF)
+    return latest.retain(t.purchases(), "created_at", 90, ORDERS_AS_OF).withColumn("amount", F.col("amount").cast("double"))
 
 
-@query(f"SELECT * FROM {SQL_PURCHASES} ORDER BY purchase_id LIMIT 1000 OFFSET 1000")
+@query(f"SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM {SQL_PURCHASES} ORDER BY purchase_id LIMIT 1000 OFFSET 1000")
 def listing_page(t: Tables) -> DataFrame:
-    return latest.page(t.purchases(), ["purchase_id"], 1000, 1)
+    return latest.page(t.purchases().withColumn("amount", F.col("amount").cast("double")), ["purchase_id"], 1000, 1)

@@ -111,6 +111,12 @@ def without_zone(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+@query(f"""SELECT kafka_key AS key, CASE r WHEN 0 THEN 'raw-events' ELSE CASE WHEN is_valid THEN 'validated-events'
+ELSE 'invalid-events' END END AS topic FROM {SQL_PARSED}, range(2) t(r)""")
+def topic_outputs(t: Tables) -> DataFrame:
+    return E.topic_records(messages(t.events())).select("key", "topic")
+
+
 @query(SQL_BY_TYPE)
 def events_by_type(t: Tables) -> DataFrame:
     return E.counts_by(E.valid(_parsed(t)), "event_type")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from featloom.catalog.base import EVENTS_AS_OF, Tables, query
 from featloom.plans import drift, profile, quality as Q
+from featloom.session import scratch_dir
+from featloom.sources.tables import files
 
 SPLIT = "TIMESTAMP '2024-01-16'"
 
@@ -168,6 +170,18 @@ def ks_drift(t: Tables) -> DataFrame:
     return drift.ks(_sides(t), LIST).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT feature, ROUND(score, 6) AS score, n_baseline, n_current FROM ({SQL_KS}) WHERE feature = 'monthly_charges'")
+def csv_baseline_drift(t: Tables) -> DataFrame:
+    """A baseline kept as CSV files, compared with the current rows."""
+    rows = t.events().select("ts", F.col("value").alias("monthly_charges"))
+    cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    path = scratch_dir(t.spark, "baseline") + "/csv"
+    rows.filter(cut).select("monthly_charges").write.option("header", "true").csv(path)
+    baseline = files(t.spark, path, "csv", "monthly_charges double")
+    sides = drift.both_sides(baseline, rows.filter(~cut), ["monthly_charges"])
+    return drift.ks(sides, ["monthly_charges"]).withColumn("score", F.round("score", 6))
+
+
 @query(f"""SELECT 'customer_churn_model' AS model_name, metric, feature, ROUND(score, 6) AS score,
 CASE WHEN n_current >= 1000 THEN score > 0.15 END AS is_drifted FROM (
 SELECT 'model_drift_psi' AS metric, * FROM ({SQL_PSI}) UNION ALL SELECT 'model_drift_ks_test', * FROM ({SQL_KS}))""")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from featloom.catalog.base import SQL_LOG, Tables, query
 from featloom.functions.hashing import in_sample
 from featloom.plans import alerts as A, serving as V
+from featloom.sources.streams import predictions
 
 BOUNDS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0)
 
@@ -92,6 +93,20 @@ def prediction_values(t: Tables) -> DataFrame:
     return V.prediction_values(log, (10.0, 100.0))
 
 
+@query(f"""SELECT request_id, model_name, model_version, ts, CAST(user_id AS DOUBLE) AS tenure, prediction, error FROM {SQL_LOG}""")
+def prediction_topic(t: Tables) -> DataFrame:
+    """Predictions read back from the messages of a prediction topic."""
+    log = t.prediction_log()
+    body = F.struct("request_id", "model_name", "model_version",
+                    F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+                    F.struct(F.col("user_id").cast("double").alias("tenure")).alias("features"),
+                    "prediction", "latency_ms", "error")
+    messages = log.select(F.to_json(body).alias("value"))
+    got = predictions(messages, T.StructType([T.StructField("tenure", T.DoubleType())]))
+    return got.select("request_id", "model_name", "model_version", F.col("ts").cast("timestamp_ntz").alias("ts"),
+                      "features.tenure", "prediction", "error")
+
+
 @query(f"""SELECT model_name, COUNT(*) AS requests, COUNT(*) FILTER (error IS NULL) AS successes,
 CAST(COUNT(*) FILTER (error IS NULL) AS DOUBLE) / COUNT(*) * 100 AS success_rate,
 ROUND(AVG(latency_ms) FILTER (error IS NULL), 4) AS avg_latency_ms FROM {SQL_LOG} GROUP BY 1""")

@@ -189,6 +189,20 @@ def feature_history_entity(t: Tables) -> DataFrame:
     return S.read_history(history(t), ["event_type"], "customer", entity_id="7", limit=100)
 
 
+@query("""SELECT 'online' AS store, CAST(user_id AS VARCHAR) AS entity_id, feature_name, value FROM (
+SELECT user_id, 'amount' AS feature_name, CAST(value AS VARCHAR) AS value FROM events
+UNION ALL SELECT user_id, 'kind', event_type FROM events)
+UNION ALL SELECT 'history', CAST(user_id AS VARCHAR), event_type, CAST(value AS VARCHAR) FROM events""")
+def dual_write(t: Tables) -> DataFrame:
+    wide = t.events().select(F.col("user_id").alias("entity_id"), F.col("value").alias("amount"),
+                             F.col("event_type").alias("kind"))
+    on, past = S.write_both(wide, "customer", ttl_seconds=86_400, as_of=EVENTS_AS_OF)
+    told = past.select("entity_id", F.from_json("data", "amount double, kind string").alias("d"))
+    return on.select(F.lit("online").alias("store"), "entity_id", "feature_name", "value").unionByName(
+        told.select(F.lit("history").alias("store"), "entity_id", F.col("d.kind").alias("feature_name"),
+                    F.col("d.amount").cast("string").alias("value")))
+
+
 SQL_PIT = """SELECT o.order_id, o.user_id, o.order_date, p.o_orderdate AS known_at, {amount} AS known_amount
 FROM (SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderdate AS order_date FROM orders) o
 ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, MAX(CAST(o_totalprice AS DECIMAL(12,2))) AS amount FROM orders GROUP BY 1, 2) p

@@ -40,7 +40,9 @@ def _chunk(value: Column) -> Column:
     """
     octaves = F.log2(F.greatest(F.abs(value), F.lit(2.0 ** SMALLEST_OCTAVE))) - SMALLEST_OCTAVE
     steps = F.floor(octaves * STEPS_PER_OCTAVE).cast("bigint")
-    return F.when(value < 0, -steps).otherwise(steps)
+    signed = F.when(value < 0, -steps).otherwise(steps)
+    # never NULL, which keeps null filters out of the joins below and their inputs alike
+    return F.coalesce(signed, F.lit(0))
 
 
 def running_totals(counts: DataFrame, group: Sequence[str], value: str,

@@ -18,15 +18,16 @@ def parse(messages: DataFrame, row: T.StructType, unwrapped: bool = False) -> Da
     """
     table = F.element_at(F.split("topic", r"\."), -1).alias("table_name")
     text = F.col("value").cast("string")
+    # a generator, so that the JSON text is parsed once however often its fields are read
     if unwrapped:
-        event = F.from_json(text, row)
+        event = F.inline(F.array(F.struct(F.from_json(text, row).alias("_e"))))
         fields = [F.lit(None).cast("string").alias("op"), F.lit(None).cast("bigint").alias("ts_ms"),
                   F.lit(None).cast(row).alias("before"), F.col("_e").alias("after")]
     else:
-        event = F.from_json(text, change_envelope(row))["payload"]
+        event = F.inline(F.array(F.struct(F.from_json(text, change_envelope(row))["payload"].alias("_e"))))
         fields = [F.col("_e.op"), F.col("_e.ts_ms"), F.col("_e.before"), F.col("_e.after")]
     return (messages.select(F.col("key").cast("string").alias("key"), table,
-                            text.isNull().alias("is_tombstone"), event.alias("_e"))
+                            text.isNull().alias("is_tombstone"), event)
             .filter(F.col("is_tombstone") | F.col("_e").isNotNull())
             .select("key", "table_name", *fields, "is_tombstone"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom.functions.time import parse_iso
-from featloom.schemas import EVENT
+from featloom.schemas import EVENT, INVALID_TOPIC, RAW_TOPIC, VALIDATED_TOPIC
 
 REQUIRED = ("event_id", "event_type", "event_timestamp")
 
@@ -30,13 +30,20 @@ def is_valid_strict() -> Column:
                       & F.col("event_timestamp").isNotNull(), F.lit(False))
 
 
-def parse(records: DataFrame, strict: bool = False) -> DataFrame:
-    """Flat events with `is_valid`; text that is not JSON gives NULL fields, not an error."""
-    event = as_text(records).withColumn("event", F.from_json("value", EVENT))
-    flat = event.select(
-        F.col("key").alias("kafka_key"), "kafka_timestamp", "topic",
-        "event.event_id", "event.event_type", parse_iso(F.col("event.timestamp")).alias("event_timestamp"),
-        "event.app_name", "event.hostname", "event.payload")
+def parse(records: DataFrame, strict: bool = False, keep_value: bool = False) -> DataFrame:
+    """Flat events with `is_valid`; text that is not JSON gives NULL fields, not an error.
+
+    The fields come out of a generator, so that filters and later columns read them
+    instead of parsing the JSON text once more each.
+    """
+    event = F.col("event")
+    fields = F.struct(
+        event["event_id"].alias("event_id"), event["event_type"].alias("event_type"),
+        parse_iso(event["timestamp"]).alias("event_timestamp"), event["app_name"].alias("app_name"),
+        event["hostname"].alias("hostname"), event["payload"].alias("payload"))
+    flat = as_text(records).withColumn("event", F.from_json("value", EVENT)).select(
+        F.col("key").alias("kafka_key"), "kafka_timestamp", "topic", *(["value"] if keep_value else []),
+        F.inline(F.array(fields)))
     return flat.withColumn("is_valid", is_valid_strict() if strict else is_valid())
 
 
@@ -50,6 +57,16 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
     return bad.select(F.col("event_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def topic_records(records: DataFrame, strict: bool = False) -> DataFrame:
+    """Each record for the raw topic and again for the validated or the invalid one.
+
+    The output has the columns a broker sink takes: key, value, topic.
+    """
+    checked = parse(records, strict, keep_value=True)
+    routes = F.array(F.lit(RAW_TOPIC), F.when(F.col("is_valid"), VALIDATED_TOPIC).otherwise(INVALID_TOPIC))
+    return checked.select(F.col("kafka_key").alias("key"), "value", F.explode(routes).alias("topic"))
+
+
 def archive(events: DataFrame) -> DataFrame:
     """Raw events as a relational table takes them: the payload map as JSON text."""
     return events.select("event_id", "event_type", "event_timestamp", "app_name", "hostname",

@@ -42,7 +42,8 @@ def profile(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
     span = F.broadcast(basic.select("column_name", "min", "max"))
     totals = ranks.running_totals(counts, ["column_name"], "v", ["n"]).join(span, "column_name")
     width = (F.col("max") - F.col("min")) / bins
-    step = F.coalesce(F.least(F.floor(F.try_divide(v - F.col("min"), width)), F.lit(bins - 1)), F.lit(0))
+    # a single value has width 0 and falls into the first step
+    step = F.least(F.coalesce(F.floor(F.try_divide(v - F.col("min"), width)), F.lit(0)), F.lit(bins - 1))
     ordered = totals.groupBy("column_name").agg(
         ranks.interpolated_quantile("v", "n", 0.5, "median"), F.count(F.lit(1)).alias("unique_count"),
         F.array(*[F.coalesce(F.sum(F.when(step == b, n)), F.lit(0)) for b in range(bins)]).alias("histogram"))
