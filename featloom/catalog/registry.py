@@ -103,11 +103,14 @@ def registry_delete(t: Tables) -> DataFrame:
 
 
 def groups(t: Tables) -> DataFrame:
-    """One group per order: the features of its parts, and on every 10th order one nobody registered."""
-    part = F.concat(F.when(F.col("l_orderkey") % 10 == 0, "ghost_").otherwise("feature_"), F.col("l_partkey"))
-    return (t.raw("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(part)).alias("feature_names"))
-            .select(F.concat(F.lit("group_"), F.col("l_orderkey")).alias("name"), F.lit("from orders").alias("description"),
-                    "feature_names", F.lit("mixed").alias("entity_type"), F.lit("team").alias("owner")))
+    """One group of three features per order; every 10th order names two nobody registered."""
+    k = F.col("o_orderkey")
+    second = F.when(k % 10 == 0, F.lit("ghost_2")).otherwise(F.concat(F.lit("feature_"), k % 200))
+    third = F.when(k % 10 == 0, F.lit("ghost_1")).otherwise(F.concat(F.lit("feature_"), k % 7))
+    return t.raw("orders").select(
+        F.concat(F.lit("group_"), k).alias("name"), F.lit("from orders").alias("description"),
+        F.array(F.concat(F.lit("feature_"), F.col("o_custkey") % 100), second, third).alias("feature_names"),
+        F.lit("mixed").alias("entity_type"), F.lit("team").alias("owner"))
 
 
 def known_groups(t: Tables) -> DataFrame:
@@ -118,11 +121,10 @@ def known_groups(t: Tables) -> DataFrame:
         F.lit("team").alias("owner"), at.alias("created_at"), at.alias("updated_at"))
 
 
-SQL_GROUPS = """(SELECT l_orderkey, 'group_' || l_orderkey AS name, COUNT(DISTINCT l_partkey) AS members,
-  string_agg(DISTINCT 'ghost_' || l_partkey, ',' ORDER BY 'ghost_' || l_partkey) FILTER (l_orderkey % 10 = 0) AS missing,
-  CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey * 7 = l_orderkey) THEN 409
-       WHEN l_orderkey % 10 = 0 THEN 404 ELSE 201 END AS status_code
-  FROM lineitem GROUP BY l_orderkey)"""
+SQL_GROUPS = """(SELECT o_orderkey, 'group_' || o_orderkey AS name, CAST(3 AS BIGINT) AS members,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'ghost_1,ghost_2' END AS missing,
+  CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey * 7 = o_orderkey) THEN 409
+       WHEN o_orderkey % 10 = 0 THEN 404 ELSE 201 END AS status_code FROM orders)"""
 
 
 @query(f"SELECT name, members, missing, status_code FROM {SQL_GROUPS}")
@@ -139,8 +141,10 @@ def registry_register_groups(t: Tables) -> DataFrame:
         "name", F.size("feature_names").cast("bigint").alias("members"), "updated_at")
 
 
-@query(f"""SELECT DISTINCT 'group_' || l_orderkey AS group_name, name, value_type FROM lineitem
-JOIN {SQL_DEFS} d ON l_partkey = d.p_partkey WHERE l_orderkey % 10 <> 0""")
+@query(f"""SELECT 'group_' || o_orderkey AS group_name, d.name, value_type FROM (
+SELECT o_orderkey, unnest(['feature_' || (o_custkey % 100), CASE WHEN o_orderkey % 10 <> 0 THEN 'feature_' || (o_orderkey % 200) END,
+  CASE WHEN o_orderkey % 10 <> 0 THEN 'feature_' || (o_orderkey % 7) END]) AS name FROM orders) m JOIN {SQL_DEFS} d ON m.name = d.name"""
+)
 def registry_group_features(t: Tables) -> DataFrame:
     return R.group_features(groups(t), definitions(t)).select("group_name", "name", "value_type")
 

@@ -1,8 +1,13 @@
 """Neighbours in time within a key: validity intervals and as-of joins.
 
-A plain window over the key would put a whole key on one task. Here the key is cut
-into time slices. Neighbours inside a slice come from a window over (key, slice);
-what crosses a slice border comes from a second window that sees one row per slice.
+A plain window over the key would put a whole key on one task. Here
+
+* copies are collapsed first: only distinct (key, time) pairs enter a window, combined
+  on the map side, and the full rows meet the result in a join, which Spark splits
+  when one key or time is hot;
+* each key is cut into time slices. Neighbours inside a slice come from a window over
+  (key, slice), what crosses a border from a window that sees one row per slice. A
+  task therefore sees at most the distinct times of a slice, or the slices of a key.
 """
 
 from __future__ import annotations
@@ -13,78 +18,90 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom.functions.time import epoch_micros
 
-HOUR = 3600
+SLICE_SECONDS = 600
 
 
 def time_slice(moment: Column, seconds: int) -> Column:
     return F.floor(epoch_micros(moment) / F.lit(seconds * 1e6)).cast("bigint")
 
 
-def with_next(df: DataFrame, keys: Sequence[str], moment: str, out: str = "valid_to",
-              tiebreak: Sequence[str] = (), slice_seconds: int = HOUR) -> DataFrame:
-    """`df` with the `moment` of the following row of the same key, NULL for the last row.
-
-    `moment` must not be NULL.
-    """
-    sliced = df.withColumn("_slice", time_slice(F.col(moment), slice_seconds))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(moment, *tiebreak)
-    marked = sliced.select("*", F.lead(moment).over(inside).alias(out),
-                           F.first(moment).over(inside).alias("_first"))
+def _next_distinct(times: DataFrame, keys: Sequence[str], moment: str, out: str,
+                   slice_seconds: int) -> DataFrame:
+    """`times` (unique per key and moment) with the next moment of the key."""
+    inside = Window.partitionBy(*keys, "_slice").orderBy(moment)
+    marked = times.withColumn("_slice", time_slice(F.col(moment), slice_seconds)).select(
+        "*", F.lead(moment).over(inside).alias(out), F.first(moment).over(inside).alias("_first"))
     is_last = F.col(out).isNull()
     across = Window.partitionBy(*keys).orderBy("_slice")
     borders = marked.filter(is_last).withColumn(out, F.lead("_first").over(across))
-    return (marked.filter(~is_last).unionByName(borders)
+    return marked.filter(~is_last).unionByName(borders).drop("_slice", "_first")
+
+
+def with_next(df: DataFrame, keys: Sequence[str], moment: str, out: str = "valid_to",
+              tiebreak: Sequence[str] = (), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """`df` with the start of the following row of the same key, NULL for the last row.
+
+    Among rows of one key and moment the greatest `tiebreak` lasts until the next
+    moment; the others end where they start. Rows without a key or moment have no next.
+    """
+    order = F.struct(*tiebreak) if tiebreak else F.lit(0)
+    times = df.groupBy(*keys, moment).agg(F.max(order).alias("_winner"))
+    following = _next_distinct(times, keys, moment, out, slice_seconds)
+    lasts = order == F.col("_winner")
+    return (df.join(following, [*keys, moment], "left")
+            .withColumn(out, F.when(lasts, F.col(out)).when(~lasts, F.col(moment)))
             .select(*df.columns, out))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,
                right_time: str, values: Sequence[str], strict: bool = False,
-               tiebreak: Sequence[str] = (), slice_seconds: int = HOUR) -> DataFrame:
+               tiebreak: Sequence[str] = (), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Each left row with the values of the latest right row at or before its time.
 
     With `strict` the right row must be earlier. Left rows without a match are kept
-    with NULLs. Among right rows of one time the greatest `tiebreak` wins.
+    with NULLs. Among right rows of one time the greatest `tiebreak` wins, then the
+    greatest values.
     """
-    picked = F.struct(*[F.col(v) for v in values])
-    order_in = ["_time", "_rank", *[f"_t{i}" for i in range(len(tiebreak))]]
-    nothing = [F.lit(None).cast(right.schema[t].dataType).alias(f"_t{i}") for i, t in enumerate(tiebreak)]
-    # at equal times history comes first (or last, if it must be strictly earlier)
-    history = right.select(
-        *keys, F.col(right_time).alias("_time"), F.lit(1 if strict else 0).alias("_rank"),
-        *[F.col(t).alias(f"_t{i}") for i, t in enumerate(tiebreak)],
-        picked.alias("_hit"), F.lit(None).alias("_row"))
-    asked = left.select(
-        *keys, F.col(left_time).alias("_time"), F.lit(0 if strict else 1).alias("_rank"), *nothing,
-        F.lit(None).alias("_hit"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
+    hit = F.struct(*[F.col(v) for v in values])
+    order = F.struct(*[F.col(c) for c in [*tiebreak, *[v for v in values if v not in tiebreak]]])
+    # at equal times history comes first, or last if it must be strictly earlier
+    history = (right.groupBy(*keys, F.col(right_time).alias("_time"))
+               .agg(F.max_by(hit, order).alias("_hit"))
+               .withColumn("_rank", F.lit(1 if strict else 0)))
+    asked = (left.select(*keys, F.col(left_time).alias("_time")).distinct()
+             .withColumn("_hit", F.lit(None)).withColumn("_rank", F.lit(0 if strict else 1)))
+    asked_rank = 0 if strict else 1
     events = (history.unionByName(asked)
               .withColumn("_slice", time_slice(F.col("_time"), slice_seconds)))
 
-    inside = (Window.partitionBy(*keys, "_slice").orderBy(*order_in)
+    inside = (Window.partitionBy(*keys, "_slice").orderBy("_time", "_rank")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    walked = events.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside))
+    walked = (events.withColumn("_found", F.last("_hit", ignorenulls=True).over(inside))
+              .filter(F.col("_rank") == asked_rank).drop("_hit", "_rank"))
 
     # one row per (key, slice): what is known at its end, carried over the following slices
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    rank_struct = F.struct(*[F.col(c) for c in order_in])
+    known_at = F.when(F.col("_hit").isNotNull(), F.col("_time"))
     carried = (events.groupBy(*keys, "_slice")
-               .agg(F.max_by("_hit", F.when(F.col("_hit").isNotNull(), rank_struct)).alias("_end"))
+               .agg(F.max_by("_hit", known_at).alias("_end"))
                .withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier))
                .drop("_end"))
-
-    hits = (walked.filter(F.col("_row").isNotNull()).drop("_hit")
-            .join(carried, [*keys, "_slice"], "left")
-            .withColumn("_found", F.coalesce("_found", "_carry")))
-    return hits.select(*[F.col("_row")[c].alias(c) for c in left.columns],
-                       *[F.col("_found")[v].alias(v) for v in values])
+    answers = (walked.join(carried, [*keys, "_slice"], "left")
+               .select(*keys, F.col("_time").alias(left_time), F.coalesce("_found", "_carry").alias("_answer")))
+    return left.join(answers, [*keys, left_time], "left").select(
+        *left.columns, *[F.col("_answer")[v].alias(v) for v in values])
 
 
 def valid_at(facts: DataFrame, asked: DataFrame, keys: Sequence[str], moment: str,
-             valid_from: str = "valid_from", valid_to: str = "valid_to") -> DataFrame:
+             valid_from: str = "valid_from", valid_to: str = "valid_to",
+             slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Interval lookup `valid_from <= t < valid_to`, an open end meaning still valid.
 
-    Suited to few intervals per key; for long histories use `as_of_join`, which does not
-    pair every question with every interval of its key.
+    The intervals of a key must not overlap, so the latest one that has begun is the
+    only candidate: an as-of join, not a pairing of all questions with all intervals.
     """
+    values = [c for c in facts.columns if c not in keys]
+    marked = facts.withColumn("_open", F.col(valid_to).isNull())
+    found = as_of_join(asked, marked, keys, moment, valid_from, values, False, ["_open", valid_to], slice_seconds)
     t = F.col(moment)
-    return asked.join(facts, list(keys)).filter(
-        (F.col(valid_from) <= t) & (F.col(valid_to).isNull() | (t < F.col(valid_to))))
+    return found.filter(F.col(valid_from).isNotNull() & (F.col(valid_to).isNull() | (t < F.col(valid_to))))

@@ -25,7 +25,8 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 def top_n_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first `n` rows per key.
 
-    Spark limits each group to `n` rows before the shuffle as well as after it.
+    Spark limits each group to `n` rows before the shuffle as well as after it (up to
+    its `windowGroupLimitThreshold`, 1000 by default).
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")

@@ -7,21 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def nest_children(children: DataFrame, key: str, fields: Sequence[str], spread_by: Sequence[str],
-                  out: str = "items", part: str = "part", max_items: int = 10_000) -> DataFrame:
+def nest_children(children: DataFrame, key: str, fields: Sequence[str], out: str = "items",
+                  part: str = "part", max_items: int = 10_000) -> DataFrame:
     """(key, part, out): the children of a key as a sorted array of structs.
 
-    Nearly all keys give one row with part 0. A key with more than about `max_items`
-    children is spread over several parts by a hash of `spread_by` (columns that tell
-    children apart), so that neither a task nor a row holds an unbounded group; no
-    child is dropped.
+    Nearly all keys give one row with part 0. A key with more than `max_items` children
+    is told in several parts of about that many: its equal children are counted first,
+    cut into pieces of at most `max_items`, and the pieces spread by hash. So neither a
+    task nor a row holds an unbounded group, and no child is dropped.
     """
+    child = F.struct(*fields)
     sizes = children.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    parts = F.ceil(F.col("_size") / F.lit(max_items)).cast("int")
-    large = sizes.filter(F.col("_size") > max_items).select(key, parts.alias("_parts"))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.col("_parts"))
-    placed = (children.join(large, key, "left")
-              .withColumn(part, F.when(F.col("_parts").isNull(), F.lit(0))
-                          .otherwise(spread).cast("int")))
-    return placed.groupBy(key, part).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias(out))
+    large = sizes.filter(F.col("_size") > max_items).select(
+        key, F.ceil(F.col("_size") / F.lit(max_items)).cast("int").alias("_parts"))
+
+    usual = (children.join(large, key, "left_anti").groupBy(key)
+             .agg(F.array_sort(F.collect_list(child)).alias(out))
+             .select(key, F.lit(0).alias(part), out))
+
+    counted = children.join(large, key).groupBy(key, "_parts", *fields).agg(F.count(F.lit(1)).alias("_n"))
+    last_piece = F.floor((F.col("_n") - 1) / F.lit(max_items)).cast("int")
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0), last_piece)))
+    copies = F.least(F.lit(max_items), F.col("_n") - F.col("_piece") * max_items).cast("int")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in fields], F.col("_piece")), F.col("_parts")).cast("int")
+    split = (pieces.withColumn(part, spread).groupBy(key, part)
+             .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat(child, copies)))).alias(out)))
+    return usual.unionByName(split)

@@ -53,7 +53,7 @@ def product_documents(products: DataFrame, as_of: Instant = None, hours: float =
 
 def order_documents(orders: DataFrame, order_items: DataFrame, as_of: Instant = None,
                     hours: float = 24, ttl_seconds: int = DOCUMENT_TTL,
-                    item_id: str = "order_item_id", max_items: int = 10_000) -> DataFrame:
+                    max_items: int = 10_000) -> DataFrame:
     """Changed orders with their items nested; orders without items are left out.
 
     Items of orders that did not change are dropped before nesting. An order with more
@@ -61,9 +61,8 @@ def order_documents(orders: DataFrame, order_items: DataFrame, as_of: Instant =
     """
     changed = changed_since(orders, "updated_at", hours, as_of, strict=True)
     items = (order_items.join(changed.select("order_id"), "order_id", "left_semi")
-             .select("order_id", item_id, "product_id", "quantity",
-                     F.col("price").cast("double").alias("price")))
-    nested = nest_children(items, "order_id", ITEM_FIELDS, [item_id], max_items=max_items)
+             .select("order_id", "product_id", "quantity", F.col("price").cast("double").alias("price")))
+    nested = nest_children(items, "order_id", ITEM_FIELDS, max_items=max_items)
     whole = changed.join(nested, "order_id")
     return (documents(whole, "order", "order_id", (*ORDER_FIELDS, "part", "items"), ttl_seconds, as_of))
 

@@ -15,7 +15,7 @@ from featloom.functions.time import Instant, instant, instant_like, interval
 from featloom.functions.values import (
     as_number, decoded_text, encode, is_present, typed,
 )
-from featloom.operators.intervals import HOUR, as_of_join
+from featloom.operators.intervals import SLICE_SECONDS, as_of_join
 from featloom.operators.latest import in_time_range, latest_by_key, top_n_by_key
 from featloom.schemas import FEATURE_TTL
 
@@ -161,7 +161,7 @@ def read_history(history: DataFrame, features: Sequence[str], entity_type: str,
 
 def point_in_time(labels: DataFrame, history: DataFrame, features: Sequence[str],
                   entity_type: str, label_time: str = "label_time", strict: bool = False,
-                  slice_seconds: int = HOUR) -> DataFrame:
+                  slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Training rows: each label with the feature values known at its time."""
     parsed = F.from_json("data", ", ".join(f"`{f}` string" for f in features))
     known = (history.filter(F.col("entity_type") == entity_type)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from featloom.functions.time import Instant, instant
 from featloom.functions.values import decoded_text
-from featloom.operators.intervals import HOUR, with_next
+from featloom.operators.intervals import SLICE_SECONDS, with_next
 from featloom.operators.keys import dense_keys, extend_dimension, lookup
+from featloom.operators.latest import latest_by_key
 
 # Retention of the fact tables, in days.
 FEATURE_VALUE_DAYS = 90
@@ -16,8 +17,13 @@ PREDICTION_DAYS = 30
 
 def load_dimension(members: DataFrame, natural_key: str, key: str, as_of: Instant = None,
                    existing: DataFrame | None = None) -> DataFrame:
-    """A dimension with surrogate keys; known members keep theirs when it is extended."""
+    """A dimension with surrogate keys; known members keep theirs when it is extended.
+
+    A member given several times counts once, with its greatest row.
+    """
     now = instant(as_of, "timestamp_ntz")
+    others = [c for c in members.columns if c != natural_key]
+    members = latest_by_key(members, [natural_key], others) if others else members.distinct()
     stamped = members.withColumn("created_at", now).withColumn("updated_at", now)
     if existing is None:
         return dense_keys(stamped, natural_key, key)
@@ -38,14 +44,14 @@ def typed_values(tall: DataFrame, value: str = "value", data_type: str = "data_t
 
 
 def validity_intervals(values: DataFrame, entity: str = "entity_id", feature: str = "feature_key",
-                       valid_from: str = "valid_from", slice_seconds: int = HOUR,
+                       valid_from: str = "valid_from", slice_seconds: int = SLICE_SECONDS,
                        tiebreak: tuple[str, ...] = ()) -> DataFrame:
     """`valid_to` is the start of the next value of the same entity and feature."""
     return with_next(values, [feature, entity], valid_from, "valid_to", tiebreak, slice_seconds)
 
 
 def load_feature_values(tall: DataFrame, features: DataFrame, as_of: Instant = None,
-                        slice_seconds: int = HOUR) -> DataFrame:
+                        slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """The feature-value fact: key lookup, typed value, validity interval.
 
     `tall`: entity_id, feature_id, value, valid_from; `features`: feature_id, feature_key, data_type.

@@ -99,3 +99,29 @@ def test_filter_reaches_the_scan(spark, tmp_path, table):
     table("id int, at timestamp_ntz", [(1, "2024-01-01 00:00:00")]).write.parquet(path)
     plan = L.retain(spark.read.parquet(path), "at", 30, "2024-01-05 00:00:00")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(at), GreaterThanOrEqual(at" in plan
+
+
+def test_missing_keys_stay(table, rows):
+    df = table("key string, at timestamp_ntz, id int", [
+        (None, "2024-01-01 00:00:00", 1), ("a", None, 2), ("a", "2024-01-01 00:00:00", 3), ("a", "2024-01-05 00:00:00", 4)])
+    got = {r["id"]: r["valid_to"] and str(r["valid_to"]) for r in I.with_next(df, ["key"], "at").collect()}
+    assert got == {1: None, 2: None, 3: "2024-01-05 00:00:00", 4: None}
+    asked = table("key string, t timestamp_ntz", [(None, "2024-02-01 00:00:00"), ("a", None), ("a", "2024-02-01 00:00:00")])
+    out = I.as_of_join(asked, df, ["key"], "t", "at", ["id"])
+    assert sorted(str(r["id"]) for r in out.collect()) == ["4", "None", "None"]
+
+
+def test_copies_collapse_before_the_windows(spark):
+    """A third of the rows are copies of one row: windows must not see them one by one."""
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"),
+        F.when(F.col("id") % 3 == 0, F.lit("2024-01-01")).otherwise(F.concat(F.lit("2024-01-"), F.format_string("%02d", F.col("id") % 28 + 1)))
+        .cast("timestamp_ntz").alias("at"), F.lit(1).alias("v"))
+    out = I.with_next(df, ["key"], "at")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.count() == 3000 and "Window" in plan
+    below = plan[plan.index("Window"):]
+    assert "Aggregate [key" in below
+    hot = out.filter("key = 'hot'").select("valid_to").distinct().collect()
+    assert [r[0] for r in hot] == [None]
