@@ -17,12 +17,12 @@ def messages(events: DataFrame) -> DataFrame:
     eid = F.col("event_id").cast("string")
     moment = F.col("ts").cast("timestamp")
     iso = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    stamp = (F.when(odd == 3, F.lit("garbage")).when(odd == 5, F.concat(iso, F.lit("+02:00")))
-             .otherwise(F.concat(iso, F.lit("Z"))))
+    zone = F.when(odd == 3, "garbage").when(odd == 5, "+02:00").otherwise("Z")
+    stamp = F.concat(iso, zone)
     envelope = F.struct(
-        F.when(odd == 2, F.lit(None)).when(odd == 4, F.lit("")).otherwise(eid).alias("event_id"),
+        F.when(odd == 4, "").when(odd != 2, eid).alias("event_id"),
         F.col("event_type"), stamp.alias("timestamp"),
-        F.when(odd != 6, F.concat(F.lit("app-"), F.col("user_id") % 5)).alias("app_name"),
+        F.concat(F.when(odd != 6, "app-"), F.col("user_id") % 5).alias("app_name"),
         F.lit("host-1").alias("hostname"),
         F.create_map(F.lit("user_id"), F.col("user_id").cast("string"),
                      F.lit("amount"), F.col("value").cast("string")).alias("payload"))

@@ -2,8 +2,8 @@
 
 A plain window over the key would put a whole key on one task. Here
 
-* copies are collapsed first: only distinct (key, time) pairs enter a window, combined
-  on the map side, and the full rows meet the result in a join, which Spark splits
+* copies are collapsed first, in every task before the shuffle: only distinct
+  (key, time) pairs enter the windows over time, and the full rows meet the result in a join, which Spark splits
   when one key or time is hot;
 * each key is cut into time slices. Neighbours inside a slice come from a window over
   (key, slice), what crosses a border from a window that sees one row per slice. A
@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom.functions.time import epoch_micros
+from featloom.operators.latest import latest_by_key
 
 SLICE_SECONDS = 600
 
@@ -62,12 +63,12 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time
     with NULLs. Among right rows of one time the greatest `tiebreak` wins, then the
     greatest values.
     """
-    hit = F.struct(*[F.col(v) for v in values])
-    order = F.struct(*[F.col(c) for c in [*tiebreak, *[v for v in values if v not in tiebreak]]])
+    hit = F.struct(*[F.col(v) for v in values]).alias("_hit")
+    order = [*tiebreak, *[v for v in values if v not in (*tiebreak, right_time)]]
+    needed = list(dict.fromkeys([*keys, right_time, *tiebreak, *values]))
     # at equal times history comes first, or last if it must be strictly earlier
-    history = (right.groupBy(*keys, F.col(right_time).alias("_time"))
-               .agg(F.max_by(hit, order).alias("_hit"))
-               .withColumn("_rank", F.lit(1 if strict else 0)))
+    history = (latest_by_key(right.select(*needed), [*keys, right_time], order or [right_time])
+               .select(*keys, F.col(right_time).alias("_time"), hit, F.lit(1 if strict else 0).alias("_rank")))
     asked = (left.select(*keys, F.col(left_time).alias("_time")).distinct()
              .withColumn("_hit", F.lit(None)).withColumn("_rank", F.lit(0 if strict else 1)))
     asked_rank = 0 if strict else 1

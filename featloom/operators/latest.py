@@ -10,23 +10,16 @@ from featloom.functions.time import Instant, instant_like, interval
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row with the greatest `order` columns per key; later columns break ties.
-
-    An aggregate rather than a window: every task keeps one row per key before the
-    shuffle, so a key that holds much of the data sends one row per task.
-    """
-    others = [c for c in df.columns if c not in keys]
-    picked = F.max_by(F.struct(*others), F.struct(*order)).alias("_row")
-    return (df.groupBy(*keys).agg(picked)
-            .select(*[F.col(k) for k in keys], *[F.col("_row")[c].alias(c) for c in others])
-            .select(*df.columns))
+    """The row with the greatest `order` columns per key; later columns break ties."""
+    return top_n_by_key(df, keys, [F.col(c).desc() for c in order], 1)
 
 
 def top_n_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first `n` rows per key.
 
-    Spark limits each group to `n` rows before the shuffle as well as after it (up to
-    its `windowGroupLimitThreshold`, 1000 by default).
+    Spark limits each group to `n` rows in every task before the shuffle as well as
+    after it (up to its `windowGroupLimitThreshold`, 1000 by default), so a key that
+    holds much of the data sends only `n` rows per task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")

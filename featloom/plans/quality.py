@@ -146,8 +146,9 @@ def validate(df: DataFrame, suite: Suite) -> DataFrame:
 
 
 def _repeated_values(df: DataFrame, checks: list[tuple[int, Expectation]]) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(i).alias("position"), F.col(e.column).cast("string").alias("v"))
-                      for i, e in checks])
+    kinds = {df.schema[e.column].dataType for _, e in checks}
+    plain = lambda c: F.col(c) if len(kinds) == 1 else F.col(c).cast("string")
+    cells = F.array(*[F.struct(F.lit(i).alias("position"), plain(e.column).alias("v")) for i, e in checks])
     per_value = (df.select(F.inline(cells)).filter(F.col("v").isNotNull())
                  .groupBy("position", "v").agg(F.count(F.lit(1)).alias("n")))
     n = F.col("n")

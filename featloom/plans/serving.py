@@ -113,11 +113,11 @@ def prediction_metrics(log: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS)
     """Counters, latency histogram and the last drift score per model and version."""
     i = bound_index(F.col("latency_ms"), bounds)
     buckets = F.array(*[F.count_if(F.col("latency_ms").isNotNull() & (i == k)) for k in range(len(bounds) + 1)])
-    drift_at = F.when(F.col("drift_score").isNotNull(), F.struct("ts", "drift_score"))
+    drift_at = F.when(F.col("drift_score").isNotNull(), F.col("ts"))
     return log.groupBy("model_name", "model_version").agg(
         F.count(F.lit(1)).alias("predictions"), F.count_if(F.col("error").isNotNull()).alias("errors"),
         F.sum("latency_ms").alias("latency_sum"), buckets.alias("latency_buckets"),
-        F.max(drift_at)["drift_score"].alias("drift_score"))
+        F.max_by("drift_score", drift_at).alias("drift_score"))
 
 
 def prediction_values(log: DataFrame, bounds: Sequence[float]) -> DataFrame:
