@@ -71,8 +71,11 @@ def records_stream(df: DataFrame, fmt: str, checkpoint: str, topic: str | None =
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", partitions: int = 16,
                **properties: str) -> None:
-    """Rows to a database table over a bounded number of connections."""
-    df.coalesce(partitions).write.jdbc(url, table, mode=mode, properties=properties)
+    """Rows to a database table over a bounded number of connections.
+
+    The rows are shuffled to that number, so that what computes them stays parallel.
+    """
+    df.repartition(partitions).write.jdbc(url, table, mode=mode, properties=properties)
 
 
 def write_documents(docs: DataFrame, connect: Callable[[], object],

@@ -26,11 +26,13 @@ def start_routed(parsed: DataFrame, out_dir: str, checkpoint_dir: str, as_of: In
     """Archive, dead letters and documents of each micro-batch from one read of it."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        good = E.valid(batch)
-        out.write_batch(E.archive(good), batch_id, f"{out_dir}/archive")
-        out.write_batch(E.dead_letters(batch), batch_id, f"{out_dir}/dead_letter")
-        out.write_batch(event_documents(good, as_of), batch_id, f"{out_dir}/documents")
-        batch.unpersist()
+        try:
+            good = E.valid(batch)
+            out.write_batch(E.archive(good), batch_id, f"{out_dir}/archive")
+            out.write_batch(E.dead_letters(batch), batch_id, f"{out_dir}/dead_letter")
+            out.write_batch(event_documents(good, as_of), batch_id, f"{out_dir}/documents")
+        finally:
+            batch.unpersist()
     return out.start(parsed, handle, f"{checkpoint_dir}/routed", "append", **trigger)
 
 
