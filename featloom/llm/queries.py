@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featloom.llm import bpe, mixing, topk, warc
+from featloom.llm import bpe, fingerprint, langid, linededup, mixing, topk, warc
 from featloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,21 @@ def query(sql: str | None = None):
     return wrap
 
 
+@query()
+def op1_fingerprints(spark, sf_dir):
+    return fingerprint.edited(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_language_id(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query(linededup.ORACLE)
+def op5_line_dedup(spark, sf_dir):
+    return linededup.digests(read(spark, sf_dir, "documents"))
+
+
 @query(warc.ORACLE)
 def op6_warc(spark, sf_dir):
     return warc.archive(read(spark, sf_dir, "pages"))
