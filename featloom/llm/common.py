@@ -38,12 +38,6 @@ def shard_of(column: str | Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
 
 
-def dealt(docs: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
-    """shard, doc_id, text: documents dealt by their id; every use of one call's result shares one exchange."""
-    return docs.select(shard_of(id_col, shards).alias("shard"), F.col(id_col).cast("bigint").alias("doc_id"),
-                       F.col(text_col).cast("string").alias("text")).repartition(partitions(docs.sparkSession), "shard")
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (an invertible mixer)."""
     x = x ^ (x >> np.uint64(31))
@@ -57,3 +51,21 @@ def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where sorted 64-bit keys change from one of `buckets` equal key ranges to the next."""
     edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
     return np.concatenate(([0], np.searchsorted(keys, edges, side="left"), [len(keys)]))
+
+
+# Hashes that are only counted travel as sorted 32-bit offsets in their bucket; two of a bucket that fall
+# together count as one.
+
+def offsets_in(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    shift = max(0, ((1 << 64) // buckets).bit_length() - 32)
+    return ((keys - np.uint64(bucket * (1 << 64) // buckets)) >> np.uint64(shift)).astype(np.uint32)
+
+
+def pack(offsets: np.ndarray) -> bytes:
+    """Differences byte by byte of equal weight, so that the empty high bytes compress away."""
+    return np.diff(offsets, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featloom.llm.common import bucket_cuts, partitions, shard_of, staged
+from featloom.llm.common import bucket_cuts, offsets_in, pack, partitions, shard_of, staged, unpack
 from featloom.llm.graph import components
 from featloom.llm.shingles import shingle_sets
 
@@ -71,26 +71,7 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return texts.mapInArrow(run, "doc_id bigint, shard int, n bigint, sid bigint")
 
 
-# Counts of shingles travel as sorted 32-bit offsets in their range of hashes; they only decide an order.
-
-def _shift(buckets: int) -> int:
-    return max(0, ((1 << 64) // buckets).bit_length() - 32)
-
-
-def _offsets(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
-    return ((keys - np.uint64(bucket * (1 << 64) // buckets)) >> np.uint64(_shift(buckets))).astype(np.uint32)
-
-
-def _pack(offsets: np.ndarray) -> bytes:
-    """Differences byte by byte of equal weight, so that the empty high bytes compress away."""
-    return np.diff(offsets, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
-
-
+# Counts of shingles travel as packed offsets (common.pack); they only decide an order.
 _COUNTS = "shard int, bucket int, keys binary, counts binary"
 _ANSWER = "shard int, bucket int, counts binary, owned array<bigint>"
 _ENTRIES = "sid bigint, n bigint, token bigint, pos int, text binary"
@@ -132,11 +113,11 @@ def index(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: st
         rows = [(b, x, y) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
         return pa.table({"shard": pa.array([o.column("shard")[0].as_py()] * len(rows), pa.int32()),
                          "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
-                         "keys": pa.array([_pack(_offsets(keys[x:y], b, n)) for b, x, y in rows], pa.binary()),
+                         "keys": pa.array([pack(offsets_in(keys[x:y], b, n)) for b, x, y in rows], pa.binary()),
                          "counts": pa.array([counts[x:y].tobytes() for _, x, y in rows], pa.binary())}, kinds)
 
     def add(t: pa.Table) -> pa.Table:
-        keys = [_unpack(x) for x in t.column("keys").to_pylist()]
+        keys = [unpack(x) for x in t.column("keys").to_pylist()]
         counts = np.concatenate([np.frombuffer(x, "<u2") for x in t.column("counts").to_pylist()]).astype(np.int64)
         every = np.concatenate(keys)
         order = np.argsort(every, kind="stable")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featloom.llm import bpe, fingerprint, jaccard, langid, linededup, mixing, topk, warc
+from featloom.llm import bpe, fingerprint, jaccard, langid, linededup, mixing, passages, topk, warc
 from featloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2_language_id(spark, sf_dir):
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_suffix_dedup(spark, sf_dir):
+    return passages.digests(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_jaccard_join(spark, sf_dir):
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
