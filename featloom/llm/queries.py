@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featloom.llm import bpe, fingerprint, jaccard, langid, linededup, mixing, passages, topk, warc
+from featloom.llm import bpe, fingerprint, html_extract, jaccard, langid, linededup, mixing, passages, topk, warc
 from featloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op6_warc(spark, sf_dir):
     return warc.archive(read(spark, sf_dir, "pages"))
 
 
+@query()
+def op7_html_extraction(spark, sf_dir):
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 @query(mixing.ORACLE)
 def op8_mixing(spark, sf_dir):
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
