@@ -1,22 +1,74 @@
-"""A training corpus in stages, each written as Parquet before the next one reads it."""
+"""A training corpus in stages, each written as Parquet before the next one reads it.
+
+Every stage takes all documents that the one before kept. All but the last return the columns that they got;
+`n_chars` follows the text. Stages handle nulls, empty texts, repeated rows and empty tables as their operators
+do.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from featloom.llm import bpe, jaccard, langid, linededup, mixing
 from featloom.llm.common import read, shared_folder
 
-STAGES = []
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without a letter go. Learns from the labels of the input."""
+    automata = langid.learn(docs.where(~langid.held_out()))
+    known = langid.predict(docs, automata, lang_col="_lang", score_col="_score")
+    return known.where(F.col("_lang") != langid.UNKNOWN_LANGUAGE).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many of them share; one that loses all its lines goes."""
+    kept = linededup.drop_lines(docs).where("n_dropped < n_lines")
+    columns = {c: F.col(f"doc.{c}") for c in docs.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("doc.n_chars"))
+    return kept.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near duplicates.
+
+    Rows without an id stay. Rows of one id with equal texts are one document.
+    """
+    found = jaccard.near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the target of their source takes them."""
+    return mixing.mix(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 of every document."""
+    both = bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    return both.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join),
+          ("mix_sources", mix_sources), ("byte_bpe", byte_bpe)]
 
-ORACLE_SQL = None  # several stages have no SQL form; tests compare with brute force
+ORACLE_SQL = None  # language ID, the join and BPE have no SQL form; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     docs = read(spark, sf_dir, "documents")
     folder = shared_folder(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return docs
