@@ -90,7 +90,8 @@ class Tables:
             F.col("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"),
             F.col("o_totalprice").cast("decimal(12,2)").alias("total_amount"),
             F.col("o_orderdate").alias("created_at"),
-            F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 as int))").alias("updated_at"))
+            F.expr("o_orderdate + make_dt_interval(0, cast(o_orderkey % 24 as int), 0, "
+                   "if(o_orderkey % 2 = 0, 0, cast(o_orderkey % 1000000 as decimal(18,6)) / 1000000))").alias("updated_at"))
 
     def order_items(self) -> DataFrame:
         return self.raw("lineitem").select(

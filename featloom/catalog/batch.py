@@ -115,11 +115,12 @@ def user_feature_vector(t: Tables) -> DataFrame:
 EXPIRY = f"{NOW} + INTERVAL 1 DAY"
 
 
-@query(f"""SELECT 'user_features:' || user_id AS doc_key, {EXPIRY} AS expires_at, order_count,
-avg_order_value, economy_purchases FROM ({SQL_VECTOR})""")
+@query(f"""SELECT 'user_features:' || user_id AS doc_key, {EXPIRY} AS expires_at, order_count, total_spent,
+avg_order_value, days_since_last_order, economy_purchases, small_purchases FROM ({SQL_VECTOR})""")
 def user_vector_documents(t: Tables) -> DataFrame:
     docs = documents.user_vector_documents(_vectors(t), ORDERS_AS_OF)
-    body = F.from_json("doc", "order_count bigint, avg_order_value double, economy_purchases bigint")
+    body = F.from_json("doc", "order_count bigint, total_spent double, avg_order_value double, "
+                              "days_since_last_order double, economy_purchases bigint, small_purchases bigint")
     return docs.select("doc_key", "expires_at", body.alias("d")).select("doc_key", "expires_at", "d.*")
 
 
@@ -129,6 +130,13 @@ SQL_USERS = """(SELECT c_custkey AS user_id, c_name AS username, lower(c_name) |
   CASE WHEN c_custkey % 3 <> 0 THEN TIMESTAMP '2001-07-01' + to_hours(CAST(c_custkey % 48 AS INTEGER)) END
     AS last_login FROM customer)"""
 ISO = "'%Y-%m-%dT%H:%M:%S'"
+# half of the orders have microseconds
+TOUCHED = ("(o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) + "
+           "to_microseconds(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_orderkey % 1000000 END))")
+
+
+def _iso(x: str) -> str:
+    return f"regexp_replace(strftime({x}, '%Y-%m-%dT%H:%M:%S.%f'), '[.]000000$', '')"
 
 
 @query(f"""SELECT 'user:' || user_id AS doc_key, {EXPIRY} AS expires_at, username, email,
@@ -144,36 +152,63 @@ def user_documents(t: Tables) -> DataFrame:
 @query(f"""SELECT 'product:' || p_partkey AS doc_key, {EXPIRY} AS expires_at, p_name AS name,
 CAST(NULL AS VARCHAR) AS description, CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) AS price,
 CAST(p_size AS INTEGER) AS inventory, p_type AS category,
-strftime(TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)), {ISO}) AS created_at
+strftime(TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey % 365 AS INTEGER)), {ISO}) AS created_at,
+strftime(TIMESTAMP '2001-07-31 12:00:00' + to_hours(CAST(p_partkey % 48 AS INTEGER)), {ISO}) AS updated_at
 FROM part WHERE TIMESTAMP '2001-07-31 12:00:00' + to_hours(CAST(p_partkey % 48 AS INTEGER)) > {NOW} - INTERVAL 1 DAY""")
 def product_documents(t: Tables) -> DataFrame:
     docs = documents.product_documents(t.store_products(), ORDERS_AS_OF)
     body = F.from_json("doc", "name string, description string, price double, inventory int, "
-                              "category string, created_at string")
+                              "category string, created_at string, updated_at string")
     return docs.select("doc_key", "expires_at", body.alias("d")).select("doc_key", "expires_at", "d.*")
 
 
-SQL_ORDER_DOCS = f"""
-SELECT 'order:' || o_orderkey AS doc_key, {EXPIRY} AS expires_at, o_custkey AS user_id, o_orderstatus AS status,
-       CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS total_amount,
-       strftime(o_orderdate, {ISO}) AS order_date, 0 AS part, COUNT(*) AS item_count,
-       string_agg(l_partkey || 'x' || CAST(l_quantity AS INTEGER) || '@' || CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) * 100 AS BIGINT),
-                  ';' ORDER BY l_partkey, CAST(l_quantity AS INTEGER), l_extendedprice) AS items
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) > {NOW} - INTERVAL 30 DAY
-GROUP BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate"""
+SQL_LINES = """string_agg({product} || 'x' || CAST(l_quantity AS INTEGER) || '@' ||
+  CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) * 100 AS BIGINT), ';'
+  ORDER BY {product}, CAST(l_quantity AS INTEGER), l_extendedprice)"""
 
 
-@query(SQL_ORDER_DOCS)
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, {TOUCHED} AS touched, COUNT(*) AS n,
+  {SQL_LINES.format(product="l_partkey")} AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  WHERE {TOUCHED} > {NOW} - INTERVAL 30 DAY GROUP BY ALL)
+SELECT 'order:' || o_orderkey AS doc_key, {EXPIRY} AS expires_at, o_custkey AS user_id, o_orderstatus AS status,
+  CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, {_iso("o_orderdate")} AS order_date,
+  {_iso("o_orderdate")} AS created_at, {_iso("touched")} AS updated_at, n AS item_count, 1 AS parts,
+  NULL AS order_id, NULL AS part, NULL AS items FROM o
+UNION ALL SELECT 'order:' || o_orderkey || ':items:0', {EXPIRY}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  o_orderkey, 0, items FROM o""")
 def order_documents(t: Tables) -> DataFrame:
     docs = documents.order_documents(t.orders(), t.order_items(), ORDERS_AS_OF, hours=30 * 24)
-    body = F.from_json("doc", "user_id bigint, status string, total_amount double, order_date string, part int, "
+    body = F.from_json("doc", "user_id bigint, status string, total_amount double, order_date string, created_at string, "
+                              "updated_at string, item_count bigint, parts int, order_id bigint, part int, "
                               "items array<struct<product_id:bigint,quantity:int,price:double>>")
     line = lambda i: F.concat_ws("", i["product_id"], F.lit("x"), i["quantity"], F.lit("@"),
                                  F.round(i["price"] * 100).cast("bigint"))
     d = docs.select("doc_key", "expires_at", body.alias("d")).select("doc_key", "expires_at", "d.*")
-    return (d.withColumn("item_count", F.size("items").cast("bigint"))
-            .withColumn("items", F.array_join(F.transform("items", line), ";")))
+    return d.withColumn("items", F.array_join(F.transform("items", line), ";"))
+
+
+@query(f"""SELECT 'order:' || p_partkey AS doc_key, COUNT(*) AS item_count, CAST(ceil(COUNT(*) / 10.0) AS INTEGER) AS parts,
+CAST(SUM(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity, COUNT(*) AS told
+FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey""")
+def large_order_documents(t: Tables) -> DataFrame:
+    """Parts as orders of many lines, in pages of about ten, read back from a store with one row for each key."""
+    orders = t.raw("part").select(
+        F.col("p_partkey").alias("order_id"), F.lit(0).alias("user_id"), F.lit("F").alias("status"),
+        F.lit(0).cast("decimal(12,2)").alias("total_amount"),
+        *[F.lit(ORDERS_AS_OF).cast("timestamp_ntz").alias(c) for c in ("order_date", "created_at", "updated_at")])
+    items = t.raw("lineitem").select(
+        F.col("l_partkey").alias("order_id"), F.col("l_orderkey").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"), F.col("l_extendedprice").cast("decimal(12,2)").alias("price"))
+    docs = documents.order_documents(orders, items, ORDERS_AS_OF, max_items=10)
+    kept = latest.latest_by_key(docs, ["doc_key"], ["expires_at", "doc"])
+    body = F.from_json("doc", "item_count bigint, parts int, items array<struct<quantity:int>>")
+    told = kept.select(F.regexp_replace("doc_key", ":items:.*", "").alias("doc_key"), body.alias("d"))
+    quantity = F.aggregate("d.items.quantity", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return told.groupBy("doc_key").agg(
+        F.max("d.item_count").alias("item_count"), F.max("d.parts").alias("parts"),
+        F.sum(F.when(F.col("d.items").isNotNull(), quantity)).alias("quantity"),
+        F.sum(F.when(F.col("d.items").isNotNull(), F.size("d.items"))).alias("told"))
 
 
 @query(f"""
@@ -182,7 +217,9 @@ SELECT entity, COUNT(*) AS synced, MIN(expires_at) AS expires_at FROM (
   UNION ALL SELECT 'product', {EXPIRY} FROM part
     WHERE TIMESTAMP '2001-07-31 12:00:00' + to_hours(CAST(p_partkey % 48 AS INTEGER)) > {NOW} - INTERVAL 1 DAY
   UNION ALL SELECT 'order', {EXPIRY} FROM (SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-    WHERE o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) > {NOW} - INTERVAL 1 DAY)
+    WHERE {TOUCHED} > {NOW} - INTERVAL 1 DAY)
+  UNION ALL SELECT 'order_items', {EXPIRY} FROM (SELECT DISTINCT o_orderkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+    WHERE {TOUCHED} > {NOW} - INTERVAL 1 DAY)
   UNION ALL SELECT 'user_features', {EXPIRY} FROM customer) GROUP BY entity""")
 def sync_totals(t: Tables) -> DataFrame:
     tables = {"users": t.users(), "products": t.store_products(), "orders": t.orders(),

@@ -1,4 +1,4 @@
-"""Child rows nested into their parent, with a bound on what one row holds."""
+"""Child rows nested into pages of a bounded size."""
 
 from __future__ import annotations
 
@@ -7,29 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
-def nest_children(children: DataFrame, key: str, fields: Sequence[str], out: str = "items",
-                  part: str = "part", max_items: int = 10_000) -> DataFrame:
-    """(key, part, out): the children of a key as a sorted array of structs.
+def page_children(children: DataFrame, key: str, fields: Sequence[str], out: str = "items",
+                  page: str = "part", max_items: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """((key, item_count, parts), (key, page, out)): children counted, and told in pages.
 
-    Nearly all keys give one row with part 0. A key with more than `max_items` children
-    is told in several parts of about that many: its equal children are counted first,
-    cut into pieces of at most `max_items`, and the pieces spread by hash. So neither a
-    task nor a row holds an unbounded group, and no child is dropped.
+    Every key goes the same way. Its equal children are counted first and cut into pieces
+    of at most `max_items`; pieces go to one of the key's pages by hash, so a page holds
+    about `max_items` children and neither a task nor a row holds an unbounded group. A
+    page is a sorted array of structs; one that no piece falls on is left out.
     """
     child = F.struct(*fields)
-    sizes = children.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    large = sizes.filter(F.col("_size") > max_items).select(
-        key, F.ceil(F.col("_size") / F.lit(max_items)).cast("int").alias("_parts"))
-
-    usual = (children.join(large, key, "left_anti").groupBy(key)
-             .agg(F.array_sort(F.collect_list(child)).alias(out))
-             .select(key, F.lit(0).alias(part), out))
-
-    counted = children.join(large, key).groupBy(key, "_parts", *fields).agg(F.count(F.lit(1)).alias("_n"))
+    counted = children.groupBy(key, *fields).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.groupBy(key).agg(F.sum("_n").alias("item_count")).withColumn(
+        "parts", F.ceil(F.col("item_count") / F.lit(max_items)).cast("int"))
     last_piece = F.floor((F.col("_n") - 1) / F.lit(max_items)).cast("int")
-    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0), last_piece)))
+    pieces = counted.join(sizes.select(key, "parts"), key).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0), last_piece)))
     copies = F.least(F.lit(max_items), F.col("_n") - F.col("_piece") * max_items).cast("int")
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in fields], F.col("_piece")), F.col("_parts")).cast("int")
-    split = (pieces.withColumn(part, spread).groupBy(key, part)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in fields], F.col("_piece")), F.col("parts")).cast("int")
+    pages = (pieces.withColumn(page, spread).groupBy(key, page)
              .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat(child, copies)))).alias(out)))
-    return usual.unionByName(split)
+    return sizes, pages

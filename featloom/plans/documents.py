@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featloom.functions.time import Instant, instant, interval
 from featloom.operators.latest import changed_since
-from featloom.operators.nesting import nest_children
+from featloom.operators.nesting import page_children
 from featloom.plans import batch_features
 from featloom.schemas import DOCUMENT_TTL
 
@@ -20,10 +20,11 @@ ITEM_FIELDS = ("product_id", "quantity", "price")
 
 
 def json_ready(df: DataFrame, column: str) -> Column:
-    """Timestamps as ISO text, decimals as doubles; NULL stays NULL."""
+    """Timestamps as ISO text, with microseconds where there are any; decimals as doubles; NULL stays NULL."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(F.col(column), "yyyy-MM-dd'T'HH:mm:ss").alias(column)
+        text = F.date_format(F.col(column), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        return F.regexp_replace(text, r"\.000000$", "").alias(column)
     if isinstance(kind, T.DecimalType):
         return F.col(column).cast("double").alias(column)
     return F.col(column)
@@ -54,17 +55,22 @@ def product_documents(products: DataFrame, as_of: Instant = None, hours: float =
 def order_documents(orders: DataFrame, order_items: DataFrame, as_of: Instant = None,
                     hours: float = 24, ttl_seconds: int = DOCUMENT_TTL,
                     max_items: int = 10_000) -> DataFrame:
-    """Changed orders with their items nested; orders without items are left out.
+    """Changed orders and their items; orders without items are left out.
 
-    Items of orders that did not change are dropped before nesting. An order with more
-    than `max_items` items is told in several documents with a `part` number.
+    `order:{id}` holds the order with its `item_count` and number of `parts`;
+    `order:{id}:items:{part}` holds a page of its items. The layout does not depend on the
+    number of items, and every key is one document. Items of orders that did not change are
+    dropped before nesting.
     """
     changed = changed_since(orders, "updated_at", hours, as_of, strict=True)
     items = (order_items.join(changed.select("order_id"), "order_id", "left_semi")
              .select("order_id", "product_id", "quantity", F.col("price").cast("double").alias("price")))
-    nested = nest_children(items, "order_id", ITEM_FIELDS, max_items=max_items)
-    whole = changed.join(nested, "order_id")
-    return (documents(whole, "order", "order_id", (*ORDER_FIELDS, "part", "items"), ttl_seconds, as_of))
+    sizes, pages = page_children(items, "order_id", ITEM_FIELDS, max_items=max_items)
+    headers = documents(changed.join(sizes, "order_id"), "order", "order_id",
+                        (*ORDER_FIELDS, "item_count", "parts"), ttl_seconds, as_of)
+    place = F.concat(F.col("order_id").cast("string"), F.lit(":items:"), F.col("part").cast("string"))
+    return headers.unionByName(documents(pages.withColumn("place", place), "order", "place",
+                                         ("order_id", "part", "items"), ttl_seconds, as_of))
 
 
 def user_vector_documents(vectors: DataFrame, as_of: Instant = None,
@@ -75,7 +81,7 @@ def user_vector_documents(vectors: DataFrame, as_of: Instant = None,
 
 def sync_all(tables: dict[str, DataFrame], as_of: Instant = None, hours: float = 24,
              categories: dict[str, str] | None = None) -> DataFrame:
-    """One full pass over users, products, orders and user vectors.
+    """One full pass over users, products, orders and user vectors; pages of items are an entity of their own.
 
     Counts per entity come from an observation on the write, not from a second job:
     `sync_all(...).observe(obs, count(...))`.
@@ -90,4 +96,6 @@ def sync_all(tables: dict[str, DataFrame], as_of: Instant = None, hours: float =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("entity", F.substring_index("doc_key", ":", 1))
+    kind = F.substring_index("doc_key", ":", 1)
+    pages = (kind == "order") & F.contains("doc_key", F.lit(":items:"))
+    return out.withColumn("entity", F.when(pages, F.lit("order_items")).otherwise(kind))

@@ -116,29 +116,41 @@ def test_documents(store, rows):
     product = json.loads(rows(D.product_documents(store["products"], NOW), "doc_key")[0][1])
     assert product["price"] == 1299.99 and product["description"] is None
     orders = rows(D.order_documents(store["orders"], store["order_items"], NOW), "doc_key")
-    assert [r[0] for r in orders] == ["order:order-1", "order:order-2"]
-    second = json.loads(orders[1][1])
+    assert [r[0] for r in orders] == ["order:order-1", "order:order-1:items:0", "order:order-2", "order:order-2:items:0"]
+    second = json.loads(orders[2][1])
     assert second["total_amount"] == 999.98 and second["order_date"] == "2024-02-01T00:00:00"
-    assert second["items"] == [{"product_id": "prod-2", "quantity": 1, "price": 799.99},
+    assert (second["item_count"], second["parts"]) == (2, 1)
+    assert json.loads(orders[3][1])["items"] == [{"product_id": "prod-2", "quantity": 1, "price": 799.99},
                                {"product_id": "prod-3", "quantity": 1, "price": 199.99}]
 
 
-def test_large_order_is_told_in_parts(store, spark, rows):
+def test_large_order_is_told_in_pages(store, spark, rows):
     import json
 
     many = spark.range(1000).selectExpr("cast(id as int) order_item_id", "'order-1' order_id", "'prod-1' product_id",
                                         "cast(id as int) quantity", "cast(1 as decimal(12,2)) price")
-    docs = rows(D.order_documents(store["orders"], store["order_items"].unionByName(many), NOW, max_items=100))
-    bodies = [json.loads(d) for k, d, _ in docs if k == "order:order-1"]
-    assert len(bodies) > 5 and max(len(b["items"]) for b in bodies) < 250
-    assert sorted(i["quantity"] for b in bodies for i in b["items"]) == sorted([1, *range(1000)])
-    assert len({b["part"] for b in bodies}) == len(bodies)
-    assert [json.loads(d)["part"] for k, d, _ in docs if k == "order:order-2"] == [0]
+    docs = {k: json.loads(d) for k, d, _ in rows(D.order_documents(
+        store["orders"], store["order_items"].unionByName(many), NOW, max_items=100))}
+    header = docs["order:order-1"]
+    assert header["item_count"] == 1001 and header["parts"] == 11
+    pages = [d for k, d in docs.items() if k.startswith("order:order-1:items:")]
+    assert max(len(p["items"]) for p in pages) < 250 and len({p["part"] for p in pages}) == len(pages)
+    assert sorted(i["quantity"] for p in pages for i in p["items"]) == sorted([1, *range(1000)])
+    assert docs["order:order-2"]["parts"] == 1 and "order:order-2:items:0" in docs
+
+
+def test_documents_keep_microseconds(table, rows):
+    import json
+
+    users = table("user_id string, username string, email string, created_at timestamp_ntz, updated_at timestamp_ntz, "
+                  "last_login timestamp_ntz", [("u", "n", "e", "2024-01-31 00:00:00", "2024-02-01 10:00:00.123456", None)])
+    got = json.loads(rows(D.user_documents(users, NOW))[0][1])
+    assert got["updated_at"] == "2024-02-01T10:00:00.123456" and got["created_at"] == "2024-01-31T00:00:00"
 
 
 def test_sync_totals(store, rows):
     got = D.sync_all(store, NOW).groupBy("entity").count()
-    assert dict(rows(got)) == {"user": 2, "product": 3, "order": 2, "user_features": 3}
+    assert dict(rows(got)) == {"user": 2, "product": 3, "order": 2, "order_items": 2, "user_features": 3}
 
 
 def test_features_to_online(shop, rows):
