@@ -14,28 +14,47 @@ ROW = T.StructType([
 ])
 
 
-def messages(orders: DataFrame) -> DataFrame:
-    """Change messages told by each order: created, then updated (status F or O) or deleted
-    (every 11th), the later change written first; every 13th order ends in a tombstone."""
-    row = lambda status, factor: F.struct(
+def _row(status, factor: int):
+    return F.struct(
         F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
         F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"),
         (F.col("o_totalprice") * factor).alias("amount"))
+
+
+def _told(orders: DataFrame, parts: list) -> DataFrame:
+    """The messages of each order, last ones first; the offset tells their place in the log."""
+    told = F.array(*[F.struct(value.alias("value"), F.lit(i).alias("place"), there.alias("there"))
+                     for i, (there, value) in reversed(list(enumerate(parts)))])
+    key = F.concat(F.lit('{"schema":{"type":"struct"},"payload":{"order_id":'), F.col("o_orderkey"), F.lit("}}"))
+    return (orders.select(key.alias("key"), F.col("o_orderkey"), F.explode(F.filter(told, lambda m: m["there"])).alias("m"))
+            .select("key", "m.value", F.lit("dbz.public.orders").alias("topic"),
+                    (F.col("o_orderkey") * 10 + F.col("m.place")).alias("offset")))
+
+
+def _every(n: int):
+    return F.col("o_orderkey") % n == 0
+
+
+def messages(orders: DataFrame) -> DataFrame:
+    """Change messages told by each order: created and updated (in one millisecond for every
+    third), every 11th deleted, every 13th ended by a tombstone, every 26th created again;
+    every 17th also has a text that cannot be read. Every other envelope stands bare."""
     at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     none = F.lit(None).cast(ROW)
-    created = F.struct(none.alias("before"), row("PENDING", 1).cast(ROW).alias("after"),
-                       F.lit("c").alias("op"), at.alias("ts_ms"))
-    updated = F.struct(row("PENDING", 1).cast(ROW).alias("before"),
-                       row(F.when(F.col("o_orderstatus") == "P", "PENDING").otherwise("COMPLETED"), 2)
-                       .cast(ROW).alias("after"), F.lit("u").alias("op"), (at + 1000).alias("ts_ms"))
-    deleted = F.struct(row("COMPLETED", 2).cast(ROW).alias("before"), none.alias("after"),
-                       F.lit("d").alias("op"), (at + 2000).alias("ts_ms"))
-    gone = F.col("o_orderkey") % 11 == 0
-    told = F.array_compact(F.array(F.when(gone, deleted), updated, created))
-    texts = F.transform(told, lambda p: F.to_json(F.struct(p.alias("payload"))))
-    texts = F.when(F.col("o_orderkey") % 13 == 0, F.concat(texts, F.array(F.lit(None).cast("string")))).otherwise(texts)
-    return orders.select(F.concat(F.lit('{"id":'), F.col("o_orderkey"), F.lit("}")).alias("key"),
-                         F.explode(texts).alias("value"), F.lit("dbz.public.orders").alias("topic"))
+    status = F.when(F.col("o_orderstatus") == "P", "PENDING").otherwise("COMPLETED")
+
+    def change(before, after, op: str, when):
+        body = F.struct(before.cast(ROW).alias("before"), after.cast(ROW).alias("after"), F.lit(op).alias("op"),
+                        when.alias("ts_ms"))
+        return F.when(_every(2), F.to_json(body)).otherwise(F.to_json(F.struct(body.alias("payload"))))
+
+    return _told(orders, [
+        (F.lit(True), change(none, _row("PENDING", 1), "c", at)),
+        (F.lit(True), change(_row("PENDING", 1), _row(status, 2), "u", at + F.when(_every(3), 0).otherwise(1000))),
+        (_every(11), change(_row("COMPLETED", 2), none, "d", at + 2000)),
+        (_every(13), F.lit(None).cast("string")),
+        (_every(26), change(none, _row("AGAIN", 3), "c", at + 3000)),
+        (_every(17), F.lit('{"payload": {"after": '))])
 
 
 def base_table(t: Tables) -> DataFrame:
@@ -49,14 +68,16 @@ def base_table(t: Tables) -> DataFrame:
     return first.unionByName(old)
 
 
-SQL_APPLIED = """SELECT o_orderkey AS order_id, o_custkey AS user_id,
-CASE WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE 'COMPLETED' END AS status, o_totalprice * 2 AS amount
-FROM orders WHERE o_orderkey % 11 <> 0
-UNION ALL SELECT -c_custkey - 1, c_custkey, 'OLD', c_acctbal FROM customer"""
+SQL_OLD = "SELECT -c_custkey - 1, c_custkey, 'OLD', c_acctbal FROM customer"
+SQL_APPLIED = f"""SELECT o_orderkey AS order_id, o_custkey AS user_id,
+CASE WHEN o_orderkey % 26 = 0 THEN 'AGAIN' WHEN o_orderstatus = 'P' THEN 'PENDING' ELSE 'COMPLETED' END AS status,
+o_totalprice * CASE WHEN o_orderkey % 26 = 0 THEN 3 ELSE 2 END AS amount
+FROM orders WHERE o_orderkey % 26 = 0 OR (o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0)
+UNION ALL {SQL_OLD}"""
 
 
 def _changes(t: Tables) -> DataFrame:
-    return C.parse(messages(t.raw("orders")), ROW)
+    return C.parse(messages(t.raw("orders")), ROW, ["order_id"])
 
 
 @query(SQL_APPLIED)
@@ -64,31 +85,58 @@ def cdc_apply(t: Tables) -> DataFrame:
     return C.apply(base_table(t), C.flat(_changes(t), ROW), ["order_id"])
 
 
-@query("""SELECT o_orderkey AS order_id, o_custkey AS user_id, 'NEW' AS status, o_totalprice AS amount FROM orders
-WHERE o_orderkey % 13 <> 0 UNION ALL SELECT -c_custkey - 1, c_custkey, 'OLD', c_acctbal FROM customer""")
-def cdc_tombstones(t: Tables) -> DataFrame:
-    marked = _changes(t).withColumn("key", F.regexp_replace("key", '"id"', '"order_id"'))
-    return C.without_tombstoned(base_table(t), marked, "order_id").select("order_id", "user_id", "status", "amount")
-
-
 @query("""SELECT 'orders' AS table_name, o_orderkey AS order_id, change FROM (
 SELECT o_orderkey, 'created' AS change FROM orders
 UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'updated' ELSE 'status_changed' END FROM orders
-UNION ALL SELECT o_orderkey, 'deleted' FROM orders WHERE o_orderkey % 11 = 0)""")
+UNION ALL SELECT o_orderkey, 'deleted' FROM orders WHERE o_orderkey % 11 = 0
+UNION ALL SELECT o_orderkey, 'created' FROM orders WHERE o_orderkey % 26 = 0)""")
 def cdc_status_changes(t: Tables) -> DataFrame:
     return C.classify_orders(_changes(t)).select(
         "table_name", F.coalesce("after.order_id", "before.order_id").alias("order_id"), "change")
 
 
-@query("""SELECT 'orders' AS table_name, o_orderkey AS order_id, o_custkey AS user_id, o_orderstatus AS status FROM orders""")
+def unwrapped_messages(orders: DataFrame) -> DataFrame:
+    """Rows as the connector sends them unwrapped: inside `payload` (every other one bare), deletes
+    only as tombstones (every 11th), every 22nd inserted again, every 17th with a text that cannot be read."""
+    def row(status: str, factor: int):
+        r = _row(status, factor)
+        return F.when(_every(2), F.to_json(r)).otherwise(
+            F.to_json(F.struct(F.struct(F.lit("struct").alias("type")).alias("schema"), r.alias("payload"))))
+    return _told(orders, [(F.lit(True), row("FIRST", 1)), (F.lit(True), row("SECOND", 2)),
+                          (_every(11), F.lit(None).cast("string")), (_every(22), row("AGAIN", 3)),
+                          (_every(17), F.lit("oops"))])
+
+
+SQL_UNWRAPPED = f"""SELECT o_orderkey AS order_id, o_custkey AS user_id,
+CASE WHEN o_orderkey % 22 = 0 THEN 'AGAIN' ELSE 'SECOND' END AS status,
+o_totalprice * CASE WHEN o_orderkey % 22 = 0 THEN 3 ELSE 2 END AS amount
+FROM orders WHERE o_orderkey % 22 = 0 OR o_orderkey % 11 <> 0 UNION ALL {SQL_OLD}"""
+
+
+@query(SQL_UNWRAPPED)
 def cdc_unwrapped(t: Tables) -> DataFrame:
-    plain = t.raw("orders").select(
-        F.col("o_orderkey").cast("string").alias("key"),
-        F.to_json(F.struct(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
-                           F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"))).alias("value"),
-        F.lit("dbz.public.orders").alias("topic"))
-    return C.parse(plain, ROW, unwrapped=True).select(
-        "table_name", "after.order_id", "after.user_id", "after.status")
+    """Deletes by tombstone, and rows that come back after one."""
+    changes = C.parse(unwrapped_messages(t.raw("orders")), ROW, ["order_id"], unwrapped=True)
+    return C.apply(base_table(t), C.flat(changes, ROW), ["order_id"])
+
+
+@query("""SELECT form, kind, COUNT(*) AS messages FROM (
+SELECT 'envelope' AS form, unnest(['valid', 'valid', CASE WHEN o_orderkey % 11 = 0 THEN 'valid' END, CASE WHEN o_orderkey % 13 = 0
+  THEN 'valid' END, CASE WHEN o_orderkey % 26 = 0 THEN 'valid' END, CASE WHEN o_orderkey % 17 = 0 THEN 'rejected' END]) AS kind FROM orders
+UNION ALL SELECT 'unwrapped', unnest(['valid', 'valid', CASE WHEN o_orderkey % 11 = 0 THEN 'valid' END,
+  CASE WHEN o_orderkey % 22 = 0 THEN 'valid' END, CASE WHEN o_orderkey % 17 = 0 THEN 'rejected' END]) FROM orders)
+WHERE kind IS NOT NULL GROUP BY 1, 2""")
+def cdc_rejects(t: Tables) -> DataFrame:
+    """What could be read and what could not, together all messages."""
+    parts = []
+    for form, sent in (("envelope", messages(t.raw("orders"))), ("unwrapped", unwrapped_messages(t.raw("orders")))):
+        for kind, of in (("valid", C.parse), ("rejected", C.rejects)):
+            parts.append(of(sent, ROW, ["order_id"], form == "unwrapped")
+                         .select(F.lit(form).alias("form"), F.lit(kind).alias("kind")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("form", "kind").agg(F.count(F.lit(1)).alias("messages"))
 
 
 # star schema -----------------------------------------------------------------

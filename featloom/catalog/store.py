@@ -15,19 +15,20 @@ NOW = f"TIMESTAMP '{EVENTS_AS_OF}'"
 FEATURES = ["view", "click", "purchase", "absent"]
 
 
-def online(t: Tables, ttl_days: int = 3) -> DataFrame:
-    """Every event as an online write of its type's feature, three days to live."""
+def online(t: Tables) -> DataFrame:
+    """Every event as an online write of its type's feature, one to seven days to live, or for ever."""
     return t.events().select(
         F.lit("customer").alias("entity_type"), F.col("user_id").cast("string").alias("entity_id"),
         F.col("event_type").alias("feature_name"), F.col("value").cast("string").alias("value"),
         F.col("ts").alias("written_at"),
-        F.expr(f"ts + INTERVAL {ttl_days} DAY").alias("expires_at"))
+        F.expr("if(event_id % 8 = 0, NULL, ts + make_dt_interval(cast(event_id % 8 as int)))").alias("expires_at"))
 
 
-SQL_ONLINE = """(SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS feature_name, value,
-  ts AS written_at, ts + INTERVAL 3 DAY AS expires_at FROM events)"""
-SQL_LIVE = f"""(SELECT entity_id, feature_name, arg_max(value, written_at) AS value
-  FROM {SQL_ONLINE} WHERE expires_at > {NOW} GROUP BY 1, 2)"""
+SQL_ONLINE = """(SELECT CAST(user_id AS VARCHAR) AS entity_id, event_type AS feature_name, value, ts AS written_at,
+  CASE WHEN event_id % 8 <> 0 THEN ts + to_days(CAST(event_id % 8 AS INTEGER)) END AS expires_at FROM events)"""
+SQL_LIVE = f"""(SELECT entity_id, feature_name, value FROM (SELECT *, row_number() OVER
+  (PARTITION BY entity_id, feature_name ORDER BY written_at DESC) AS n FROM {SQL_ONLINE})
+  WHERE n = 1 AND (expires_at IS NULL OR expires_at > {NOW}))"""
 
 
 def keys(t: Tables) -> DataFrame:
@@ -81,16 +82,17 @@ def keyed_online(t: Tables) -> DataFrame:
     value = (F.when(bad == 4, F.lit("{oops")).when(bad == 5, F.lit(""))
              .otherwise(F.col("value").cast("string")))
     return t.events().select(key.alias("key"), value.alias("value"), F.col("ts").alias("written_at"),
-                             F.expr("ts + INTERVAL 7 DAY").alias("expires_at"))
+                             F.expr("ts + make_dt_interval(cast(event_id % 40 as int))").alias("expires_at"))
 
 
-SQL_GOOD_ONLINE = """SELECT CAST(user_id AS VARCHAR) AS customer_id, event_type AS feature_name,
-CAST(value AS VARCHAR) AS feature_value, ts AS "timestamp" FROM events WHERE event_id % 10 NOT IN (1, 2, 3, 4, 5)"""
+SQL_GOOD_ONLINE = f"""SELECT CAST(user_id AS VARCHAR) AS customer_id, event_type AS feature_name,
+CAST(value AS VARCHAR) AS feature_value, ts AS "timestamp" FROM events WHERE event_id % 10 NOT IN (1, 2, 3, 4, 5)
+AND ts + to_days(CAST(event_id % 40 AS INTEGER)) > {NOW}"""
 
 
 @query(SQL_GOOD_ONLINE)
 def materialize_offline(t: Tables) -> DataFrame:
-    return M.from_online(keyed_online(t), "customer")
+    return M.from_online(keyed_online(t), "customer", as_of=EVENTS_AS_OF)
 
 
 @query(f"""WITH base AS (SELECT CAST(user_id AS VARCHAR) AS customer_id, event_type AS feature_name,
@@ -104,7 +106,7 @@ def offline_upsert(t: Tables) -> DataFrame:
     base = (t.tall_features().filter(F.col("feature_name") != "view")
             .withColumn("customer_id", F.col("customer_id").cast("string"))
             .withColumn("feature_value", (F.col("feature_value").cast("double") + 1).cast("string")))
-    return M.to_offline(base, keyed_online(t), "customer")
+    return M.to_offline(base, keyed_online(t), "customer", as_of=EVENTS_AS_OF)
 
 
 @query(f"""WITH o AS (SELECT customer_id, feature_name, arg_max(feature_value, "timestamp") AS v, MAX("timestamp") AS seen_at
@@ -167,6 +169,19 @@ def query_to_online(t: Tables) -> DataFrame:
                        (F.col("value") == "null").alias("is_null"))
 
 
+@query(f"""WITH l AS (SELECT * FROM (SELECT user_id, event_id, value, event_type, row_number() OVER
+  (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1)
+SELECT CAST(user_id AS VARCHAR) AS entity_id, 'amount' AS feature_name, CAST(value AS VARCHAR) AS value,
+  {NOW} + INTERVAL 7 DAY AS expires_at FROM l WHERE event_id % 3 <> 0
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'kind', event_type, {NOW} + INTERVAL 7 DAY FROM l""")
+def store_last_row(t: Tables) -> DataFrame:
+    """Many rows of an id in one write: the last one is stored as a whole."""
+    wide = t.events().select(F.col("user_id").alias("entity_id"), "ts", F.col("event_type").alias("kind"),
+                             F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("amount"))
+    rows = S.store_features_batch(wide, "user", EVENTS_AS_OF, order=["ts"])
+    return rows.select("entity_id", "feature_name", "value", "expires_at")
+
+
 def history(t: Tables) -> DataFrame:
     wide = t.events().select(F.col("user_id").alias("entity_id"), "event_type", "value",
                              F.get_json_object("props", "$.k").cast("int").alias("k"), "ts")
@@ -245,7 +260,7 @@ def training_set(t: Tables) -> DataFrame:
 
 @query(f"""SELECT entity_id, feature_name, value, written_at FROM (
 SELECT *, row_number() OVER (PARTITION BY entity_id, feature_name ORDER BY written_at DESC) AS n FROM {SQL_ONLINE})
-WHERE n = 1 AND expires_at > {NOW}""")
+WHERE n = 1 AND (expires_at IS NULL OR expires_at > {NOW})""")
 def online_compaction(t: Tables) -> DataFrame:
     kept = maintain.compact(online(t), ["entity_type", "entity_id", "feature_name"],
                             ["written_at", "value"], EVENTS_AS_OF)

@@ -28,17 +28,36 @@ def top_n_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str],
            order: Sequence[str] = (), updated_at: str | None = None,
            as_of: Instant = None) -> DataFrame:
-    """`base` with `updates` laid over it: an update replaces the row with its key.
+    """`base`, which has one row per key, with `updates` laid over it: an update replaces the row with its key.
 
     Among updates of one key the greatest `order` wins. `updated_at` names a column
-    that every written row gets set to the evaluation time.
+    that every written row gets set to the evaluation time. Only the updates are reduced;
+    `base` is looked up by key, so few updates do not move a large table.
     """
     if updated_at:
         updates = updates.withColumn(updated_at, instant_like(base, updated_at, as_of))
-    updates = updates.select(*base.columns)
-    both = (base.withColumn("_layer", F.lit(0))
-            .unionByName(updates.withColumn("_layer", F.lit(1))))
-    return latest_by_key(both, keys, ["_layer", *order]).drop("_layer")
+    rest = [c for c in base.columns if c not in (*keys, *order)]
+    # whole rows decide what the order leaves open, so that the result does not depend on chance
+    tie = [F.to_json(F.struct(*rest)).desc()] if rest else []
+    newest = top_n_by_key(updates.select(*base.columns), keys, [*(F.col(c).desc() for c in order), *tie], 1)
+    return _without_keys(base, newest, keys).unionByName(newest)
+
+
+def merge_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Like `upsert`, but an update replaces a row only if its `order` is greater.
+
+    Rows of `base` without an update stay where they are.
+    """
+    newest = latest_by_key(updates.select(*base.columns), keys, order)
+    touched = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    met = base.join(touched, same, "left_semi")
+    return _without_keys(base, newest, keys).unionByName(latest_by_key(met.unionByName(newest), keys, order))
+
+
+def _without_keys(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    other = gone.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    return base.join(other, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_anti")
 
 
 def retain(df: DataFrame, moment: str, days: int, as_of: Instant = None) -> DataFrame:

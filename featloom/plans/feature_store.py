@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featloom.functions.time import Instant, instant, instant_like, interval
 from featloom.functions.values import (
     as_number, decoded_text, encode, is_present, typed,
 )
 from featloom.operators.intervals import SLICE_SECONDS, as_of_join
-from featloom.operators.latest import in_time_range, latest_by_key, top_n_by_key
+from featloom.operators.latest import in_time_range, merge_latest, top_n_by_key
 from featloom.schemas import FEATURE_TTL
 
+#: History rows of one entity, unless asked otherwise.
+HISTORY_ROWS = 100
 ONLINE_KEY = ("entity_type", "entity_id", "feature_name")
 
 
@@ -55,11 +57,18 @@ def to_online(df: DataFrame, entity_type: str | None = None, id_column: str = "e
     return out if keep_nulls else out.filter(F.col("value").isNotNull())
 
 
-def store_features_batch(df: DataFrame, entity_type: str, as_of: Instant = None) -> DataFrame:
-    """Batch features as online rows with seven days to live; the last row of an id wins."""
+def store_features_batch(df: DataFrame, entity_type: str, as_of: Instant = None,
+                         order: Sequence[str] = ()) -> DataFrame:
+    """Batch features as online rows with seven days to live; the last row of an id wins.
+
+    The last row is the one with the greatest `order` columns, which are no features; rows
+    that these leave equal go by their JSON text. It wins as a whole: its NULL values do not
+    let those of an earlier row through.
+    """
     id_column = f"{entity_type}_id" if entity_type in ("customer", "product") else "entity_id"
-    rows = to_online(df, entity_type, id_column, ttl_seconds=FEATURE_TTL, as_of=as_of)
-    return latest_by_key(rows, ONLINE_KEY, ["written_at", "value"])
+    last = [*(F.col(c).desc() for c in order), F.to_json(F.struct(*df.columns)).desc()]
+    rows = top_n_by_key(df.filter(F.col(id_column).isNotNull()), [id_column], last, 1).drop(*order)
+    return to_online(rows, entity_type, id_column, ttl_seconds=FEATURE_TTL, as_of=as_of)
 
 
 def materialize_query(spark: SparkSession, query: str, ttl_seconds: int | None = None,
@@ -75,23 +84,26 @@ def live(online: DataFrame, as_of: Instant = None) -> DataFrame:
 
 
 def merge_online(online: DataFrame, updates: DataFrame) -> DataFrame:
-    """The online table after writing `updates`: the latest write of a key wins."""
-    return latest_by_key(online.unionByName(updates.select(*online.columns)),
-                         ONLINE_KEY, ["written_at", "value"])
+    """The online table, one row per key, after writing `updates`: the latest write of a key wins."""
+    return merge_latest(online, updates, ONLINE_KEY, ["written_at", "value"])
 
 
 def read_online(keys: DataFrame, online: DataFrame, features: Sequence[str], entity_type: str,
                 as_of: Instant = None) -> DataFrame:
     """Every requested entity with one text column per feature and the list of missing ones.
 
+    The latest write of a feature counts (of writes at one time the greatest text, then the
+    longest to live), and is missing once it has expired: an older one does not come back.
     The latest value per feature and the pivot are one aggregation with map-side
     combining; requested entities are never multiplied by feature names.
     """
-    wanted = live(online, as_of).filter(
-        (F.col("entity_type") == entity_type) & F.col("feature_name").isin(list(features)))
-    cell = F.struct("written_at", "value")
-    wide = wanted.groupBy("entity_id").agg(
+    wanted = online.filter((F.col("entity_type") == entity_type) & F.col("feature_name").isin(list(features)))
+    cell = F.struct("written_at", "value", F.col("expires_at").isNull().alias("forever"), "expires_at")
+    latest = wanted.groupBy("entity_id").agg(
         *[F.max(F.when(F.col("feature_name") == f, cell)).alias(f) for f in features])
+    now = instant_like(online, "expires_at", as_of)
+    alive = lambda f: F.col(f)["forever"] | (F.col(f)["expires_at"] > now)
+    wide = latest.select("entity_id", *[F.when(alive(f), F.col(f)).alias(f) for f in features])
     found = keys.select(F.col("entity_id").cast("string").alias("entity_id")).distinct().join(
         wide, "entity_id", "left")
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in features]))
@@ -144,14 +156,15 @@ def write_both(df: DataFrame, entity_type: str, id_column: str = "entity_id",
 
 def read_history(history: DataFrame, features: Sequence[str], entity_type: str,
                  entity_id: str | None = None, start: Instant = None, end: Instant = None,
-                 limit: int = 100) -> DataFrame:
-    """The newest `limit` history rows of an entity (of every entity if none is named),
-    with the chosen features as text columns. The JSON text is parsed once per row."""
+                 limit: int | None = None) -> DataFrame:
+    """The newest history rows of an entity, 100 if no `limit` is given, or those of every
+    entity: all of them, or `limit` for each. The chosen features are text columns; the
+    JSON text is parsed once per row."""
     rows = in_time_range(history.filter(F.col("entity_type") == entity_type), "timestamp", start, end)
     if entity_id is not None:
         rows = (rows.filter(F.col("entity_id") == entity_id)
-                .orderBy(F.col("timestamp").desc(), F.col("data").desc()).limit(limit))
-    else:
+                .orderBy(F.col("timestamp").desc(), F.col("data").desc()).limit(limit or HISTORY_ROWS))
+    elif limit is not None:
         rows = top_n_by_key(rows, ["entity_id"],
                             [F.col("timestamp").desc(), F.col("data").desc()], limit)
     parsed = F.from_json("data", ", ".join(f"`{f}` string" for f in features))
@@ -170,8 +183,3 @@ def point_in_time(labels: DataFrame, history: DataFrame, features: Sequence[str]
     return as_of_join(labels, known, ["entity_id"], label_time, "timestamp",
                       ["timestamp", *features], strict, ["data"], slice_seconds)
 
-
-def parse_values(online: DataFrame) -> DataFrame:
-    """Online rows with the plain text and, where there is one, the number of each value."""
-    v: Column = F.col("value")
-    return online.withColumn("text", decoded_text(v)).withColumn("number", as_number(v))

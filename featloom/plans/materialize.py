@@ -10,6 +10,7 @@ from featloom.functions.keys import ENTITY_IDS, joined, key_has_shape, key_parts
 from featloom.functions.time import Instant, instant, interval
 from featloom.functions.values import is_json
 from featloom.operators.latest import changed_since, latest_by_key, upsert
+from featloom.plans.feature_store import live
 from featloom.schemas import FEATURE_TTL
 
 
@@ -35,13 +36,14 @@ def to_online(tall: DataFrame, entity_type: str, since_hours: float = 24, as_of:
         (instant(as_of, "timestamp_ntz") + interval(ttl_seconds, "second")).alias("expires_at"))
 
 
-def from_online(online: DataFrame, entity_type: str, features: Sequence[str] | None = None) -> DataFrame:
-    """Keyed online rows of a type as tall offline rows.
+def from_online(online: DataFrame, entity_type: str, features: Sequence[str] | None = None,
+                as_of: Instant = None) -> DataFrame:
+    """Live keyed online rows of a type as tall offline rows.
 
-    Keys of another shape, empty values and text that is not JSON are left out.
+    Expired rows, keys of another shape, empty values and text that is not JSON are left out.
     """
     ids = ENTITY_IDS[entity_type]
-    of_type = online.filter(F.col("key").startswith(entity_type + ":"))
+    of_type = live(online, as_of).filter(F.col("key").startswith(entity_type + ":"))
     good = of_type.filter(key_has_shape(F.col("key"), len(ids)) & is_json(F.col("value")))
     parts = key_parts(F.col("key"))
     out = good.select(*[parts[i + 1].alias(c) for i, c in enumerate(ids)],
@@ -53,10 +55,10 @@ def from_online(online: DataFrame, entity_type: str, features: Sequence[str] | N
 
 
 def to_offline(offline: DataFrame, online: DataFrame, entity_type: str,
-               features: Sequence[str] | None = None) -> DataFrame:
-    """The offline table after writing the online values back under their own timestamps."""
+               features: Sequence[str] | None = None, as_of: Instant = None) -> DataFrame:
+    """The offline table after writing the live online values back under their own timestamps."""
     keys = [*ENTITY_IDS[entity_type], "feature_name", "timestamp"]
-    return upsert(offline, from_online(online, entity_type, features), keys, ["feature_value"])
+    return upsert(offline, from_online(online, entity_type, features, as_of), keys, ["feature_value"])
 
 
 def run(offline: dict[str, DataFrame], online: DataFrame, direction: str = "both",
@@ -73,5 +75,5 @@ def run(offline: dict[str, DataFrame], online: DataFrame, direction: str = "both
             fresh = to_online(offline[kind], kind, since_hours, as_of, names)
             online = upsert(online, fresh, ["key"], ["written_at"])
         if direction in ("offline", "both"):
-            offline[kind] = to_offline(offline[kind], online, kind, names)
+            offline[kind] = to_offline(offline[kind], online, kind, names, as_of)
     return online, offline

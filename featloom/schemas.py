@@ -25,6 +25,8 @@ RECORD = T.StructType([
     T.StructField("value", T.StringType(), True),
     T.StructField("topic", T.StringType(), True),
     T.StructField("timestamp", T.TimestampType(), True),
+    T.StructField("partition", T.IntegerType(), True),
+    T.StructField("offset", T.LongType(), True),
 ])
 
 VERSIONS = "array<struct<version:int,status:string,created_at:timestamp_ntz>>"
@@ -35,15 +37,13 @@ DOCUMENT_TTL = 86_400
 FEATURE_TTL = 7 * 86_400
 
 
-def change_envelope(row: T.StructType) -> T.StructType:
-    """Change-data message: `payload` with the row before and after, the operation and its time."""
+def change_body(row: T.StructType) -> T.StructType:
+    """A change: the row before and after, the operation and its time."""
     return T.StructType([
-        T.StructField("payload", T.StructType([
-            T.StructField("before", row, True),
-            T.StructField("after", row, True),
-            T.StructField("op", T.StringType(), True),
-            T.StructField("ts_ms", T.LongType(), True),
-        ]), True),
+        T.StructField("before", row, True),
+        T.StructField("after", row, True),
+        T.StructField("op", T.StringType(), True),
+        T.StructField("ts_ms", T.LongType(), True),
     ])
 
 

@@ -13,14 +13,21 @@ from featloom.sinks import tables as out
 
 
 def start_apply(messages: DataFrame, row: T.StructType, keys: Sequence[str], path: str, checkpoint: str,
-                order: Sequence[str] = ("ts_ms",), **trigger) -> StreamingQuery:
-    """Each micro-batch is reduced to its latest change per key before it is written."""
+                order: Sequence[str] = C.ORDER, unwrapped: bool = False, rejects_path: str | None = None,
+                **trigger) -> StreamingQuery:
+    """Each micro-batch is reduced to its latest change per key before it is written.
+
+    Messages that cannot be read go to `rejects_path`, if one is given.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out.write_batch(latest_by_key(C.flat(batch, row), keys, order), batch_id, path)
-    return out.start(C.parse(messages, row), handle, checkpoint, "append", **trigger)
+        changes = C.flat(C.parse(batch, row, keys, unwrapped), row)
+        out.write_batch(latest_by_key(changes, keys, order), batch_id, path)
+        if rejects_path:
+            out.write_batch(C.rejects(batch, row, keys, unwrapped), batch_id, rejects_path)
+    return out.start(messages, handle, checkpoint, "append", **trigger)
 
 
 def table(spark: SparkSession, path: str, base: DataFrame, keys: Sequence[str],
-          order: Sequence[str] = ("ts_ms",)) -> DataFrame:
+          order: Sequence[str] = C.ORDER) -> DataFrame:
     """The table as of the changes written so far; changes may arrive out of order."""
     return C.apply(base, spark.read.parquet(path).drop("batch_id"), keys, order)

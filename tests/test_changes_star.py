@@ -27,24 +27,54 @@ def messages(table):
 
 
 def test_parse_and_classify(messages, rows):
-    changes = C.parse(messages, ROW)
+    changes = C.parse(messages, ROW, ["id"])
     assert changes.count() == 7 and set(r["table_name"] for r in changes.collect()) == {"orders"}
     got = sorted((r["change"], (r["after"] or r["before"])["id"]) for r in C.classify_orders(changes).collect())
     assert got == [("created", 1), ("created", 2), ("deleted", 2), ("snapshot", 4), ("status_changed", 1), ("updated", 3)]
+    assert [r["value"] for r in C.rejects(messages, ROW, ["id"]).collect()] == ["not json"]
 
 
 def test_apply(messages, table, rows):
     base = table("id bigint, status string", [(1, "OLD"), (2, "OLD"), (5, "OLD"), (9, "OLD")])
-    changes = C.parse(messages, ROW)
-    after = C.apply(base, C.flat(changes, ROW), ["id"])
-    assert rows(after, "id") == [(1, "COMPLETED"), (3, "PENDING"), (4, "PENDING"), (5, "OLD"), (9, "OLD")]
-    assert rows(C.without_tombstoned(after, changes, "id"), "id")[-2:] == [(4, "PENDING"), (9, "OLD")]
-
-
-def test_unwrapped(table, rows):
-    df = table("key string, value string, topic string", [("1", '{"id": 1, "status": "NEW"}', "x.orders"), ("2", None, "x.orders")])
-    got = C.parse(df, ROW, unwrapped=True).collect()
-    assert [(r["after"] and r["after"]["status"], r["is_tombstone"]) for r in got] == [("NEW", False), (None, True)]
+    after = C.apply(base, C.flat(C.parse(messages, ROW, ["id"]), ROW), ["id"])
+    assert rows(after, "id") == [(1, "COMPLETED"), (3, "PENDING"), (4, "PENDING"), (9, "OLD")]   # 5 by its tombstone
+
+
+LOG = "key string, value string, topic string, offset bigint, timestamp timestamp"
+AT = "2024-01-01 00:00:00"
+
+
+def test_unwrapped_as_the_connector_sends_it(table, rows):
+    key = lambda i: json.dumps({"schema": {"type": "struct"}, "payload": {"id": i}})
+    row = lambda i, status: json.dumps({"schema": {}, "payload": {"id": i, "status": status}})
+    sent = table(LOG, [
+        (key(1), row(1, "NEW"), "x.orders", 0, AT), (key(1), row(1, "PAID"), "x.orders", 1, AT),      # one time: the offset decides
+        (key(2), row(2, "NEW"), "x.orders", 2, AT), (key(2), None, "x.orders", 3, AT),
+        (key(3), None, "x.orders", 5, AT), (key(3), row(3, "BACK"), "x.orders", 6, AT),               # inserted again after its delete
+        ('{"id": 4}', '{"id": 4, "status": "BARE"}', "x.orders", 7, AT),
+        ("{}", "oops", "x.orders", 8, AT), (None, None, "x.orders", 9, AT), (key(9), '{"status": "NO KEY"}', "x.orders", 10, AT)])
+    changes = C.parse(sent, ROW, ["id"], unwrapped=True)
+    base = table("id bigint, status string", [(2, "OLD"), (3, "OLD"), (8, "OLD")])
+    got = C.apply(base, C.flat(changes.repartition(5), ROW), ["id"])
+    assert rows(got, "id") == [(1, "PAID"), (3, "BACK"), (4, "BARE"), (8, "OLD")]
+    bad = C.rejects(sent, ROW, ["id"], unwrapped=True)
+    assert sorted(r["offset"] for r in bad.collect()) == [8, 9, 10] and changes.count() + bad.count() == sent.count()
+
+
+def test_envelope_with_and_without_payload(table, rows):
+    bare = json.dumps({"before": None, "after": {"id": 1, "status": "A"}, "op": "c", "ts_ms": 5})
+    sent = table(LOG, [('{"id": 1}', bare, "t", 0, AT), ('{"id": 2}', json.dumps({"payload": json.loads(bare)}), "t", 1, AT),
+                       ('{"id": 2}', '{"payload": {"op": "c"}}', "t", 2, AT)])
+    assert C.parse(sent, ROW, ["id"]).count() == 2 and C.rejects(sent, ROW, ["id"]).first()["offset"] == 2
+
+
+def test_apply_does_not_move_the_base(spark, table):
+    base = spark.range(1000).selectExpr("id", "'OLD' AS status")
+    changes = table("id bigint, status string, op string, ts_ms bigint, offset bigint", [(1, "NEW", "u", 1, 1)])
+    plan = C.apply(base, changes, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    kept = plan.split("Join LeftAnti")[1].split("Window")[0]
+    assert "Range (0, 1000" in kept.split("Project")[0] or plan.index("Range (0, 1000") < plan.index("Window")
+    assert plan.count("Range (0, 1000") == 1
 
 
 def test_dense_keys(spark):

@@ -80,9 +80,28 @@ def test_write_wide(spark, rows):
     assert str(first["expires_at"]) == "2024-02-01 00:01:00"
 
 
-def test_last_row_of_an_id_wins(spark):
-    df = spark.createDataFrame([("a", 1), ("a", 2)], "entity_id string, n int")
-    assert S.store_features_batch(df, "pair", NOW).count() == 1
+def test_last_row_of_an_id_wins_as_a_whole(spark, rows):
+    df = spark.createDataFrame([("a", 1, 9, 100), ("a", 2, 10, 20), ("b", 2, 1, 1), ("b", 1, 5, 5), ("c", 1, 1, 7), ("c", 2, None, 3)],
+                               "entity_id string, seq int, x int, y int")
+    got = S.store_features_batch(df, "pair", NOW, order=["seq"]).select("entity_id", "feature_name", "value")
+    assert sorted(rows(got)) == [("a", "x", "10"), ("a", "y", "20"), ("b", "x", "1"), ("b", "y", "1"), ("c", "y", "3")]
+    # without an order the rows still do not mix
+    free = {r["feature_name"]: r["value"] for r in S.store_features_batch(df.filter("entity_id = 'a'").drop("seq"), "pair", NOW).collect()}
+    assert free in ({"x": "9", "y": "100"}, {"x": "10", "y": "20"})
+
+
+def test_expired_latest_value_stays_gone(table, rows):
+    online = table(ONLINE, [("customer", "a", "f", "10", "2024-01-01 00:00:00", "2024-02-01 00:00:00"),
+                            ("customer", "a", "f", "20", "2024-01-05 00:00:00", "2024-01-06 00:00:00")])
+    asked = table("entity_id string", [("a",)])
+    assert rows(S.read_online(asked, online, ["f"], "customer", "2024-01-10 00:00:00")) == [("a", None, ["f"])]
+    assert rows(S.read_online(asked, online, ["f"], "customer", "2024-01-05 12:00:00")) == [("a", "20", [])]
+
+
+def test_merge_keeps_the_newer_row(table, rows):
+    base = table(ONLINE, [("customer", "a", "f", "1", "2024-01-05 00:00:00", None), ("customer", "b", "f", "2", "2024-01-05 00:00:00", None)])
+    late = table(ONLINE, [("customer", "a", "f", "old", "2024-01-04 00:00:00", None), ("customer", "c", "f", "3", "2024-01-04 00:00:00", None)])
+    assert sorted(rows(S.merge_online(base, late).select("entity_id", "value"))) == [("a", "1"), ("b", "2"), ("c", "3")]
 
 
 def test_history(spark, table, rows):
@@ -93,6 +112,7 @@ def test_history(spark, table, rows):
     assert json.loads(past.filter("data like '%q%'").first()["data"]) == {"x": None, "y": "q"}
     got = rows(S.read_history(past, ["y", "x", "zzz"], "customer", "a", "2024-01-02 00:00:00", "2024-02-01 00:00:00", 2))
     assert [(str(r[1])[:10], *r[2:]) for r in got] == [("2024-02-01", "r", "4.0", None), ("2024-01-03", None, "3.0", None)]
+    assert S.read_history(past, ["x"], "customer").count() == past.count()
     per_entity = S.read_history(past, ["x"], "customer", limit=1)
     assert {(r[0], r[2]) for r in rows(per_entity)} == {("a", "4.0"), ("b", "9.0")}
     assert S.read_history(past, ["x"], "product").count() == 0
@@ -147,10 +167,11 @@ def test_from_online(table, rows):
     online = table(KEYED, [
         ("customer:c1:f", "1", at, None), ("customer:c1:x:f", "1", at, None), ("customer:f", "1", at, None),
         ("customer:c1:g", "{bad", at, None), ("customer:c1:h", "", at, None), ("customer:c1:i", None, at, None),
-        ("customer_product:c1:p1:f", "2", at, None), ("product:p1:f", "3", at, None)])
-    assert [r[:3] for r in rows(M.from_online(online, "customer"))] == [("c1", "f", "1")]
-    assert [r[:4] for r in rows(M.from_online(online, "customer_product"))] == [("c1", "p1", "f", "2")]
-    assert [r[:3] for r in rows(M.from_online(online, "product"))] == [("p1", "f", "3")]
+        ("customer_product:c1:p1:f", "2", at, None), ("product:p1:f", "3", at, None),
+        ("product:p1:gone", "3", at, NOW), ("product:p1:here", "4", at, "2024-02-01 00:00:01")])
+    assert [r[:3] for r in rows(M.from_online(online, "customer", as_of=NOW))] == [("c1", "f", "1")]
+    assert [r[:4] for r in rows(M.from_online(online, "customer_product", as_of=NOW))] == [("c1", "p1", "f", "2")]
+    assert sorted(r[:3] for r in rows(M.from_online(online, "product", as_of=NOW))) == [("p1", "f", "3"), ("p1", "here", "4")]
 
 
 def test_round_trip_adds_nothing(table, rows):
