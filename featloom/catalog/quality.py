@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from featloom.catalog.base import EVENTS_AS_OF, Tables, query
 from featloom.plans import drift, profile, quality as Q
-from featloom.session import scratch_dir
-from featloom.sources.tables import files
 
 SPLIT = "TIMESTAMP '2024-01-16'"
 
@@ -64,6 +62,25 @@ def dq_events(t: Tables) -> DataFrame:
     return Q.validate(t.events(), EVENTS_SUITE).drop("suite")
 
 
+BROKEN_SUITE = Q.make_suite("broken", [
+    {"expectation_type": "expect_column_values_to_be_between", "kwargs": {"column": "event_type", "min_value": 5}},
+    {"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "event_type"}},
+    {"expectation_type": "expect_column_values_to_match_regex", "kwargs": {"column": "props", "regex": "("}},
+    {"expectation_type": "expect_column_mean_to_be_between", "kwargs": {"column": "props", "min_value": 1}},
+    {"expectation_type": "expect_column_values_to_be_in_set", "kwargs": {"column": "user_id", "value_set": ["one", 1]}},
+    {"expectation_type": "expect_column_values_to_be_between", "kwargs": {"column": "ts", "min_value": "2024-01-16 00:00:00", "mostly": 0.1}},
+])
+
+
+@query("""WITH a AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (user_id <> 1) AS u, COUNT(*) FILTER (ts < TIMESTAMP '2024-01-16') AS t FROM events)
+SELECT unnest(range(6))::INTEGER AS position, unnest([false, false, false, false, u = 0, 1 - CAST(t AS DOUBLE) / n >= 0.1]) AS success,
+unnest([NULL, NULL, NULL, NULL, u, t]) AS unexpected_count, unnest([true, true, true, true, false, false]) AS has_error FROM a""")
+def dq_contained(t: Tables) -> DataFrame:
+    """Expectations that cannot be evaluated are rows, and the others are still evaluated."""
+    got = Q.validate(t.events(), BROKEN_SUITE)
+    return got.select("position", "success", "unexpected_count", F.col("error").isNotNull().alias("has_error"))
+
+
 @query(f"""SELECT 'events' AS suite, COUNT(*) AS evaluated_expectations, COUNT(*) FILTER (success) AS successful_expectations,
 COUNT(*) FILTER (NOT success) AS unsuccessful_expectations, bool_and(success) AS success FROM ({SQL_EVENTS_CHECKS})""")
 def dq_summary(t: Tables) -> DataFrame:
@@ -121,6 +138,18 @@ def profile_events(t: Tables) -> DataFrame:
     return _readable(profile.profile(t.events(), ["value", "user_id"]))
 
 
+@query("""SELECT 'event_type' AS column_name, COUNT(DISTINCT event_type) AS unique_count, 0e0 AS missing_percentage FROM events
+UNION ALL SELECT 'props', COUNT(DISTINCT props), 0e0 FROM events
+UNION ALL SELECT 'big', COUNT(DISTINCT event_id), 0e0 FROM events
+UNION ALL SELECT 'some', COUNT(DISTINCT event_type) FILTER (event_type <> 'view'),
+  CAST(COUNT(*) FILTER (event_type = 'view') AS DOUBLE) / COUNT(*) * 100 FROM events""")
+def profile_any_type(t: Tables) -> DataFrame:
+    """Texts, and whole numbers that doubles cannot tell apart."""
+    rows = t.events().select("event_type", "props", (F.col("event_id") + F.lit(2 ** 60)).alias("big"),
+                             F.when(F.col("event_type") != "view", F.col("event_type")).alias("some"))
+    return profile.profile(rows, rows.columns).select("column_name", "unique_count", "missing_percentage")
+
+
 def _sides(t: Tables) -> DataFrame:
     rows = t.events().select("ts", F.col("value").alias("monthly_charges"), F.col("user_id").alias("tenure"),
                              F.get_json_object("props", "$.k").cast("int").alias("total_charges"),
@@ -172,12 +201,11 @@ def ks_drift(t: Tables) -> DataFrame:
 
 @query(f"SELECT feature, ROUND(score, 6) AS score, n_baseline, n_current FROM ({SQL_KS}) WHERE feature = 'monthly_charges'")
 def csv_baseline_drift(t: Tables) -> DataFrame:
-    """A baseline kept as CSV files, compared with the current rows."""
+    """A baseline kept as CSV text, compared with the current rows."""
     rows = t.events().select("ts", F.col("value").alias("monthly_charges"))
     cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
-    path = scratch_dir(t.spark, "baseline") + "/csv"
-    rows.filter(cut).select("monthly_charges").write.option("header", "true").csv(path)
-    baseline = files(t.spark, path, "csv", "monthly_charges double")
+    text = rows.filter(cut).select(F.to_csv(F.struct("monthly_charges")).alias("line"))
+    baseline = text.select(F.from_csv("line", "monthly_charges double").alias("r")).select("r.*")
     sides = drift.both_sides(baseline, rows.filter(~cut), ["monthly_charges"])
     return drift.ks(sides, ["monthly_charges"]).withColumn("score", F.round("score", 6))
 
@@ -207,3 +235,17 @@ def drift_hourly(t: Tables) -> DataFrame:
     known = drift.fit_baseline(rows.filter(cut), "value")
     return drift.hourly_psi(known, rows.filter(~cut), "ts", min_samples=300).withColumn(
         "score", F.round("score", 6))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, ts) - to_hours(CAST(i AS INTEGER)) AS w FROM events, range(24) r(i)
+  WHERE event_id % 2 = 0 AND ts >= {SPLIT}),
+c AS (SELECT w, COUNT(*) AS n FROM w JOIN events ON ts >= w AND ts < w + INTERVAL 24 HOUR AND ts >= {SPLIT} AND event_id % 2 = 0 GROUP BY 1)
+SELECT w AS window_start, n AS n_current, ROUND((1 - 1e-4) * LN(1 / 1e-4), 6) AS score FROM c WHERE n >= 100""")
+def drift_hourly_edges(t: Tables) -> DataFrame:
+    """A baseline without values, and a log in which every other value is no number."""
+    value = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(F.lit(float("nan")))
+    rows = t.events().select("ts", value.alias("value"))
+    cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    known = drift.fit_baseline(rows.filter(cut).withColumn("value", F.lit(float("nan"))), "value")
+    return drift.hourly_psi(known, rows.filter(~cut), "ts", min_samples=100).select(
+        "window_start", "n_current", F.round("score", 6).alias("score"))

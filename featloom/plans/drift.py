@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom.functions.time import Instant, instant_like, interval
 from featloom.functions.values import ratio
@@ -67,13 +67,13 @@ def _psi_term(expected: Column, actual: Column) -> Column:
 def psi_from_buckets(buckets: DataFrame, keys: Sequence[str], bucket: str,
                      carry: dict[str, Column] | None = None) -> DataFrame:
     """PSI and sample sizes per `keys` from `expected` and `actual` counts per bucket."""
-    total = Window.partitionBy(*keys)
-    share = lambda c: ratio(F.col(c), F.sum(c).over(total))
     carry = carry or {}
-    shares = (buckets.groupBy(*keys, bucket)
-              .agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"),
-                   *[c.alias(n) for n, c in carry.items()])
-              .select(*keys, "expected", "actual", *carry, _psi_term(share("expected"), share("actual")).alias("_t")))
+    counted = (buckets.groupBy(*keys, bucket)
+               .agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"),
+                    *[c.alias(n) for n, c in carry.items()]))
+    entire = counted.groupBy(*keys).agg(F.sum("expected").alias("_e"), F.sum("actual").alias("_a"))
+    term = _psi_term(ratio(F.col("expected"), F.col("_e")), ratio(F.col("actual"), F.col("_a")))
+    shares = counted.join(entire, list(keys)).select(*keys, "expected", "actual", *carry, term.alias("_t"))
     return shares.groupBy(*keys).agg(F.sum("_t").alias("psi"), F.sum("expected").alias("n_baseline"),
                                      F.sum("actual").alias("n_current"),
                                      *[F.max(n).alias(n) for n in carry])
@@ -171,19 +171,27 @@ class Baseline:
 def fit_baseline(baseline: DataFrame, feature: str, bins: int = BINS) -> Baseline:
     """Reduce a baseline to `bins` counts, once; later checks need no baseline rows.
 
-    Only the edges and counts come to the driver.
+    NULL and NaN do not count. A baseline without values has no edges and one empty bucket
+    that all data falls into, as in `psi`. Only the edges and counts come to the driver.
     """
     counts = ranks.value_counts(ranks.tall(baseline, [feature]), ["feature"], "v", {"n": F.lit(1)})
     totals = ranks.running_totals(counts, ["feature"], "v", ["n"])
     row = totals.agg(ranks.discrete_quantiles("v", "n", [i / bins for i in range(1, bins)]).alias("edges")).first()
-    edges = tuple(row["edges"])
+    edges = tuple(e for e in row["edges"] if e is not None)
     inside = _literal_bucket(F.col(feature).cast("double"), edges)
-    found = baseline.filter(F.col(feature).isNotNull()).agg(
+    found = _with_number(baseline, feature).agg(
         *[F.count_if(inside == i).alias(f"b{i}") for i in range(bins)]).first()
     return Baseline(feature, edges, tuple(found))
 
 
+def _with_number(df: DataFrame, feature: str) -> DataFrame:
+    value = F.col(feature).cast("double")
+    return df.filter(value.isNotNull() & ~F.isnan(value))
+
+
 def _literal_bucket(value: Column, edges: Sequence[float]) -> Column:
+    if not edges:
+        return F.lit(0)
     out = None
     for i, e in enumerate(edges):
         out = F.when(value <= e, i) if out is None else out.when(value <= e, i)
@@ -200,7 +208,7 @@ def hourly_psi(baseline: Baseline, log: DataFrame, moment: str, hours: int = WIN
     names = [f"b{i}" for i in range(len(baseline.counts))]
     bucket = _literal_bucket(F.col(baseline.feature).cast("double"), baseline.edges)
     step, width = f"{check_minutes} minutes", f"{hours} hours"
-    seen = log.filter(F.col(baseline.feature).isNotNull())
+    seen = _with_number(log, baseline.feature)
     hits = {n: F.count_if(bucket == i) for i, n in enumerate(names)}
     if log.isStreaming:
         wide = seen.groupBy(F.window(moment, width, step).alias("window")).agg(
@@ -211,10 +219,10 @@ def hourly_psi(baseline: Baseline, log: DataFrame, moment: str, hours: int = WIN
         wide = panes.groupBy(F.window("pane", width, step).alias("window")).agg(
             *[F.sum(n).alias(n) for n in names])
     total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    known = float(sum(baseline.counts))
+    known = sum(baseline.counts)
     score = None
     for n, count in zip(names, baseline.counts):
-        term = _psi_term(F.lit(count / known), ratio(F.col(n), total))
+        term = _psi_term(F.lit(count / known if known else 0.0), ratio(F.col(n), total))
         score = term if score is None else score + term
     return (wide.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
                         score.alias("score"), total.alias("n_current"))

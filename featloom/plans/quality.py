@@ -6,6 +6,8 @@ Uniqueness needs the values grouped: all unique columns share one more pass.
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -69,26 +71,87 @@ def _within(value: Column, kwargs: dict) -> Column:
     return ok
 
 
-def _fails(e: Expectation) -> Column:
+def _fails(e: Expectation, kind: T.DataType) -> Column:
     """True on rows that break the expectation; NULL values break only the not-null one."""
     c = F.col(e.column)
     if e.expectation_type == "expect_column_values_to_not_be_null":
         return c.isNull()
     if e.expectation_type == "expect_column_values_to_be_in_set":
-        return c.isNotNull() & ~c.isin(list(e.kwargs["value_set"]))
+        # members of another type are in no row
+        members = [F.lit(m).cast(kind) for m in e.kwargs["value_set"] if _fits(m, kind)]
+        return c.isNotNull() & ~(c.isin(members) if members else F.lit(False))
     if e.expectation_type == "expect_column_values_to_be_between":
         return c.isNotNull() & ~_within(c, e.kwargs)
-    return c.isNotNull() & ~c.cast("string").rlike(e.kwargs["regex"])
+    text = c.cast("string") if not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.to_json(c)
+    return c.isNotNull() & ~text.rlike(e.kwargs["regex"])
+
+
+def _fits(value: object, kind: T.DataType) -> bool:
+    """Whether a bound or set member can be compared with a column of this type as it is."""
+    if isinstance(value, bool) or isinstance(kind, T.BooleanType):
+        return isinstance(value, bool) and isinstance(kind, T.BooleanType)
+    if isinstance(kind, T.NumericType):
+        return isinstance(value, (int, float, decimal.Decimal))
+    if isinstance(kind, T.StringType):
+        return isinstance(value, str)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        if isinstance(value, str):
+            try:
+                dt.datetime.fromisoformat(value)
+            except ValueError:
+                return False
+            return True
+        return isinstance(value, dt.date)
+    return False
+
+
+def _bad_bounds(e: Expectation, kind: T.DataType) -> str | None:
+    bounds = {k: e.kwargs[k] for k in ("min_value", "max_value") if e.kwargs.get(k) is not None}
+    if not bounds:
+        return "no min_value and no max_value given"
+    for name, bound in bounds.items():
+        if not _fits(bound, kind):
+            return f"{name} {bound!r} cannot be compared with {kind.simpleString()}"
+    return None
+
+
+def _bad_regex(df: DataFrame, pattern: object) -> str | None:
+    if not isinstance(pattern, str):
+        return "no regex given"
+    try:
+        df.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # whatever the engine says of it, it cannot be used
+        return f"regex {pattern!r} cannot be read"
+    return None
 
 
 def _error(e: Expectation, df: DataFrame) -> str | None:
+    """Why an expectation cannot be evaluated, found before anything runs."""
     if e.expectation_type not in TYPES:
         return f"unknown expectation type {e.expectation_type}"
-    if e.expectation_type in (ROW_COUNT_CHECK, EXISTS_CHECK):
-        return None
+    mostly = e.kwargs.get("mostly", 1.0)
+    if isinstance(mostly, bool) or not isinstance(mostly, (int, float)) or not 0 <= mostly <= 1:
+        return f"mostly {mostly!r} is no share"
+    if e.expectation_type == ROW_COUNT_CHECK:
+        return _bad_bounds(e, T.LongType())
     if e.column is None:
         return "no column given"
-    return None if e.column in df.columns else f"column {e.column} not found"
+    if e.expectation_type == EXISTS_CHECK:
+        return None
+    if e.column not in df.columns:
+        return f"column {e.column} not found"
+    kind = df.schema[e.column].dataType
+    if e.expectation_type == "expect_column_values_to_be_in_set":
+        return None if isinstance(e.kwargs.get("value_set"), (list, tuple, set)) else "no value_set given"
+    if e.expectation_type == "expect_column_values_to_match_regex":
+        return _bad_regex(df, e.kwargs.get("regex"))
+    if e.expectation_type == "expect_column_values_to_be_between":
+        return _bad_bounds(e, kind)
+    if e.expectation_type in STATISTIC_CHECKS:
+        return _bad_bounds(e, kind) if isinstance(kind, T.NumericType) else f"{kind.simpleString()} has no such statistic"
+    if e.expectation_type == UNIQUE_CHECK and isinstance(kind, (T.MapType, T.VariantType)):
+        return f"values of {kind.simpleString()} cannot be grouped"
+    return None
 
 
 def _result(position: int, e: Expectation, success: Column, elements: Column, unexpected: Column,
@@ -128,7 +191,7 @@ def validate(df: DataFrame, suite: Suite) -> DataFrame:
         elif e.expectation_type == UNIQUE_CHECK:
             unique.append((i, e))
         else:
-            aggregates.append(F.count_if(_fails(e)).alias(f"u{i}"))
+            aggregates.append(F.count_if(_fails(e, df.schema[e.column].dataType)).alias(f"u{i}"))
             elements = F.col("rows")
             if e.expectation_type != "expect_column_values_to_not_be_null":
                 aggregates.append(F.count(e.column).alias(f"n{i}"))
@@ -147,8 +210,9 @@ def validate(df: DataFrame, suite: Suite) -> DataFrame:
 
 def _repeated_values(df: DataFrame, checks: list[tuple[int, Expectation]]) -> DataFrame:
     kinds = {df.schema[e.column].dataType for _, e in checks}
-    plain = lambda c: F.col(c) if len(kinds) == 1 else F.col(c).cast("string")
-    cells = F.array(*[F.struct(F.lit(i).alias("position"), plain(e.column).alias("v")) for i, e in checks])
+    plain = lambda c: F.col(c) if len(kinds) == 1 else F.to_json(F.struct(F.col(c).alias("x")))
+    cells = F.array(*[F.struct(F.lit(i).alias("position"),
+                               F.when(F.col(e.column).isNotNull(), plain(e.column)).alias("v")) for i, e in checks])
     per_value = (df.select(F.inline(cells)).filter(F.col("v").isNotNull())
                  .groupBy("position", "v").agg(F.count(F.lit(1)).alias("n")))
     n = F.col("n")
@@ -181,7 +245,3 @@ def validate_batch(batch_id: str, df: DataFrame, suite: Suite, as_of: Instant =
 
 def save_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]

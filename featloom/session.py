@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
@@ -43,14 +44,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for stream checkpoints and sink tables.
+    """A fresh folder for stream checkpoints and sink tables, which all machines see.
 
-    On a cluster it lies under the shared folder named by `spark.checkpoint.dir`;
-    a local temporary folder is used only where that setting is absent (tests).
+    It lies under `spark.checkpoint.dir`, else under the warehouse. A path on one machine's
+    own disk is refused where executors run on other machines.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix=f"featloom-{purpose}-")
-    import uuid
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/featloom-{purpose}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") and _on_local_disk(spark, path):
+        raise ValueError(f"{shared} is a local folder; set spark.checkpoint.dir to one that all machines share")
+    return path
 
-    return f"{shared.rstrip('/')}/featloom-{purpose}-{uuid.uuid4().hex}"
+
+def _on_local_disk(spark: SparkSession, path: str) -> bool:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    scheme = urlparse(path).scheme or urlparse(conf.get("fs.defaultFS", "file:///")).scheme
+    return scheme == "file"

@@ -63,3 +63,31 @@ def test_batch_results_are_stored(spark, tmp_path):
     back = spark.read.json(str(tmp_path / "r"))
     assert sorted(r["run_name"] for r in back.collect()) == ["spark_batch_1_20240201_000000", "spark_batch_2_20240201_000000"]
     assert Q.validate_batch(1, df, s, NOW, run_name="mine").first()["run_name"] == "mine"
+
+
+def test_every_failing_expectation_is_a_row(spark):
+    import datetime as dt
+    df = spark.createDataFrame([(1, "a", True, dt.date(2024, 1, 1), {"k": 1}), (2, "10", False, None, None)],
+                               "id int, s string, b boolean, d date, m map<string,int>")
+    checks = [
+        ("expect_column_values_to_be_between", {"column": "s", "min_value": 5}),
+        ("expect_column_values_to_be_between", {"column": "id", "min_value": "x"}),
+        ("expect_column_values_to_be_between", {"column": "id"}),
+        ("expect_column_values_to_be_in_set", {"column": "s"}),
+        ("expect_column_values_to_be_in_set", {"column": "id", "value_set": ["a", 1]}),
+        ("expect_column_values_to_match_regex", {"column": "s"}),
+        ("expect_column_values_to_match_regex", {"column": "s", "regex": "("}),
+        ("expect_column_mean_to_be_between", {"column": "s", "min_value": 1}),
+        ("expect_column_values_to_be_unique", {"column": "m"}),
+        ("expect_column_values_to_not_be_null", {"column": "id", "mostly": "all"}),
+        ("expect_column_values_to_be_between", {"column": "d", "min_value": "2023-01-01"}),
+        ("expect_column_values_to_be_between", {"column": "d", "min_value": "soon"}),
+        ("expect_column_values_to_match_regex", {"column": "m", "regex": "k"}),
+        ("expect_column_values_to_be_in_set", {"column": "b", "value_set": [True, False]}),
+        ("expect_table_row_count_to_be_between", {"min_value": "many"}),
+        ("expect_column_values_to_be_unique", {"column": "d"}), ("expect_column_values_to_be_unique", {"column": "id"})]
+    got = by_position(Q.validate(df, suite(*checks)))
+    assert len(got) == len(checks)
+    assert sorted(i for i in got if got[i]["success"]) == [10, 12, 13, 15, 16]
+    assert sorted(i for i in got if got[i]["error"]) == [0, 1, 2, 3, 5, 6, 7, 8, 9, 11, 14]
+    assert got[4]["unexpected_count"] == 1                 # a text is not among numbers

@@ -49,12 +49,48 @@ def test_quantiles(spark, kind):
     assert row["m"] == pytest.approx(np.median(values), rel=1e-12)
 
 
-def test_chunks_divide_the_data(spark):
-    for kind in ("even", "heavy", "signed", "bunched"):
-        values = sorted({float(v) for v in _values(kind)})
-        df = spark.createDataFrame([(v,) for v in values], "v double")
-        sizes = [r["count"] for r in df.groupBy(ranks._chunk(F.col("v"))).count().collect()]
-        assert max(sizes) <= max(8, len(values) // 20)
+def _chunk_sizes(spark, values, kind="double"):
+    df = spark.createDataFrame([("f", v) for v in values], f"feature string, v {kind}")
+    cut = ranks.chunked(df.withColumn("n", F.lit(1)), ["feature"], "v")
+    got = cut.orderBy("v").collect()
+    places = [(r["_coarse"], r["_fine"]) for r in got]
+    assert places == sorted(places)                        # chunks follow the values
+    sizes = {}
+    for p in places:
+        sizes[p] = sizes.get(p, 0) + 1
+    return list(sizes.values())
+
+
+def test_chunks_follow_the_data(spark):
+    """Wherever the distinct values lie, no chunk holds much more than it should."""
+    r = random.Random(4)
+    bands = {
+        "narrow, far from zero": [1.7e15 + i for i in range(30_000)],
+        "narrow and fine": [1e9 + i * 1e-5 for i in range(30_000)],
+        "heavy above": sorted({1e12 + math.exp(r.gauss(0, 5)) for _ in range(30_000)}),
+        "around zero": sorted({r.gauss(0, 1) for _ in range(30_000)}),
+    }
+    for name, values in bands.items():
+        sizes = _chunk_sizes(spark, values)
+        assert max(sizes) <= 4 * ranks.CHUNK_VALUES and len(sizes) >= 10, name
+    assert max(_chunk_sizes(spark, [2 ** 62 + i for i in range(30_000)], "bigint")) <= 4 * ranks.CHUNK_VALUES
+
+
+def test_no_window_over_a_whole_feature(spark):
+    df = spark.range(1000).select(F.lit("f").alias("feature"), F.col("id").cast("double").alias("v"), F.lit(1).alias("n"))
+    plan = ranks.running_totals(df, ["feature"], "v", ["n"])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_coarse" in w for w in windows)
+
+
+def test_profile_is_exact_beyond_doubles(spark):
+    from decimal import Decimal
+    rows = [(2 ** 60 + i % 10, Decimal(10 ** 20 + i % 4), "t" if i % 2 else None, [i % 3]) for i in range(40)]
+    df = spark.createDataFrame(rows, "a bigint, b decimal(30,2), c string, d array<int>")
+    got = {r["column_name"]: r for r in profile.profile(df, ["a", "b", "c", "d"]).collect()}
+    assert {c: got[c]["unique_count"] for c in "abcd"} == {"a": 10, "b": 4, "c": 1, "d": 3}
+    assert got["c"]["missing_percentage"] == 50.0 and got["c"]["min"] is None and got["c"]["histogram"] is None
+    assert sum(got["a"]["histogram"]) == 40
 
 
 def test_profile(spark):
@@ -129,6 +165,22 @@ def test_hourly_psi(spark):
     assert last["score"] == pytest.approx(_brute_psi([float(i % 100) for i in range(1000)], [99.0] * 1440))
 
 
+def test_baseline_edges(spark):
+    import datetime as dt
+    start = dt.datetime(2024, 1, 1)
+    nan = float("nan")
+    log = spark.createDataFrame([(start + dt.timedelta(minutes=i), nan if i % 2 else float(i % 100)) for i in range(60)], "at timestamp_ntz, u double")
+    known = drift.fit_baseline(spark.createDataFrame([(float(i % 10),) for i in range(100)] + [(nan,)] * 50, "u double"), "u")
+    assert sum(known.counts) == 100                        # NaN is no value
+    assert {r["n_current"] for r in drift.hourly_psi(known, log, "at", min_samples=1).collect()} == {30}
+    base = spark.createDataFrame([], "u double")
+    empty = drift.fit_baseline(base, "u")
+    assert empty.edges == () and sum(empty.counts) == 0
+    score = drift.hourly_psi(empty, log, "at", min_samples=1).first()["score"]
+    sides = drift.both_sides(base, log, ["u"])
+    assert score == pytest.approx(drift.psi(sides, ["u"]).first()["score"])
+
+
 def test_current_window(table):
     log = table("at timestamp_ntz", [("2024-01-01 00:00:00",), ("2024-01-01 00:00:01",), ("2024-01-02 00:00:00",),
                                      ("2024-01-02 00:00:01",)])
