@@ -21,14 +21,18 @@ def _row(status, factor: int):
         (F.col("o_totalprice") * factor).alias("amount"))
 
 
-def _told(orders: DataFrame, parts: list) -> DataFrame:
-    """The messages of each order, last ones first; the offset tells their place in the log."""
+def _told(orders: DataFrame, parts: list, apart_ms: int) -> DataFrame:
+    """The messages of each order, last ones first; the offset tells their place in the log.
+
+    Record times are `apart_ms` milliseconds apart.
+    """
     told = F.array(*[F.struct(value.alias("value"), F.lit(i).alias("place"), there.alias("there"))
                      for i, (there, value) in reversed(list(enumerate(parts)))])
     key = F.concat(F.lit('{"schema":{"type":"struct"},"payload":{"order_id":'), F.col("o_orderkey"), F.lit("}}"))
-    return (orders.select(key.alias("key"), F.col("o_orderkey"), F.explode(F.filter(told, lambda m: m["there"])).alias("m"))
+    return (orders.select(key.alias("key"), F.col("o_orderkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("_at"), F.explode(F.filter(told, lambda m: m["there"])).alias("m"))
             .select("key", "m.value", F.lit("dbz.public.orders").alias("topic"),
-                    (F.col("o_orderkey") * 10 + F.col("m.place")).alias("offset")))
+                    (F.col("o_orderkey") * 10 + F.col("m.place")).alias("offset"),
+                    F.timestamp_millis(F.col("_at") + F.col("m.place") * apart_ms).alias("timestamp")))
 
 
 def _every(n: int):
@@ -54,7 +58,7 @@ def messages(orders: DataFrame) -> DataFrame:
         (_every(11), change(_row("COMPLETED", 2), none, "d", at + 2000)),
         (_every(13), F.lit(None).cast("string")),
         (_every(26), change(none, _row("AGAIN", 3), "c", at + 3000)),
-        (_every(17), F.lit('{"payload": {"after": '))])
+        (_every(17), F.lit('{"payload": {"after": '))], 1000)
 
 
 def base_table(t: Tables) -> DataFrame:
@@ -104,7 +108,7 @@ def unwrapped_messages(orders: DataFrame) -> DataFrame:
             F.to_json(F.struct(F.struct(F.lit("struct").alias("type")).alias("schema"), r.alias("payload"))))
     return _told(orders, [(F.lit(True), row("FIRST", 1)), (F.lit(True), row("SECOND", 2)),
                           (_every(11), F.lit(None).cast("string")), (_every(22), row("AGAIN", 3)),
-                          (_every(17), F.lit("oops"))])
+                          (_every(17), F.lit("oops"))], 0)
 
 
 SQL_UNWRAPPED = f"""SELECT o_orderkey AS order_id, o_custkey AS user_id,
@@ -188,7 +192,7 @@ def star_feature_values(t: Tables) -> DataFrame:
     features = star.load_dimension(feature_members(t), "feature_id", "feature_key", EVENTS_AS_OF)
     tall = t.events().select(F.col("user_id").cast("string").alias("entity_id"), F.col("event_type").alias("feature_id"),
                              F.col("value").cast("string").alias("value"), F.col("ts").alias("valid_from"))
-    return star.load_feature_values(tall, features, EVENTS_AS_OF).select(
+    return star.load_feature_values(tall, features, EVENTS_AS_OF)[0].select(
         "feature_key", "entity_id", "value_numeric", "value_text", "valid_from", "valid_to")
 
 
@@ -199,6 +203,17 @@ def scd_intervals(t: Tables) -> DataFrame:
     return star.validity_intervals(rows, "user_id", "event_type")
 
 
+@query("""WITH e AS (SELECT user_id, date_trunc('day', ts) AS valid_from, value FROM events),
+d AS (SELECT user_id, valid_from, lead(valid_from) OVER (PARTITION BY user_id ORDER BY valid_from) AS next FROM (SELECT DISTINCT user_id, valid_from FROM e)),
+n AS (SELECT e.*, next, row_number() OVER (PARTITION BY e.user_id, e.valid_from ORDER BY value DESC) AS r
+  FROM e JOIN d ON e.user_id = d.user_id AND e.valid_from = d.valid_from)
+SELECT user_id, valid_from, value, CASE WHEN r = 1 THEN next ELSE valid_from END AS valid_to FROM n""")
+def scd_equal_starts(t: Tables) -> DataFrame:
+    """Many values that start together, equal ones among them: one of them lasts."""
+    rows = t.events().select("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("valid_from"), "value")
+    return intervals.with_next(rows, ["user_id"], "valid_from")
+
+
 @query("""SELECT event_id, CASE WHEN m = 0 THEN value END AS value_numeric,
 CASE WHEN m = 1 THEN event_type END AS value_text, CASE WHEN m = 2 THEN ts END AS value_timestamp,
 CASE WHEN m = 3 THEN value > 10 END AS value_boolean FROM (SELECT *, event_id % 4 AS m FROM events)""")
@@ -244,7 +259,7 @@ def star_predictions(t: Tables) -> DataFrame:
         F.col("prediction").alias("prediction_value"),
         F.when(F.col("prediction") > 10, "high").otherwise("low").alias("prediction_label"),
         F.col("ts").alias("prediction_timestamp"), "latency_ms")
-    return star.load_predictions(facts, _models(t)).drop("latency_ms")
+    return star.load_predictions(facts, _models(t))[0].drop("latency_ms")
 
 
 @query(f"""SELECT model_key, CASE WHEN l.model_version = 'v0' THEN NULL ELSE e.experiment_key END AS experiment_key,
@@ -261,7 +276,19 @@ def star_model_metrics(t: Tables) -> DataFrame:
         F.when(F.col("model_version") != "v0", F.col("job")).alias("experiment_id"),
         F.lit("latency_ms").alias("metric_name"), F.col("latency_ms").alias("metric_value"),
         F.col("ts").alias("metric_timestamp"))
-    return star.load_model_metrics(metrics, _models(t), experiments)
+    return star.load_model_metrics(metrics, _models(t), experiments)[0]
+
+
+@query(f"""SELECT 'fact' AS kind, COUNT(*) AS n FROM {SQL_LOG} WHERE model_version <> 'v1'
+UNION ALL SELECT 'unknown', COUNT(*) FROM {SQL_LOG} WHERE model_version = 'v1'""")
+def star_unknown_models(t: Tables) -> DataFrame:
+    """Predictions of models that the dimension lacks stand beside the facts."""
+    facts = t.prediction_log().select(F.concat_ws(":", "model_name", "model_version").alias("model_id"),
+                                      F.col("request_id").alias("entity_id"), "latency_ms")
+    some = _models(t).filter(~F.col("model_id").endswith(":v1"))
+    found, missing = star.load_predictions(facts, some)
+    return (found.agg(F.lit("fact").alias("kind"), F.count(F.lit(1)).alias("n"))
+            .unionByName(missing.agg(F.lit("unknown").alias("kind"), F.count(F.lit(1)).alias("n"))))
 
 
 @query(f"""SELECT event_id, l.entity_id FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS entity_id FROM events) l

@@ -65,15 +65,15 @@ def parse_validate_strict(t: Tables) -> DataFrame:
     return _parsed(t, strict=True).select("kafka_key", "event_id", "is_valid")
 
 
-SQL_DEAD = f"""SELECT event_id AS key, kafka_key, event_type, app_name, payload_user, is_valid
+SQL_DEAD = f"""SELECT event_id AS key, 'dead-letter-queue' AS topic, kafka_key, event_type, app_name, payload_user, is_valid
 FROM {SQL_PARSED} WHERE NOT is_valid"""
 
 
 def read_dead_letters(letters: DataFrame) -> DataFrame:
     body = F.from_json("value", "kafka_key string, event_type string, app_name string, "
                                 "payload map<string,string>, is_valid boolean")
-    return letters.select("key", body.alias("d")).select(
-        "key", "d.kafka_key", "d.event_type", "d.app_name",
+    return letters.select("key", "topic", body.alias("d")).select(
+        "key", "topic", "d.kafka_key", "d.event_type", "d.app_name",
         F.col("d.payload")["user_id"].alias("payload_user"), "d.is_valid")
 
 
@@ -112,9 +112,13 @@ def without_zone(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query(f"""SELECT kafka_key AS key, CASE r WHEN 0 THEN 'raw-events' ELSE CASE WHEN is_valid THEN 'validated-events'
-ELSE 'invalid-events' END END AS topic FROM {SQL_PARSED}, range(2) t(r)""")
+ELSE 'invalid-events' END END AS topic, event_id, event_type, hostname, payload_user, payload_amount FROM {SQL_PARSED}, range(2) t(r)""")
 def topic_outputs(t: Tables) -> DataFrame:
-    return E.topic_records(messages(t.events())).select("key", "topic")
+    sent = E.topic_records(messages(t.events()))
+    body = F.from_json("value", "event_id string, event_type string, hostname string, payload map<string,string>")
+    return sent.select("key", "topic", body.alias("d")).select(
+        "key", "topic", "d.event_id", "d.event_type", "d.hostname", F.col("d.payload")["user_id"].alias("payload_user"),
+        F.col("d.payload")["amount"].cast("double").alias("payload_amount"))
 
 
 @query(SQL_BY_TYPE)

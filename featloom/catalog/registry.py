@@ -73,6 +73,19 @@ def registry_register(t: Tables) -> DataFrame:
     return done.select("name", "description", F.size("versions").alias("versions"), "updated_at")
 
 
+@query("""SELECT 'repeat_' || (o_custkey % 500) AS name, o_orderkey AS sent, CASE WHEN o_orderkey % 9 = 0 THEN 422
+WHEN row_number() OVER (PARTITION BY o_custkey % 500, o_orderkey % 9 = 0 ORDER BY o_orderkey) > 1 THEN 409 ELSE 201 END AS status_code
+FROM orders""")
+def registry_repeated_names(t: Tables) -> DataFrame:
+    """Many rows of one name in a batch: the first good one is accepted."""
+    k = F.col("o_orderkey")
+    batch = t.raw("orders").select(
+        F.concat(F.lit("repeat_"), F.col("o_custkey") % 500).alias("name"), k.alias("sent"), F.lit("order").alias("entity_type"),
+        F.when(k % 9 == 0, "TENSOR").otherwise("FLOAT").alias("value_type"), F.lit("BATCH").alias("source"),
+        F.lit("RAW").alias("category"), F.lit("DAILY").alias("frequency"))
+    return R.check_new(batch, definitions(t), order=["sent"]).select("name", "sent", "status_code")
+
+
 @query(f"""SELECT name, value_type, owner FROM {SQL_DEFS} WHERE entity_type = 'economy' AND category = 'DERIVED'""")
 def registry_filter(t: Tables) -> DataFrame:
     return R.list_features(definitions(t), "economy", "DERIVED").select("name", "value_type", "owner")

@@ -42,15 +42,22 @@ def with_next(df: DataFrame, keys: Sequence[str], moment: str, out: str = "valid
               tiebreak: Sequence[str] = (), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """`df` with the start of the following row of the same key, NULL for the last row.
 
-    Among rows of one key and moment the greatest `tiebreak` lasts until the next
-    moment; the others end where they start. Rows without a key or moment have no next.
+    Among rows of one key and moment one lasts until the next moment: that of the greatest
+    `tiebreak`, then of the greatest other columns, and one copy of equal rows. The others
+    end where they start, so the intervals of a key never overlap. Rows without a key or
+    moment have no next. Columns must be of types that can be ordered.
     """
-    order = F.struct(*tiebreak) if tiebreak else F.lit(0)
-    times = df.groupBy(*keys, moment).agg(F.max(order).alias("_winner"))
+    rest = [c for c in df.columns if c not in (*keys, moment, *tiebreak)]
+    order = F.struct(*tiebreak, *rest) if tiebreak or rest else F.lit(0)
+    # equal rows are counted, and told apart by a number
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    times = counted.groupBy(*keys, moment).agg(F.max(order).alias("_winner"))
     following = _next_distinct(times, keys, moment, out, slice_seconds)
-    lasts = order == F.col("_winner")
-    return (df.join(following, [*keys, moment], "left")
-            .withColumn(out, F.when(lasts, F.col(out)).when(~lasts, F.col(moment)))
+    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    known = F.col("_winner").isNotNull()
+    lasts = order.eqNullSafe(F.col("_winner")) & (F.col("_copy") == 1)
+    return (copies.join(following, [*keys, moment], "left")
+            .withColumn(out, F.when(known & lasts, F.col(out)).when(known, F.col(moment)))
             .select(*df.columns, out))
 
 

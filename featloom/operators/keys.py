@@ -40,4 +40,4 @@ def lookup(facts: DataFrame, dimension: DataFrame, natural_key: str, key: str) -
 
 def unknown(facts: DataFrame, dimension: DataFrame, natural_key: str) -> DataFrame:
     """Facts that refer to no member of the dimension."""
-    return facts.join(dimension, natural_key, "left_anti")
+    return facts.join(dimension.select(natural_key), natural_key, "left_anti")

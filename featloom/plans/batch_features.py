@@ -67,22 +67,23 @@ def product_features(products: DataFrame, purchase_items: DataFrame, purchases:
     """
     recent = _recent_or_undated(purchases, "created_at", as_of, lookback_days)
     dates = purchases.select("purchase_id", "created_at")
-    if keep_inactive:
-        sold = purchase_items.join(dates.filter(recent), "purchase_id")
-    else:
-        sold = purchase_items.join(dates, "purchase_id", "left")
-    in_window = lambda c: F.when(recent, F.col(c))
+    # only recent (or undated) purchases meet the items: the filter reaches their scan
+    sold = purchase_items.join(dates.filter(recent), "purchase_id")
+    if not keep_inactive:
+        # items of no known purchase count like undated ones
+        orphans = purchase_items.join(dates.select("purchase_id"), "purchase_id", "left_anti")
+        sold = sold.unionByName(orphans.withColumn("created_at", F.lit(None).cast(dates.schema["created_at"].dataType)))
     sales = sold.groupBy("product_id").agg(
-        F.count(in_window("purchase_id")).alias("_n"),
-        F.sum(in_window("quantity")).alias("_quantity"),
-        F.max(in_window("created_at")).alias("_last"),
-        F.count_if(recent).alias("_kept"))
+        F.count("purchase_id").alias("_n"), F.sum("quantity").alias("_quantity"),
+        F.max("created_at").alias("_last"), F.count(F.lit(1)).alias("_kept"))
     listed = products.groupBy("product_id").agg(
         F.min("created_at").alias("_created"), F.sum("price").alias("_prices"),
         F.count(F.lit(1)).alias("_copies"))
     both = listed.join(sales, "product_id", "left")
     if not keep_inactive:
-        both = both.filter(F.col("_kept").isNull() | (F.col("_kept") > 0))
+        # a product that was sold, but not lately, is left out
+        ever = purchase_items.groupBy("product_id").agg(F.lit(True).alias("_ever"))
+        both = both.join(ever, "product_id", "left").filter(F.col("_ever").isNull() | F.col("_kept").isNotNull())
     d = f"{lookback_days}d"
     today = instant(as_of)
     return both.select(

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from featloom.operators.latest import latest_by_key
 from featloom.schemas import change_body
 
-#: The order of changes of one key: the place in the log, and the time where no place is known.
-ORDER = ("offset", "ts_ms")
+#: The order of changes of one key: their time, and the place in the log within one millisecond.
+ORDER = ("ts_ms", "offset")
 
 
 def _given(messages: DataFrame, column: str, kind: str):

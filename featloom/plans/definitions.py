@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom.functions.time import Instant, instant
 from featloom.functions.values import VALUE_TYPES, ratio
+from featloom.plans import golden
+
+CART_EVENT = "add_to_cart"
 
 # Functions an `aggregation` step may name.
 AGGREGATES = {
@@ -34,17 +37,16 @@ class Definition:
     source_config: dict = field(default_factory=dict)
 
 
-def _moment_text(as_of: Instant) -> str | None:
-    if as_of is None or isinstance(as_of, Column):
-        return None
-    return f"TIMESTAMP_NTZ '{as_of}'"
+# The evaluation time where it is a column.
+MOMENT = "_as_of"
+_AGGREGATE_CALL = re.compile(r"\s*\w+\s*\(.*\)\s*", re.DOTALL)
 
 
 def _sql(text: str, as_of: Instant) -> str:
     """A user's SQL expression with the current time replaced by the evaluation time."""
-    moment = _moment_text(as_of)
-    if moment is None:
+    if as_of is None:
         return text
+    moment = MOMENT if isinstance(as_of, Column) else f"TIMESTAMP_NTZ '{as_of}'"
     return _TODAY.sub(f"CAST({moment} AS DATE)", _NOW.sub(moment, text))
 
 
@@ -63,10 +65,17 @@ def _aggregate(step: dict, where: str | None, as_of: Instant) -> Column:
 
 def compute(df: DataFrame, definitions: Sequence[Definition], entity_columns: Sequence[str],
             as_of: Instant = None) -> DataFrame:
-    """One row per entity with a column per definition, typed by its value type."""
+    """One row per entity with a column per definition, typed by its value type.
+
+    `as_of` may be a column: the current time of each row, the latest of an entity's rows
+    where aggregates are compared with it.
+    """
     if len({d.entity_type for d in definitions}) != 1:
         raise ValueError("definitions of one call must share an entity type")
     aggregates: dict[str, Column] = {}
+    if isinstance(as_of, Column):
+        df = df.withColumn(MOMENT, as_of.cast("timestamp_ntz"))
+        aggregates[MOMENT] = F.max(MOMENT)
     by_text: dict[tuple, str] = {}
     outputs: list[Column] = []
     for d in definitions:
@@ -86,7 +95,7 @@ def compute(df: DataFrame, definitions: Sequence[Definition], entity_columns: Se
                     names[step["alias"]] = slot
             elif kind == "date_diff":
                 slot = f"_a{len(aggregates)}"
-                aggregates[slot] = F.expr(_sql(step["to"], as_of))
+                aggregates[slot] = _filtered_call(d.name, step["to"], [c for c in (where, step.get("filter")) if c], as_of)
                 result = F.datediff(F.expr(_sql(step["from"], as_of)), F.col(slot))
             elif kind == "datediff":
                 end, start = (_argument(a, names, as_of) for a in step["args"])
@@ -102,61 +111,44 @@ def compute(df: DataFrame, definitions: Sequence[Definition], entity_columns: Se
     return grouped.select(*entity_columns, *outputs)
 
 
+def _filtered_call(name: str, call: str, conditions: list[str], as_of: Instant) -> Column:
+    """A user's aggregate call over the rows that meet the conditions."""
+    text = _sql(call, as_of)
+    if conditions:
+        if not _AGGREGATE_CALL.fullmatch(text):
+            raise ValueError(f"{name}: a filter needs a single aggregate call, not {call!r}")
+        text += " FILTER (WHERE " + " AND ".join(f"({_sql(c, as_of)})" for c in conditions) + ")"
+    return F.expr(text)
+
+
 def _argument(name: str, names: dict[str, str], as_of: Instant) -> Column:
     if name in names:
         return F.col(names[name])
     if name.lower() == "current_date":
-        return instant(as_of).cast("date")
+        return (F.col(MOMENT) if isinstance(as_of, Column) else instant(as_of)).cast("date")
     return F.expr(_sql(name, as_of))
 
 
-def _counted(name: str, entity: str, event_type: str | None = None) -> Definition:
-    step = {"type": "count", "field": "*"}
-    if event_type:
-        step["filter"] = f"event_type = '{event_type}'"
-    return Definition(name, entity, "INTEGER", (step,))
-
-
-# The sample definitions over customer events and over purchases.
-ACTIVE_DAYS = {"type": "distinct_count", "field": "date(event_timestamp)"}
-PURCHASES = {"type": "count", "field": "*", "filter": "event_type = 'purchase'"}
-VIEWS = {"type": "count", "field": "*", "filter": "event_type = 'view'"}
-
-CUSTOMER_EVENT_FEATURES = (
-    Definition("customer_days_since_last_active", "customer", "INTEGER", (
-        {"type": "max", "field": "event_timestamp", "alias": "last_active"},
-        {"type": "datediff", "args": ["current_date", "last_active"]})),
-    _counted("customer_event_count", "customer"),
-    Definition("customer_active_days", "customer", "INTEGER", (ACTIVE_DAYS,)),
-    Definition("customer_purchase_frequency", "customer", "FLOAT", (
-        {**PURCHASES, "alias": "purchase_count"},
-        {**ACTIVE_DAYS, "alias": "active_days"},
-        {"type": "division", "args": ["purchase_count", "active_days"]})),
-)
+def of_registry(entries: Sequence[dict], entity_type: str, cart_event: str = CART_EVENT) -> tuple[Definition, ...]:
+    """The definitions of one entity type; `cart_event` names the event that puts a product into a cart."""
+    def step(s: dict) -> dict:
+        return {k: v.replace(f"'{CART_EVENT}'", f"'{cart_event}'") if k == "filter" else v for k, v in s.items()}
+    return tuple(Definition(e["name"], e["entity_type"], e["value_type"], tuple(map(step, e["transformations"])),
+                            e.get("source_config", {})) for e in entries if e["entity_type"] == entity_type)
+
 
+CUSTOMER_EVENT_FEATURES = of_registry(golden.DEFINITIONS, "customer")
 
-def product_event_features(cart_event: str = "add_to_cart") -> tuple[Definition, ...]:
-    return (
-        _counted("product_view_count", "product", "view"),
-        _counted("product_purchase_count", "product", "purchase"),
-        _counted("product_cart_count", "product", cart_event),
-        Definition("product_conversion_rate", "product", "FLOAT", (
-            {**VIEWS, "alias": "view_count"},
-            {**PURCHASES, "alias": "purchase_count"},
-            {"type": "division", "args": ["purchase_count", "view_count"]})),
-    )
 
+def product_event_features(cart_event: str = CART_EVENT) -> tuple[Definition, ...]:
+    return of_registry(golden.DEFINITIONS, "product", cart_event)
 
-def customer_product_event_features(cart_event: str = "add_to_cart") -> tuple[Definition, ...]:
-    kind = "customer_product"
-    return (
-        _counted("customer_product_interaction_count", kind),
-        _counted("customer_product_view_count", kind, "view"),
-        _counted("customer_product_cart_count", kind, cart_event),
-        _counted("customer_product_purchase_count", kind, "purchase"),
-    )
 
+def customer_product_event_features(cart_event: str = CART_EVENT) -> tuple[Definition, ...]:
+    return of_registry(golden.DEFINITIONS, "customer_product", cart_event)
 
+
+# The sample definitions over purchases.
 _LAST_30_DAYS = "purchase_date >= NOW() - INTERVAL '30 days'"
 CUSTOMER_PURCHASE_FEATURES = (
     Definition("customer_total_purchases_30d", "customer", "FLOAT",
@@ -172,15 +164,4 @@ PRODUCT_PURCHASE_FEATURES = (
                {"table": "purchase_items", "filter": _LAST_30_DAYS}),
 )
 
-FEATURE_GROUPS = {
-    "customer_engagement_features": (
-        "customer_days_since_last_active", "customer_event_count", "customer_active_days"),
-    "product_popularity_features": (
-        "product_view_count", "product_purchase_count", "product_cart_count"),
-    "customer_product_interaction_features": (
-        "customer_product_interaction_count", "customer_product_view_count",
-        "customer_product_cart_count", "customer_product_purchase_count"),
-    "conversion_features": (
-        "customer_purchase_frequency", "product_conversion_rate",
-        "customer_product_cart_count", "customer_product_purchase_count"),
-}
+FEATURE_GROUPS = {g["name"]: g["feature_names"] for g in golden.GROUPS}

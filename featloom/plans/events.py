@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom.functions.time import parse_iso
-from featloom.schemas import EVENT, INVALID_TOPIC, RAW_TOPIC, VALIDATED_TOPIC
+from featloom.schemas import DEAD_LETTER_TOPIC, EVENT, INVALID_TOPIC, RAW_TOPIC, VALIDATED_TOPIC
 
 REQUIRED = ("event_id", "event_type", "event_timestamp")
 
@@ -52,9 +52,10 @@ def valid(parsed: DataFrame) -> DataFrame:
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
-    """Invalid events as (key, value) records for the dead-letter topic."""
+    """Invalid events as (key, value, topic) records for the dead-letter topic."""
     bad = parsed.filter(~F.col("is_valid"))
-    return bad.select(F.col("event_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return bad.select(F.col("event_id").alias("key"), F.to_json(F.struct("*")).alias("value"),
+                      F.lit(DEAD_LETTER_TOPIC).alias("topic"))
 
 
 def topic_records(records: DataFrame, strict: bool = False) -> DataFrame:

@@ -50,44 +50,65 @@ def resolve(requests: DataFrame, registry: DataFrame) -> DataFrame:
     return found.withColumn("error", error).drop("_version", "_stage", "newest")
 
 
+
 def score(df: DataFrame, predict: Callable[[pd.DataFrame], object], features: Sequence[str],
-          model_name: str, model_version: str, prediction_type: str = "double") -> DataFrame:
+          model_name: str, model_version: str, prediction_type: str = "double",
+          give_up: int | None = None) -> DataFrame:
     """Rows with prediction, model, batch latency per row and error text.
 
     `predict` is any function of a pandas frame. It is sent to the executors with the
-    task and called once per Arrow batch; a failing batch is retried row by row, so
-    that one bad row becomes one error row.
+    task and called once per Arrow batch, with the feature columns only. A batch that
+    fails, or gives another number of predictions than rows, is halved until the rows that
+    fail stand alone: one bad row becomes one error row. With `give_up` a model that has
+    failed on so many single rows in succession is not asked about the rest of the batch,
+    whose rows get the last error.
     """
     features = list(features)
-    added = T.StructType([
+    result = T.StructType([
         T.StructField("prediction", T.DoubleType() if prediction_type == "double" else T.StringType()),
-        T.StructField("model_name", T.StringType()), T.StructField("model_version", T.StringType()),
         T.StructField("latency_ms", T.DoubleType()), T.StructField("error", T.StringType())])
-    schema = T.StructType(df.schema.fields + added.fields)
-
-    def one_by_one(x: pd.DataFrame) -> tuple[list, list]:
-        values, errors = [], []
-        for i in range(len(x)):
+    plain = float if prediction_type == "double" else str
+
+    def asked(x: pd.DataFrame) -> list:
+        values = list(predict(x))
+        if len(values) != len(x):
+            raise ValueError(f"{len(values)} predictions for {len(x)} rows")
+        return [None if v is None else plain(v) for v in values]
+
+    def answers(x: pd.DataFrame) -> tuple[list, list]:
+        values, errors = [None] * len(x), [None] * len(x)
+        todo, failed = [(0, len(x))], 0
+        while todo:
+            start, end = todo.pop()
+            if give_up is not None and failed >= give_up:
+                errors[start:end] = [errors[last]] * (end - start)
+                continue
             try:
-                values.append(list(predict(x.iloc[i:i + 1]))[0])
-                errors.append(None)
+                values[start:end] = asked(x.iloc[start:end])
+                failed = 0
             except Exception as e:  # the error becomes the row's result
-                values.append(None)
-                errors.append(str(e))
+                if end - start == 1:
+                    errors[start], last = str(e), start
+                    failed += 1
+                else:
+                    middle = (start + end) // 2
+                    todo += [(middle, end), (start, middle)]
         return values, errors
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.pandas_udf(result)
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
             start = time.perf_counter()
-            try:
-                values, errors = list(predict(batch[features])), [None] * len(batch)
-            except Exception:
-                values, errors = one_by_one(batch[features])
-            spent = (time.perf_counter() - start) * 1000 / max(len(batch), 1)
-            yield batch.assign(prediction=values, model_name=model_name, model_version=model_version,
-                               latency_ms=spent, error=errors)
-
-    return df.mapInPandas(run, schema)
+            values, errors = answers(x)
+            spent = (time.perf_counter() - start) * 1000 / max(len(x), 1)
+            yield pd.DataFrame({"prediction": pd.Series(values, dtype="float64" if plain is float else "object"),
+                                "latency_ms": spent, "error": pd.Series(errors, dtype="object")})
+
+    out = df.withColumn("_scored", scored(F.struct(*features)))
+    return out.select(*df.columns, F.nanvl("_scored.prediction", F.lit(None).cast("double")).alias("prediction")
+                      if plain is float else F.col("_scored.prediction").alias("prediction"),
+                      F.lit(model_name).alias("model_name"), F.lit(model_version).alias("model_version"),
+                      F.col("_scored.latency_ms").alias("latency_ms"), F.col("_scored.error").alias("error"))
 
 
 def linear_model(weights: dict[str, float], intercept: float) -> Callable[[pd.DataFrame], pd.Series]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from featloom.functions.time import Instant, instant
 from featloom.functions.values import VALUE_TYPES
@@ -31,19 +33,33 @@ def invalid_reason() -> Column:
     return F.coalesce(*checks)
 
 
-def _with_status(incoming: DataFrame, known: DataFrame, problem: Column) -> DataFrame:
-    names = known.select("name", F.lit(True).alias("_known"))
-    return (incoming.join(names, "name", "left")
-            .withColumn("status_code", F.when(problem.isNotNull(), 422)
-                        .when(F.col("_known"), 409).otherwise(201))
-            .withColumn("reason", F.when(problem.isNotNull(), problem)
-                        .when(F.col("_known"), F.lit("already exists")))
-            .drop("_known"))
+def _once(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """`rows` with status 409 instead of 201 on all but the first new row of a name.
+
+    The first one has the least `order`; rows that it leaves equal go by their JSON text.
+    """
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("status_code", "reason", "missing")]))
+    good = F.col("status_code") == 201
+    # rows that are no rivals need not meet
+    first = Window.partitionBy("name", F.when(~good, F.xxhash64(text))).orderBy((~good).cast("int"), *order, text)
+    return (rows.withColumn("_taken", good & (F.row_number().over(first) > 1))
+            .withColumn("status_code", F.when(F.col("_taken"), 409).otherwise(F.col("status_code"))))
+
 
+def check_new(incoming: DataFrame, registry: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Incoming definitions with status 201, 409 (name taken) or 422 (bad value) and a reason.
 
-def check_new(incoming: DataFrame, registry: DataFrame) -> DataFrame:
-    """Incoming definitions with status 201, 409 (name taken) or 422 (bad value) and a reason."""
-    return _with_status(incoming, registry, invalid_reason())
+    A name is taken by the registry, or by an earlier good row of the batch in the given
+    `order`.
+    """
+    problem = invalid_reason()
+    names = registry.select("name", F.lit(True).alias("_known"))
+    checked = (incoming.join(names, "name", "left").withColumn("reason", problem)
+               .withColumn("status_code", F.when(F.col("reason").isNotNull(), 422)
+                           .when(F.col("_known"), 409).otherwise(201)).drop("_known"))
+    return (_once(checked, order)
+            .withColumn("reason", F.when(F.col("status_code") == 409, F.lit("already exists")).otherwise(F.col("reason")))
+            .drop("_taken"))
 
 
 def first_version(as_of: Instant = None) -> Column:
@@ -51,10 +67,11 @@ def first_version(as_of: Instant = None) -> Column:
                             instant(as_of, "timestamp_ntz").alias("created_at"))).cast(VERSIONS)
 
 
-def register(incoming: DataFrame, registry: DataFrame, as_of: Instant = None) -> DataFrame:
+def register(incoming: DataFrame, registry: DataFrame, as_of: Instant = None,
+             order: Sequence[str] = ()) -> DataFrame:
     """The registry with the accepted definitions added at version 1."""
     now = instant(as_of, "timestamp_ntz")
-    accepted = check_new(incoming, registry).filter(F.col("status_code") == 201)
+    accepted = check_new(incoming, registry, order).filter(F.col("status_code") == 201)
     given = accepted.columns
     versions = (F.when(F.size("versions") > 0, F.col("versions")).otherwise(first_version(as_of))
                 if "versions" in given else first_version(as_of))
@@ -69,9 +86,21 @@ def save(registry: DataFrame, definitions: DataFrame, as_of: Instant = None) ->
 
 
 def get(registry: DataFrame, name: str) -> DataFrame:
+    """The definition, or the group, of a name."""
     return registry.filter(F.col("name") == name)
 
 
+def load(spark: SparkSession, features_path: str, groups_path: str) -> tuple[DataFrame, DataFrame]:
+    """The whole registry: definitions and groups, as stored by `store`."""
+    return spark.read.parquet(features_path), spark.read.parquet(groups_path)
+
+
+def store(registry: DataFrame, groups: DataFrame, features_path: str, groups_path: str) -> None:
+    """Write the whole registry to new places."""
+    registry.write.mode("error").parquet(features_path)
+    groups.write.mode("error").parquet(groups_path)
+
+
 def list_features(registry: DataFrame, entity_type: str | None = None,
                   category: str | None = None) -> DataFrame:
     """Definitions that match every filter given."""
@@ -90,23 +119,38 @@ def delete(registry: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]
     return remaining, outcome
 
 
-def check_groups(groups: DataFrame, registry: DataFrame, known_groups: DataFrame) -> DataFrame:
-    """Groups with status 201, 409 (name taken) or 404 and the feature names nobody registered."""
+def list_groups(groups: DataFrame, entity_type: str | None = None, owner: str | None = None) -> DataFrame:
+    """Groups that match every filter given."""
+    for column, wanted in (("entity_type", entity_type), ("owner", owner)):
+        if wanted is not None:
+            groups = groups.filter(F.col(column) == wanted)
+    return groups
+
+
+def check_groups(groups: DataFrame, registry: DataFrame, known_groups: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Groups with status 201, 409 (name taken) or 404 and the feature names nobody registered.
+
+    A name is taken by a known group, or by an earlier good row of the batch.
+    """
     members = groups.select("name", F.explode("feature_names").alias("feature_name"))
     absent = members.join(registry.select(F.col("name").alias("feature_name")), "feature_name", "left_anti")
     # an array no longer than the group's own list of names
     per_group = absent.groupBy("name").agg(F.array_sort(F.collect_set("feature_name")).alias("missing"))
     names = known_groups.select("name", F.lit(True).alias("_known"))
-    return (groups.join(per_group, "name", "left").join(names, "name", "left")
-            .withColumn("status_code", F.when(F.col("_known"), 409)
-                        .when(F.col("missing").isNotNull(), 404).otherwise(201))
-            .drop("_known"))
+    checked = (groups.join(per_group, "name", "left").join(names, "name", "left")
+               # what another row of the name misses is not this row's fault
+               .withColumn("missing", F.array_intersect("missing", "feature_names"))
+               .withColumn("missing", F.when(F.size("missing") > 0, F.col("missing")))
+               .withColumn("status_code", F.when(F.col("_known"), 409)
+                           .when(F.col("missing").isNotNull(), 404).otherwise(201))
+               .drop("_known"))
+    return _once(checked, order).drop("_taken")
 
 
 def register_groups(groups: DataFrame, registry: DataFrame, known_groups: DataFrame,
-                    as_of: Instant = None) -> DataFrame:
+                    as_of: Instant = None, order: Sequence[str] = ()) -> DataFrame:
     now = instant(as_of, "timestamp_ntz")
-    accepted = check_groups(groups, registry, known_groups).filter(F.col("status_code") == 201)
+    accepted = check_groups(groups, registry, known_groups, order).filter(F.col("status_code") == 201)
     new = accepted.withColumn("created_at", now).withColumn("updated_at", now)
     return known_groups.unionByName(new.select(*known_groups.columns))
 

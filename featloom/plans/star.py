@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from featloom.functions.time import Instant, instant
 from featloom.functions.values import decoded_text
 from featloom.operators.intervals import SLICE_SECONDS, with_next
-from featloom.operators.keys import dense_keys, extend_dimension, lookup
+from featloom.operators.keys import dense_keys, extend_dimension, lookup, unknown
 from featloom.operators.latest import latest_by_key
 
 # Retention of the fact tables, in days.
@@ -46,13 +46,16 @@ def typed_values(tall: DataFrame, value: str = "value", data_type: str = "data_t
 def validity_intervals(values: DataFrame, entity: str = "entity_id", feature: str = "feature_key",
                        valid_from: str = "valid_from", slice_seconds: int = SLICE_SECONDS,
                        tiebreak: tuple[str, ...] = ()) -> DataFrame:
-    """`valid_to` is the start of the next value of the same entity and feature."""
+    """`valid_to` is the start of the next value of the same entity and feature.
+
+    Of values that start together the greatest `tiebreak`, then the greatest value lasts.
+    """
     return with_next(values, [feature, entity], valid_from, "valid_to", tiebreak, slice_seconds)
 
 
 def load_feature_values(tall: DataFrame, features: DataFrame, as_of: Instant = None,
-                        slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """The feature-value fact: key lookup, typed value, validity interval.
+                        slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """The feature-value fact (key lookup, typed value, validity interval), and the rows of unknown features.
 
     `tall`: entity_id, feature_id, value, valid_from; `features`: feature_id, feature_key, data_type.
     """
@@ -60,18 +63,21 @@ def load_feature_values(tall: DataFrame, features: DataFrame, as_of: Instant = N
     typed = typed_values(keyed).select(
         "feature_key", "entity_id", "value_numeric", "value_text", "value_timestamp",
         "value_boolean", "valid_from")
-    return (validity_intervals(typed, slice_seconds=slice_seconds)
-            .withColumn("created_at", instant(as_of, "timestamp_ntz")))
+    facts = (validity_intervals(typed, slice_seconds=slice_seconds)
+             .withColumn("created_at", instant(as_of, "timestamp_ntz")))
+    return facts, unknown(tall, features, "feature_id")
 
 
-def load_model_metrics(metrics: DataFrame, models: DataFrame, experiments: DataFrame) -> DataFrame:
-    """The model-metric fact: model key required, experiment key where there is one."""
+def load_model_metrics(metrics: DataFrame, models: DataFrame, experiments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model-metric fact (model key required, experiment key where there is one), and the rows of unknown models."""
     with_model = lookup(metrics, models, "model_id", "model_key")
-    return with_model.join(experiments.select("experiment_id", "experiment_key"),
-                           "experiment_id", "left").drop("experiment_id")
+    facts = with_model.join(experiments.select("experiment_id", "experiment_key"),
+                            "experiment_id", "left").drop("experiment_id")
+    return facts, unknown(metrics, models, "model_id")
 
 
-def load_predictions(predictions: DataFrame, models: DataFrame) -> DataFrame:
-    """The prediction fact: model key, value, label, probability, latency in whole milliseconds."""
+def load_predictions(predictions: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prediction fact (model key, value, label, probability, latency in whole milliseconds), and the
+    rows of unknown models."""
     keyed = lookup(predictions, models, "model_id", "model_key")
-    return keyed.withColumn("latency_ms", F.round("latency_ms").cast("int"))
+    return keyed.withColumn("latency_ms", F.round("latency_ms").cast("int")), unknown(predictions, models, "model_id")

@@ -2,7 +2,7 @@
 
 A keyed stream output is kept as one folder per micro-batch. A repeated batch
 replaces its own folder, so delivery twice changes nothing, and no batch rewrites
-what earlier ones wrote. Readers take the latest batch per key.
+what earlier ones wrote. Readers take the latest batch per key, starting from the last compaction.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import islice
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from featloom.operators.latest import latest_by_key
@@ -42,19 +42,63 @@ def upsert_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "update
     return start(df, handle, checkpoint, mode, **trigger)
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The latest state per key of an `upsert_stream` output."""
-    rows = spark.read.parquet(path)
-    return latest_by_key(rows, keys, ["batch_id"]).drop("batch_id")
+def _merged(path: str) -> str:
+    return path.rstrip("/") + "-compacted"
+
+
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the complete folders `name=<number>` below a path, in order."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = []
+    for status in fs.listStatus(root):
+        folder = status.getPath()
+        if folder.getName().startswith(f"{name}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            found.append(int(folder.getName().split("=", 1)[1]))
+    return sorted(found)
+
+
+def _batches(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Rows with their `batch_id`: the newest compaction and the batches after it."""
+    merged = _folders(spark, _merged(path), "upto")
+    upto = merged[-1] if merged else None
+    later = [i for i in _folders(spark, path, "batch_id") if upto is None or i > upto]
+    parts = [spark.read.parquet(f"{_merged(path)}/upto={upto}")] if merged else []
+    if later:
+        parts.append(spark.read.option("basePath", path).parquet(*[f"{path}/batch_id={i}" for i in later])
+                     .withColumn("batch_id", F.col("batch_id").cast("bigint")))
+    if not parts:
+        if schema is None:
+            raise ValueError(f"no batch was written to {path} yet; give a schema to read it as empty")
+        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def current(spark: SparkSession, path: str, keys: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """The latest state per key of an `upsert_stream` output; empty with `schema` before the first batch."""
+    return latest_by_key(_batches(spark, path, schema), keys, ["batch_id"]).drop("batch_id")
 
 
 def appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("batch_id")
 
 
-def compact_batches(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
-    """The current state written as one table to a new place; the caller then switches to it."""
-    current(spark, path, keys).write.mode("error").parquet(target)
+def compact_batches(spark: SparkSession, path: str, keys: Sequence[str]) -> int | None:
+    """Write the latest row per key of all complete batches beside them; gives the last batch that it holds.
+
+    The stream may go on meanwhile. Rows keep the `batch_id` they came with, and readers
+    take the newest complete compaction and the batches after it.
+    """
+    done = _folders(spark, path, "batch_id")
+    merged = _folders(spark, _merged(path), "upto")
+    if not done or (merged and merged[-1] >= done[-1]):
+        return merged[-1] if merged else None
+    rows = _batches(spark, path).filter(F.col("batch_id") <= done[-1])
+    latest_by_key(rows, keys, ["batch_id"]).write.mode("overwrite").parquet(f"{_merged(path)}/upto={done[-1]}")
+    return done[-1]
 
 
 def records_stream(df: DataFrame, fmt: str, checkpoint: str, topic: str | None = None,

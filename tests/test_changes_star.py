@@ -108,8 +108,11 @@ def test_facts(table, rows):
     models = table("model_key bigint, model_id string", [(1, "m:1")])
     experiments = table("experiment_key bigint, experiment_id string", [(5, "e")])
     metrics = table("model_id string, experiment_id string, metric_value double", [("m:1", "e", 1.0), ("m:1", None, 2.0), ("x", "e", 3.0)])
-    got = star.load_model_metrics(metrics, models, experiments).select("model_key", "experiment_key", "metric_value")
+    facts, lost = star.load_model_metrics(metrics, models, experiments)
+    got = facts.select("model_key", "experiment_key", "metric_value")
+    assert [r["model_id"] for r in lost.collect()] == ["x"]
     assert sorted(rows(got), key=lambda r: r[2]) == [(1, 5, 1.0), (1, None, 2.0)]
     assert rows(K.unknown(metrics, models, "model_id").select("model_id")) == [("x",)]
     scored = table("model_id string, entity_id string, latency_ms double", [("m:1", "a", 2.5)])
-    assert star.load_predictions(scored, models).first()["latency_ms"] == 3
+    facts, lost = star.load_predictions(scored, models)
+    assert facts.first()["latency_ms"] == 3 and lost.count() == 0

@@ -18,6 +18,23 @@ def test_customer_definitions(events, rows):
     assert got == [("a", 1, 3, 2, 1.0), ("b", 31, 1, 1, 0.0)]
 
 
+def test_filtered_date_diff_and_a_column_as_now(table, rows):
+    from pyspark.sql import functions as F
+    df = table("customer_id string, purchase_date timestamp_ntz, kind string", [
+        ("a", "2024-01-23 00:00:00", "x"), ("a", "2024-01-31 00:00:00", "y")])
+    ds = [D.Definition("days", "customer", "INT", ({"type": "date_diff", "from": "NOW()", "to": "MAX(purchase_date)"},),
+                       {"filter": "kind = 'x'"}),
+          D.Definition("recent", "customer", "INT", ({"type": "count", "field": "*"},),
+                       {"filter": "purchase_date >= NOW() - INTERVAL '10 days'"}),
+          D.Definition("age", "customer", "INT", ({"type": "max", "field": "purchase_date", "alias": "m"},
+                                                  {"type": "datediff", "args": ["current_date", "m"]}))]
+    for now in (NOW, F.lit(NOW).cast("timestamp_ntz")):
+        assert rows(D.compute(df, ds, ["customer_id"], now)) == [("a", 9, 2, 1)]
+    with pytest.raises(ValueError):
+        D.compute(df, [D.Definition("d", "customer", "INT", ({"type": "date_diff", "from": "NOW()", "to": "purchase_date"},),
+                                    {"filter": "kind = 'x'"})], ["customer_id"], NOW)
+
+
 def test_product_definitions(events, rows):
     got = rows(D.compute(events, D.product_event_features(), ["product_id"], NOW), "product_id")
     assert got == [("p", 1, 1, 0, 1.0), ("q", 0, 1, 1, None)]     # no views: no rate, no error
@@ -88,6 +105,28 @@ def test_register(registry, table, rows):
     assert str(after["new"]["updated_at"]) == NOW and str(after["a"]["updated_at"]) == "2023-01-01 00:00:00"
 
 
+def test_repeated_names_in_a_batch(registry, table):
+    incoming = table(SCHEMA, [definition("new", "FLOAT"), definition("new", "INT"), definition("new", "TENSOR"), definition("a")])
+    got = sorted((r["name"], r["value_type"], r["status_code"]) for r in R.check_new(incoming, registry, ["value_type"]).collect())
+    assert got == [("a", "INT", 409), ("new", "FLOAT", 201), ("new", "INT", 409), ("new", "TENSOR", 422)]
+    after = R.register(incoming, registry, NOW, ["value_type"])
+    assert after.filter("name = 'new'").count() == 1 and after.select("name").distinct().count() == after.count()
+    known = table(GROUP, [("old", "d", ["a"], "customer", "o", None, None)])
+    groups = table(GROUP, [("g", "1", ["a", "x"], "m", "o", None, None), ("g", "2", ["a"], "m", "o", None, None),
+                           ("g", "3", ["b"], "m", "o", None, None)]).drop("created_at", "updated_at")
+    got = {r["description"]: (r["status_code"], r["missing"]) for r in R.check_groups(groups, registry, known, ["description"]).collect()}
+    assert got == {"1": (404, ["x"]), "2": (201, None), "3": (409, None)}
+    assert R.register_groups(groups, registry, known, NOW).count() == 2
+
+
+def test_whole_registry(registry, table, tmp_path, spark):
+    groups = table(GROUP, [("g", "d", ["a"], "customer", "o", None, None), ("h", "d", ["b"], "product", "p", None, None)])
+    R.store(registry, groups, str(tmp_path / "f"), str(tmp_path / "g"))
+    features, known = R.load(spark, str(tmp_path / "f"), str(tmp_path / "g"))
+    assert features.count() == 3 and R.get(known, "h").first()["owner"] == "p"
+    assert [r["name"] for r in R.list_groups(known, "customer").collect()] == ["g"] and R.list_groups(known).count() == 2
+
+
 def test_versions(registry, table):
     grown = {r["name"]: r for r in R.add_versions(registry, table("name string", [("a",), ("c",), ("ghost",)]), NOW).collect()}
     assert [v["version"] for v in grown["a"]["versions"]] == [1, 4, 5]

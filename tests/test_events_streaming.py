@@ -28,7 +28,7 @@ VALUES = [
 
 def records(spark, values, start=0):
     rows = [(f"k{start + i}", v, "customer-events", dt.datetime(2024, 1, 1)) for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, RECORD)
+    return spark.createDataFrame([(*r, 0, i) for i, r in enumerate(rows)], RECORD)
 
 
 def test_parse(spark):
@@ -130,8 +130,32 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
         out.write_batch(spark.range(3), 0, path)
     out.write_batch(spark.range(2), 1, path)
     assert spark.read.parquet(path).count() == 5 and out.current(spark, path, ["id"]).count() == 3
-    out.compact_batches(spark, path, str(tmp_path / "c"), ["id"])
-    assert spark.read.parquet(str(tmp_path / "c")).count() == 3
+
+
+def test_compaction_of_a_running_stream(spark, tmp_path, rows):
+    """Several batches, a late row among them, compactions in between: readers see the same as without."""
+    feed = Feed(spark, tmp_path)
+    path, keys = str(tmp_path / "out" / "over_time"), job.KEYS["over_time"]
+    with pytest.raises(ValueError):
+        out.current(spark, path, keys)
+    none = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    assert out.current(spark, path, keys, none).count() == 0 and out.compact_batches(spark, path, keys) is None
+    read = lambda: {(r["window_start"].minute + 60 * r["window_start"].hour, r["event_type"]): r["event_count"]
+                    for r in out.current(spark, path, keys).collect()}
+    feed.add([minute(1), minute(2), minute(61)])
+    run(spark, feed, tmp_path)
+    assert out.compact_batches(spark, path, keys) is not None
+    assert read() == {(0, "USER_LOGIN"): 2, (60, "USER_LOGIN"): 1}
+    feed.add([minute(3), minute(62)])                       # minute 3 comes too late for its window
+    run(spark, feed, tmp_path)
+    assert read() == {(0, "USER_LOGIN"): 2, (60, "USER_LOGIN"): 2}
+    last = out.compact_batches(spark, path, keys)
+    assert out.compact_batches(spark, path, keys) == last and read() == {(0, "USER_LOGIN"): 2, (60, "USER_LOGIN"): 2}
+    feed.add([minute(63, "PURCHASE_COMPLETED")])
+    run(spark, feed, tmp_path)
+    assert read()[(60, "PURCHASE_COMPLETED")] == 1 and read()[(60, "USER_LOGIN")] == 2
+    merged = spark.read.parquet(f"{path}-compacted/upto={last}")
+    assert "batch_id" in merged.columns and merged.count() == 2
 
 
 def test_change_stream(spark, tmp_path, rows):
@@ -186,7 +210,7 @@ def test_drift_on_a_stream(spark, tmp_path):
 def test_published_events_parse_back(spark):
     src = spark.createDataFrame([("A", {"user_id": "u"}, "id-1"), ("B", None, None)], "t string, p map<string,string>, i string")
     published = streams.event_records(src, F.col("t"), F.col("p"), "app", "host", F.col("i"), as_of="2024-01-01 10:00:00").collect()
-    back = E.parse(spark.createDataFrame(published, RECORD)).orderBy("event_type").collect()
+    back = E.parse(spark.createDataFrame([(*r, 0, i) for i, r in enumerate(published)], RECORD)).orderBy("event_type").collect()
     assert [r["is_valid"] for r in back] == [True, True]
     assert back[0]["event_id"] == "id-1" == back[0]["kafka_key"] and len(back[1]["event_id"]) == 36
     assert back[1]["payload"] == {} and str(back[0]["event_timestamp"]) == "2024-01-01 10:00:00"

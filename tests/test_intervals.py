@@ -35,6 +35,21 @@ def test_next(spark, slice_seconds):
             assert got[i] == (after[0].to_pydatetime() if after else None)
 
 
+def test_equal_starts_never_overlap(table):
+    df = table("key string, at timestamp_ntz, v int", [
+        ("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:00:00", 2), ("a", "2024-01-01 00:00:00", 2), ("a", "2024-01-01 00:00:00", None),
+        ("a", "2024-01-02 00:00:00", 3), ("a", "2024-01-02 00:00:00", 3), (None, "2024-01-01 00:00:00", 1), ("b", None, 1)])
+    got = I.with_next(df, ["key"], "at").collect()
+    assert len(got) == 8
+    mine = [r for r in got if r["key"] == "a"]
+    lasting = [r for r in mine if r["valid_to"] is None or r["valid_to"] > r["at"]]
+    assert sorted((str(r["at"])[:10], r["v"], r["valid_to"] and str(r["valid_to"])[:10]) for r in lasting) == [
+        ("2024-01-01", 2, "2024-01-02"), ("2024-01-02", 3, None)]
+    asked = table("key string, t timestamp_ntz", [("a", "2024-01-01 12:00:00"), ("a", "2024-01-02 00:00:00")])
+    facts = I.with_next(df, ["key"], "at").withColumnRenamed("at", "valid_from")
+    assert sorted(r["v"] for r in I.valid_at(facts, asked, ["key"], "t").collect()) == [2, 3]
+
+
 @pytest.mark.parametrize("strict", [False, True])
 @pytest.mark.parametrize("slice_seconds", [600, 86400])
 def test_as_of(spark, strict, slice_seconds):

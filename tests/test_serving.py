@@ -133,6 +133,23 @@ def test_score_and_errors(spark):
     assert facts.filter("entity_id = '1'").first()["model_id"] == "m:7"
 
 
+def test_score_odd_models(spark):
+    df = spark.range(64).selectExpr("id", "cast(id as double) f", "array(id) untouched").coalesce(1)
+    short = M.score(df, lambda x: x["f"].iloc[1:] if len(x) > 1 else x["f"], ["f"], "m", "1").collect()
+    assert [r["prediction"] for r in short] == [r["f"] for r in short] and short[0]["untouched"] == [0]
+    calls = spark.sparkContext.accumulator(0)
+
+    def broken(x):
+        calls.add(1)
+        raise ValueError("never works")
+    got = M.score(df, broken, ["f"], "m", "1", give_up=5).collect()
+    assert {r["error"] for r in got} == {"never works"} and {r["prediction"] for r in got} == {None} and calls.value < 30
+    plan = M.score(df, broken, ["f"], "m", "1")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+    texts = M.score(df.limit(2), lambda x: ["a", None], ["f"], "m", "1", "string").collect()
+    assert [r["prediction"] for r in texts] == ["a", None]
+
+
 def test_resolve(spark):
     registry = spark.createDataFrame([("m", 1, "Production"), ("m", 2, "Production"), ("m", 3, "Staging")], "name string, version int, stage string")
     asked = spark.createDataFrame([(1, "m", "production"), (2, "m", "3"), (3, "m", "9"), (4, "m", "canary"), (5, "m", "Archived"), (6, "x", "None")],
