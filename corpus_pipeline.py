@@ -11,7 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featloom.llm import bpe, jaccard, langid, linededup, mixing
-from featloom.llm.common import read, shared_folder
+from featloom.llm.common import read
+from featloom.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -67,7 +68,7 @@ ORACLE_SQL = None  # language ID, the join and BPE have no SQL form; tests compa
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     docs = read(spark, sf_dir, "documents")
-    folder = shared_folder(spark, "pipeline")
+    folder = scratch_dir(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from featloom.session import prepare
+from featloom.session import prepare, scratch_dir
 
 #: What the contracts call white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -17,15 +15,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the one that all machines share (`spark.checkpoint.dir`, else the warehouse)."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/featloom-llm-{purpose}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written to the shared folder and read again, so a lost executor costs no recomputation."""
-    path = shared_folder(df.sparkSession, purpose)
+    path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from featloom.llm.common import shared_folder
+from featloom.session import scratch_dir
 
 #: Stated in every record: when the archive was made is not a property of the pages.
 DATE = "2024-01-01T00:00:00Z"
@@ -142,7 +142,7 @@ def read_back(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """Write the pages to a new archive in the shared folder and read it back."""
-    folder = shared_folder(pages.sparkSession, "warc")
+    folder = scratch_dir(pages.sparkSession, "warc")
     write(pages, folder, smallest)
     return read_back(pages.sparkSession, folder)
 
