@@ -8,9 +8,9 @@ The join follows the relations between sets, not only between a set and a token:
   two sets make entries (shingle, set, size, position) of the index.
 * Index lists are cut into blocks of sizes (a factor of 1.25 each), so blocks whose sizes cannot link are
   skipped whole, and a pair of entries whose positions leave too few shingles is skipped too.
-* Round 1 compares each set with one head of its block and of the next smaller one: the smallest set there.
-  So a list of m sets gives at most 2m pairs, however many of them are alike. A set's closest linked head
-  becomes its anchor.
+* Round 1 compares each set with the heads of its block and of the two next to it: the set there with the
+  fewest shingles of its own. So a list of m sets gives at most 3m pairs, however many of them are alike. A
+  set's closest linked head becomes its anchor.
 * Round 2 compares anchors that meet in a list and are not connected yet.
 * Round 3 derives the answers of all other sets from those of their anchors: for x with anchor a and y with
   anchor b, at most |a & b| + |x - a| + |y - b| shingles are shared. Pairs that this decides are skipped; the
@@ -74,7 +74,7 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 # Counts of shingles travel as packed offsets (common.pack); they only decide an order.
 _COUNTS = "shard int, bucket int, keys binary, counts binary"
 _ANSWER = "shard int, bucket int, counts binary, owned array<bigint>"
-_ENTRIES = "sid bigint, n bigint, token bigint, pos int, text binary"
+_ENTRIES = "sid bigint, n bigint, alone bigint, token bigint, pos int, text binary"
 
 
 def _own_sets(texts: pa.Table, owned: list[int], width: int):
@@ -131,7 +131,8 @@ def index(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: st
         import zstandard
         names = _owned(answers)
         own_texts, sids, tokens = _own_sets(t, names, width) if names else ([], [], [])
-        kinds = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()), ("text", pa.binary())])
+        kinds = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("token", pa.int64()), ("pos", pa.int32()),
+                           ("text", pa.binary())])
         if not tokens:
             return kinds.empty_table()
         counted = sorted((b, c) for b, c in zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()) if c is not None)
@@ -151,15 +152,15 @@ def index(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: st
             if alone < first:
                 own = df[at:at + size]
                 order = np.lexsort((tokens[i], own))[alone:first]
-                out.append((np.full(len(order), sids[i]), np.full(len(order), size), tokens[i][order].view(np.int64),
+                out.append((np.full(len(order), sids[i]), np.full(len(order), size), np.full(len(order), alone), tokens[i][order].view(np.int64),
                             np.arange(alone, first, dtype=np.int32)))
                 kept.append(i)
             at += size
         if not kept:
             return kinds.empty_table()
-        sid, n_, token, pos = (np.concatenate(x) for x in zip(*out))
-        entries = pa.table({"sid": sid, "n": n_, "token": token, "pos": pos, "text": pa.nulls(len(sid), pa.binary())}, kinds)
-        held = pa.table({"sid": sids[kept], "n": sizes[kept], "token": pa.nulls(len(kept), pa.int64()),
+        sid, n_, lone, token, pos = (np.concatenate(x) for x in zip(*out))
+        entries = pa.table({"sid": sid, "n": n_, "alone": lone, "token": token, "pos": pos, "text": pa.nulls(len(sid), pa.binary())}, kinds)
+        held = pa.table({"sid": sids[kept], "n": sizes[kept], "alone": single[kept].astype(np.int64), "token": pa.nulls(len(kept), pa.int64()),
                          "pos": pa.nulls(len(kept), pa.int32()),
                          "text": pa.array([compress((own_texts[i] or "").encode()) for i in kept], pa.binary())}, kinds)
         return pa.concat_tables([entries, held])
@@ -199,14 +200,21 @@ def _fits(n: str, m: str) -> str:
 
 
 def _first_round(entries: DataFrame) -> DataFrame:
-    """x, y: each set and the heads of its blocks; a head is smaller, or as large with a smaller id."""
+    """x, y: each set and the heads of the blocks around it, which come before it in the order of heads.
+
+    A head is the set of its block with the fewest shingles of its own, then the smallest:
+    among copies with edits that is the text they come from, which is nearer to each of
+    them than they are to each other.
+    """
     block = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
     placed = entries.withColumn("block", block)
-    heads = placed.groupBy("token", "block").agg(F.min(F.struct("n", "sid", "pos")).alias("head"))
-    asked = placed.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1)))
+    heads = placed.groupBy("token", "block").agg(
+        F.min(F.struct("alone", "n", "sid", "pos")).alias("head"))
+    asked = placed.withColumn("block", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])))
     room = "1 + least(n - pos - 1, head.n - head.pos - 1)"
     return (asked.join(heads, ["token", "block"])
-            .where(f"sid <> head.sid AND {links(room, 'n', 'head.n')} AND {_fits('n', 'head.n')}")
+            .where("struct(head.alone, head.n, head.sid) < struct(alone, n, sid)")
+            .where(f"{links(room, 'n', 'head.n')} AND {_fits('n', 'head.n')}")
             .select(F.col("sid").alias("x"), F.col("head.sid").alias("y")).distinct())
 
 
@@ -224,7 +232,7 @@ def set_links(entries: DataFrame, texts: DataFrame, width: int = WIDTH) -> tuple
     first = staged(overlaps(_first_round(entries), texts, width), "round1")
     found = linked(first)
     roots = components(found)
-    # the closest linked head; heads are smaller, so anchors do not form circles
+    # the closest linked head; heads come first in their order, so anchors do not form circles
     near = first.where(links("shared", "n", "m")).groupBy("x").agg(
         F.max_by(F.struct(F.col("y").alias("anchor"), (F.col("n") - F.col("shared")).alias("apart")),
                  F.struct(F.col("shared") / (F.col("n") + F.col("m")), -F.col("y"))).alias("near"))
@@ -236,14 +244,16 @@ def set_links(entries: DataFrame, texts: DataFrame, width: int = WIDTH) -> tuple
     placed = staged(_labelled(placed, "anchor", roots, "root"), "placed")
 
     def met(rows):
-        """Pairs of anchors of different components that meet in a list, in blocks of sizes that can link."""
-        groups = rows.groupBy("token", "root", "anchor").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        """Pairs of anchors of different components that meet in a list, with sizes and positions that can link."""
+        groups = rows.groupBy("token", "root", "anchor").agg(
+            F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("room"))
         several = groups.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("token")
         groups = groups.join(several, "token")
         a, b = groups.alias("a"), groups.alias("b")
         return (a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.anchor") > F.col("b.anchor")) &
                        (F.col("a.root") != F.col("b.root")) &
-                       (F.col("a.high") * 100 >= F.col("b.low") * PERCENT) & (F.col("b.high") * 100 >= F.col("a.low") * PERCENT))
+                       (F.col("a.high") * 100 >= F.col("b.low") * PERCENT) & (F.col("b.high") * 100 >= F.col("a.low") * PERCENT) &
+                       F.expr(links("least(a.room, b.room)", "a.low", "b.low")))
                 .select(F.col("a.anchor").alias("x"), F.col("b.anchor").alias("y")).distinct())
 
     ordered = [F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")]
@@ -264,7 +274,8 @@ def set_links(entries: DataFrame, texts: DataFrame, width: int = WIDTH) -> tuple
 def _third_round(placed: DataFrame, anchors: DataFrame) -> DataFrame:
     """x, y: pairs of sets that the answers of their anchors leave open."""
     # anchor pairs for which some two members may link, by the farthest members of each list
-    groups = placed.groupBy("token", "anchor", "root").agg(F.max("apart").alias("far"), F.min("n").alias("low"))
+    groups = placed.groupBy("token", "anchor", "root").agg(
+        F.max("apart").alias("far"), F.min("n").alias("low"), F.max(F.col("n") - F.col("pos")).alias("room"))
     several = groups.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("token")
     groups = groups.join(several, "token")
     open_ = (groups.alias("a").join(groups.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.anchor") > F.col("b.anchor"))
@@ -272,6 +283,7 @@ def _third_round(placed: DataFrame, anchors: DataFrame) -> DataFrame:
              .join(anchors.alias("k"), (F.col("a.anchor") == F.col("k.x")) & (F.col("b.anchor") == F.col("k.y")), "left")
              # anchors that never met in sizes that can link have no count: nothing is known of them
              .where("k.shared IS NULL OR " + links("k.shared + a.far + b.far", "a.low", "b.low"))
+             .where(links("least(a.room, b.room)", "a.low", "b.low"))
              .select("a.token", F.col("a.anchor").alias("anchor_x"), F.col("b.anchor").alias("anchor_y"), "k.shared"))
     x, y = placed.alias("x"), placed.alias("y")
     room = "1 + least(x.n - x.pos - 1, y.n - y.pos - 1)"
