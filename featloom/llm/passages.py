@@ -41,8 +41,10 @@ COUNTED = np.uint64((1 << 64) // 10)
 HOT = 256
 MOST_COUNTED = np.iinfo(np.uint16).max
 #: Bytes of one suffix array, and bytes of documents that are scanned together.
-SHARD, GROUP = 8_000_000, 2_000_000
+SHARD, GROUP = 1_000_000, 1_000_000
 SMALLEST = -(1 << 63)
+#: Shards of documents for each shuffle partition: two, so that partitions even out.
+SHARDS = 2
 
 
 class Windows:
@@ -80,13 +82,14 @@ class Windows:
         return np.nonzero((self.gram < COUNTED) & inside)[0]
 
     def documents_of_grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct counted grams and the number of documents of each.
+        """Keys of the distinct counted grams, and the number of documents of each.
 
-        A high gram is counted where it is the smallest of a window: wherever this window occurs.
+        Counted and smallest grams are small numbers, so a key is the gram mixed anew: keys
+        fall into all ranges alike. A high gram is counted where it is the smallest of a window: wherever this window occurs.
         """
         at = self.low_grams()
         high = np.nonzero(self.valid & (self.least >= COUNTED))[0]
-        gram = np.concatenate((self.gram[at], self.least[high]))
+        gram = mix64(np.concatenate((self.gram[at], self.least[high])))
         doc = np.concatenate((self.doc[at], self.doc[high]))
         order = np.lexsort((doc, gram))
         gram, doc = gram[order], doc[order]
@@ -96,7 +99,7 @@ class Windows:
     def runs(self, keys: np.ndarray, counts: np.ndarray, very: int = HOT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, number of windows, and deal key of the runs of windows that may repeat."""
         at = self.low_grams()
-        total = counts[np.searchsorted(keys, self.gram[at])]
+        total = counts[np.searchsorted(keys, mix64(self.gram[at]))]
         # a low gram of one document rules out all windows that hold it
         unique = np.zeros(len(self.gram) + 1, np.int32)
         unique[at[total < 2]] = 1
@@ -104,12 +107,12 @@ class Windows:
         first = np.arange(len(self.valid))
         starts = np.nonzero(self.valid & (before[first + self.steps] == before[first]))[0]
         # and a window's smallest gram of one document rules out that window
-        held = counts[np.searchsorted(keys, self.least[starts])]
-        starts, held = starts[held >= 2], held[held >= 2]
+        deal = mix64(self.least[starts])
+        held = counts[np.searchsorted(keys, deal)]
+        starts, deal, held = starts[held >= 2], deal[held >= 2], held[held >= 2]
         if not len(starts):
-            return starts, starts, np.zeros(0, np.uint64)
-        least, hot = self.least[starts], held >= very
-        deal = least.copy()
+            return starts, starts, deal
+        hot = held >= very
         deal[hot] = self._hashes(starts[hot])
         new = np.concatenate(([True], (starts[1:] != starts[:-1] + 1) | (deal[1:] != deal[:-1]) | hot[1:]))
         head = np.nonzero(new)[0]
@@ -217,7 +220,7 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_bytes, kept (the bytes that stay), spans (start and end of the maximal runs that go)."""
     n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"),
-                       shard_of(id_col, n).alias("shard"))
+                       shard_of(id_col, SHARDS * n).alias("shard"))
     names = rows.select(F.coalesce("id", F.lit(SMALLEST)).alias("id"), "shard",
                         F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 32).alias("name"))
     firsts = (names.groupBy("name").agg(F.min(F.struct("id", "shard")).alias("at"))
@@ -284,7 +287,7 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         np.array([s[0] for _, s in found], "<i8").tobytes()))
         # where the strings lie in this shard's rows: row, start, first window, windows
         runs = np.array([(row, start, s[1], s[2]) for row, start, s in uses], "<i8").reshape(-1, 4)
-        out.append((shard, shard, None, runs.tobytes(), np.array(places, "<i8").tobytes()))
+        out.append((shard % n, shard, None, runs.tobytes(), np.array(places, "<i8").tobytes()))
         return _table(_PIECES, out)
 
     def compare(t: pa.Table) -> pa.Table:
