@@ -152,18 +152,20 @@ class _Writer:
         r = self.random
         self.pieces.append(f"<!DOCTYPE html><html><head><title>{self.sentence(2, 8, '')}</title><style>p{{margin:0}}</style>"
                            f"<script>var t='<p>x</p>';</script></head><body>")
+        # some pages are an article and little else
+        rest = 0.15 if r.random() < 0.25 else 1
         for chance, part in ((0.4, lambda: self.said(NOTICE_BOXES, (1, 2))), (0.6, self.header), (0.7, self.menu), (0.15, self.form),
                              (0.4, lambda: self.said(AD_BOXES, (1, 1, 2)))):
-            if r.random() < chance:
+            if r.random() < chance * rest:
                 part()
-        side = r.random() < 0.4
+        side = r.random() < 0.4 * rest
         if side and r.random() < 0.5:
             self.said(SIDE_BOXES, (1, 3, 5))
         self.article()
         for chance, part in ((0.3, self.share), (0.4, self.comments), (0.2, self.form), (0.25, lambda: self.said(AD_BOXES, (1, 2))),
                              (0.5 if side else 0, lambda: self.said(SIDE_BOXES, (1, 3, 5))), (0.2, lambda: self.said(NOTICE_BOXES, (1, 2))),
                              (0.85, lambda: self.said(FOOTER_BOXES, (1, 2, 3)))):
-            if r.random() < chance:
+            if r.random() < chance * rest:
                 part()
         self.pieces.append("</body></html>")
         return "".join(self.pieces)

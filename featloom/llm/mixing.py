@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, id_col
         text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: rows of `docs`, each as often as it is taken; a cut document ends after its last word.
 
-    Documents without words are kept once. Of other columns `n_chars`, if there is one, follows the text.
+    Documents without words are kept once. Of other columns `n_chars`, if there is one, follows a text that is cut.
     """
     sizes = staged(sized(docs, id_col, text_col, source_col), "sizes")
     plan = cuts(sizes, targets(sizes, weights, most)).withColumnRenamed("source", "plan_source")
@@ -128,7 +128,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, id_col
     cut = F.when(F.col("part") == F.col("size"), text).otherwise(_first_words(text, F.col("part")))
     out = {c: F.col("doc")[c] for c in docs.columns} | {text_col: cut}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.length(cut).cast(docs.schema["n_chars"].dataType)
+        own = F.col("doc")["n_chars"]
+        out["n_chars"] = F.when(F.col("part") == F.col("size"), own).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
     return rows.select(*[v.alias(c) for c, v in out.items()])
 
 
