@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featloom.session import prepare, scratch_dir
 
+#: Most bytes of a batch of rows in a Python task.
+BATCH_BYTES = "4m"
 #: What the contracts call white space: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -22,6 +24,12 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose rows go to Python tasks in batches of a few megabytes however long its texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,10 +62,20 @@ def offsets_in(keys: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
 
 
 def pack(offsets: np.ndarray) -> bytes:
-    """Differences byte by byte of equal weight, so that the empty high bytes compress away."""
-    return np.diff(offsets, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return planes(np.diff(offsets, prepend=np.uint32(0)).astype("<u4"))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+    return np.cumsum(from_planes(data, "<u4"), dtype=np.uint32)
+
+
+# Numbers travel with their bytes sorted by weight: equal and empty bytes lie together and compress away.
+
+def planes(numbers: np.ndarray) -> bytes:
+    width = numbers.dtype.itemsize
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()

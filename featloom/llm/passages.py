@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from featloom.llm import shingles
-from featloom.llm.common import bucket_cuts, mix64, offsets_in, pack, partitions, shard_of, unpack
+from featloom.llm.common import (
+    bucket_cuts, from_planes, mix64, offsets_in, pack, partitions, planes, shard_of, unpack,
+)
 from featloom.llm.suffix import merge, window_groups
 
 WIDTH = 50
@@ -38,7 +40,7 @@ GRAM = 20
 #: All grams with a smaller hash are counted.
 COUNTED = np.uint64((1 << 64) // 10)
 #: Documents with a gram from which its windows are dealt one by one.
-HOT = 256
+HOT = 1024
 MOST_COUNTED = np.iinfo(np.uint16).max
 #: Bytes of one suffix array, and bytes of documents that are scanned together.
 SHARD, GROUP = 1_000_000, 1_000_000
@@ -283,11 +285,11 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at += len(x) - width + 1
             by_bucket.setdefault(b, []).append((x, string))
         for b, found in by_bucket.items():
-            out.append((b, shard, b"".join(x for x, _ in found), np.array([len(x) for x, _ in found], "<i8").tobytes(),
-                        np.array([s[0] for _, s in found], "<i8").tobytes()))
+            out.append((b, shard, b"".join(x for x, _ in found), planes(np.array([len(x) for x, _ in found], "<i4")),
+                        planes(np.array([s[0] for _, s in found], "<i8"))))
         # where the strings lie in this shard's rows: row, start, first window, windows
-        runs = np.array([(row, start, s[1], s[2]) for row, start, s in uses], "<i8").reshape(-1, 4)
-        out.append((shard % n, shard, None, runs.tobytes(), np.array(places, "<i8").tobytes()))
+        runs = np.array([(row, start, s[1], s[2]) for row, start, s in uses], "<i4").reshape(-1, 4)
+        out.append((shard % n, shard, None, planes(runs.T), planes(np.array(places, "<i4"))))
         return _table(_PIECES, out)
 
     def compare(t: pa.Table) -> pa.Table:
@@ -297,9 +299,9 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if row["data"] is None:
                 out.append((row["shard"], None, True, None, row["lengths"], row["ids"]))
                 continue
-            ends = np.cumsum(np.frombuffer(row["lengths"], "<i8")).tolist()
+            ends = np.cumsum(from_planes(row["lengths"], "<i4"), dtype=np.int64).tolist()
             data += [row["data"][x:y] for x, y in zip([0, *ends[:-1]], ends)]
-            ids.append(np.frombuffer(row["ids"], "<i8"))
+            ids.append(from_planes(row["ids"], "<i8"))
             shards.append(row["shard"])
             cuts.append(len(data))
         if data:
@@ -310,21 +312,20 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             np.minimum.at(low, place, np.concatenate(ids))
             least = least_ids(list(distinct), low, width, shard_bytes)
             for shard, x, y in zip(shards, [0, *cuts[:-1]], cuts):
-                out.append((shard, bucket, False, np.concatenate([least[i] for i in place[x:y].tolist()]).astype("<i8").tobytes(), None, None))
+                out.append((shard, bucket, False, planes(np.concatenate([least[i] for i in place[x:y].tolist()]).astype("<i8")), None, None))
         return _table(_LEAST, out)
 
     def drop(t: pa.Table, found: pa.Table) -> pa.Table:
         every = _rows(t)
         parts = found.to_pylist()
         own = next((x for x in parts if x["own"]), None)
-        firsts = set(np.frombuffer(own["firsts"], "<i8").tolist()) if own else set()
+        firsts = set(from_planes(own["firsts"], "<i4").tolist()) if own else set()
         least_of = {name: first for first, name in ((every[i][0], every[i][2]) for i in firsts)}
-        least = b"".join(x["least"] for x in sorted((x for x in parts if not x["own"]), key=lambda x: x["bucket"]))
-        least = np.frombuffer(least, "<i8")
-        runs = np.frombuffer(own["runs"], "<i8").reshape(-1, 4) if own else np.zeros((0, 4), np.int64)
-        gone: dict[int, list[np.ndarray]] = {}
-        if len(runs):
-            row, start, first, count = runs.T
+        told = sorted((x for x in parts if not x["own"]), key=lambda x: x["bucket"])
+        least = np.concatenate([np.zeros(0, np.int64), *(from_planes(x["least"], "<i8") for x in told)])
+        row, start, first, count = (from_planes(own["runs"], "<i4") if own else np.zeros(0, np.int32)).reshape(4, -1).astype(np.int64)
+        gone: dict[int, np.ndarray] = {}
+        if len(row):
             step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             rows_ = np.repeat(row, count)
             ids = np.array([r[0] for r in every], np.int64)
