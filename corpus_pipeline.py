@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 of every document."""
-    both = bpe.decode(bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN), VOCABULARY)
+    both = bpe.round_trip(docs, VOCABULARY, public_tokenizers.PATTERN)
     return both.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

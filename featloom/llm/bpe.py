@@ -19,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from featloom.llm.common import small_batches
+
 #: The code point of byte 0.
 FIRST = 0x100
 #: Characters of the texts that are encoded together.
-GROUP = 1_000_000
+GROUP = 500_000
 #: Pre-tokens remembered by a task; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -127,17 +129,35 @@ def token_bytes(sp) -> list[bytes]:
     return [from_text(sp.id_to_piece(i)) for i in range(sp.get_piece_size() - 1)]
 
 
-def _map_column(df: DataFrame, column: str, to: str, make) -> DataFrame:
-    """`df` with a binary column `to`; `make()` builds in each task a function of a list of values of `column`."""
+def _with(df: DataFrame, column: str, to: list[str], make) -> DataFrame:
+    """`df` with binary columns `to`; `make()` builds in each task a function from a list of values of `column`
+    to a list for each of `to`."""
     place = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            out = pa.array(f(batch.column(place).to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, to])
+            out = [pa.array(x, pa.binary()) for x in f(batch.column(place).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *to])
+
+    return small_batches(df).mapInArrow(run, df.select("*", *[F.lit(b"").alias(c) for c in to]).schema)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+class Decoder:
+    """The inverse mapping of a model."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
 
-    return df.mapInArrow(run, df.select("*", F.lit(b"").alias(to)).schema)
+        self.tokens = token_bytes(sentencepiece.SentencePieceProcessor(model_proto=model))
+
+    def decode(self, rows: list[bytes | None]) -> list[bytes]:
+        token = self.tokens.__getitem__
+        return [b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist())) for ids in rows]
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,10 +169,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
 
     def make():
         encoder = Encoder(model, pattern)
-        return lambda texts: encoder.encode([x or "" for x in texts])
+        return lambda texts: [encoder.encode([x or "" for x in texts])]
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _map_column(texts, "text", "ids", make).drop("text")
+    return _with(_texts(docs, id_col, text_col), "text", ["ids"], make).drop("text")
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -160,16 +179,29 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFra
     model = serialise(read_ranks(vocabulary))
 
     def make():
-        import sentencepiece
+        decoder = Decoder(model)
+        return lambda rows: [decoder.decode(rows)]
+
+    return _with(encoded, ids_col, ["decoded"], make)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, decoded: `encode` and then `decode` of the ids, in one Python task."""
+    model = serialise(read_ranks(vocabulary))
+
+    def make():
+        encoder, decoder = Encoder(model, pattern), Decoder(model)
 
-        tokens = token_bytes(sentencepiece.SentencePieceProcessor(model_proto=model))
-        return lambda rows: [b"".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist())) for ids in rows]
+        def both(texts):
+            ids = encoder.encode([x or "" for x in texts])
+            return [ids, decoder.decode(ids)]
+        return both
 
-    return _map_column(encoded, ids_col, "decoded", make)
+    return _with(_texts(docs, id_col, text_col), "text", ["ids", "decoded"], make).drop("text")
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, after a round trip."""
-    both = decode(encode(docs, vocabulary, pattern), vocabulary)
+    both = round_trip(docs, vocabulary, pattern)
     return both.select("doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

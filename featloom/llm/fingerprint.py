@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featloom.llm.common import partitions
+from featloom.llm.common import partitions, small_batches
 
 SIGNS, STRONG = 256, 4
 SMALLEST = -(1 << 63)
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pa.record_batch({"doc_id": b.column("doc_id"),
                                    "fingerprint": [fingerprint(t).text() for t in b.column("text").to_pylist()]})
-    return _texts_to(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, fingerprint string")
+    return small_batches(_texts_to(docs, id_col, text_col)).mapInArrow(run, "doc_id bigint, fingerprint string")
 
 
 def with_followers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 before = None if guest else (place, doc_id, text, own)
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=_ARROW)
 
-    return with_followers(docs, id_col, text_col).mapInArrow(run, schema)
+    return small_batches(with_followers(docs, id_col, text_col)).mapInArrow(run, schema)
 
 
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from featloom.llm.common import small_batches
 from featloom.llm.html_blocks import leaf_blocks
 from featloom.llm.labelled_pages import labelled_blocks
 
@@ -163,4 +164,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return small_batches(rows).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featloom.llm.common import bucket_cuts, offsets_in, pack, partitions, shard_of, staged, unpack
+from featloom.llm.common import bucket_cuts, offsets_in, pack, partitions, shard_of, small_batches, staged, unpack
 from featloom.llm.graph import components
 from featloom.llm.shingles import shingle_sets
 
@@ -68,7 +68,7 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
             yield pa.record_batch({"doc_id": b.column("doc_id"), "shard": b.column("shard"),
                                    "n": pa.array(np.diff(ends, prepend=0), pa.int64()),
                                    "sid": pa.array(set_ids(sets, ends), pa.int64())})
-    return texts.mapInArrow(run, "doc_id bigint, shard int, n bigint, sid bigint")
+    return small_batches(texts).mapInArrow(run, "doc_id bigint, shard int, n bigint, sid bigint")
 
 
 # Counts of shingles travel as packed offsets (common.pack); they only decide an order.
@@ -191,7 +191,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
                 "shared": pa.array([len(np.intersect1d(i, j, assume_unique=True)) for i, j in both], pa.int64())})
     held = (pairs.join(texts.select(F.col("sid").alias("x"), F.col("text").alias("x_text")), "x")
             .join(texts.select(F.col("sid").alias("y"), F.col("text").alias("y_text")), "y"))
-    return held.select("x", "y", "x_text", "y_text").mapInArrow(run, "x bigint, y bigint, n bigint, m bigint, shared bigint")
+    return small_batches(held.select("x", "y", "x_text", "y_text")).mapInArrow(run, "x bigint, y bigint, n bigint, m bigint, shared bigint")
 
 
 def _fits(n: str, m: str) -> str:

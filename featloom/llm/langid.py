@@ -24,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from featloom.llm.common import small_batches
+
 SAMPLE_DOCS, SHORT, SAMPLE_CHARS = 64, 4_000, 24_000
 PIECE = 256
 #: Characters of texts that are parsed together.
-GROUP = 2_000_000
+GROUP = 1_000_000
 UNKNOWN_LANGUAGE = "und"
 NEW_PHRASE = np.uint32(1 << 31)
 
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, automata: list[Automaton], text_col: str = "text",
                 names=[*batch.schema.names, lang_col, score_col])
 
     schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
