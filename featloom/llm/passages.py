@@ -29,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featloom.llm import shingles
 from featloom.llm.common import (
     bucket_cuts, from_planes, mix64, offsets_in, pack, partitions, planes, shard_of, unpack,
 )
+from featloom.llm.shingles import VALUE, powers
 from featloom.llm.suffix import merge, window_groups
 
 WIDTH = 50
@@ -58,8 +58,8 @@ class Windows:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(sizes)
         n = len(self.data)
-        _, value, up, down = shingles._tables(1 << max(16, n.bit_length()))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[self.data] * up[:n], dtype=np.uint64)))
+        up, down = powers(n)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUE[self.data] * up[:n], dtype=np.uint64)))
         grams = max(0, n - GRAM + 1)
         self.gram = mix64((sums[GRAM:] - sums[:-GRAM]) * down[:grams]) if grams else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)

@@ -10,30 +10,40 @@ from featloom.llm.common import mix64
 
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of texts that are hashed together.
-GROUP = 4_000_000
+GROUP = 1_000_000
+#: Powers that a task keeps for the next group.
+KEPT = 1 << 21
+
+
+BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+#: A random value for each byte.
+VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 @functools.cache
-def _tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blank bytes, a random value for each byte, powers of BASE and of its inverse."""
-    byte = np.arange(256)
-    blank = (byte == 32) | ((byte >= 9) & (byte <= 13))
-    value = mix64(np.arange(1, 257, dtype=np.uint64))
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _new_powers(KEPT)
+
+
+def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.cumprod(np.full(size, BASE, np.uint64), dtype=np.uint64)
-    down = np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
-    return blank, value, up, down
+    return up, np.cumprod(np.full(size, pow(BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least `size` powers of BASE and of its inverse."""
+    return _kept_powers() if size <= KEPT else _new_powers(size)
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (bytes between blanks), and the number of words of each text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    size = 1 << max(16, int(len(data)).bit_length())
-    blank, value, up, down = _tables(size)
-    gap = blank[data]
+    up, down = powers(len(data))
+    gap = BLANK[data]
     before = np.concatenate(([True], gap[:-1]))
     start = np.nonzero(~gap & before)[0]
     end = np.nonzero(gap & ~before)[0]
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[data] * up[:len(data)], dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(VALUE[data] * up[:len(data)], dtype=np.uint64)))
     hashes = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     ends = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.diff(np.searchsorted(start, ends), prepend=0)
