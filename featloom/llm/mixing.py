@@ -116,7 +116,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, id_col
     Documents without words are kept once. Of other columns `n_chars`, if there is one, follows a text that is cut.
     """
     sizes = staged(sized(docs, id_col, text_col, source_col), "sizes")
-    plan = cuts(sizes, targets(sizes, weights, most)).withColumnRenamed("source", "plan_source")
+    # written, so that its size is known: one row for each source goes to the texts, not they to it
+    plan = staged(cuts(sizes, targets(sizes, weights, most)), "plan").withColumnRenamed("source", "plan_source")
     rows = docs.select(F.struct("*").alias("doc"), F.col(source_col).cast("string").alias("mix_source"),
                        key_of(F.col(id_col)).alias("key"), words(F.col(text_col)).alias("size"))
     rows = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("plan_source"))).withColumn("taken", F.expr(TAKEN))
