@@ -26,7 +26,7 @@ FIRST = 0x100
 #: Characters of the texts that are encoded together.
 GROUP = 500_000
 #: Pre-tokens remembered by a task; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> list[bytes]:

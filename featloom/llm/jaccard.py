@@ -41,6 +41,8 @@ from featloom.llm.shingles import shingle_sets
 WIDTH = 5
 #: A link: 100 * shared >= PERCENT * together.
 PERCENT = 80
+#: Shards of documents for each shuffle partition: two, so that partitions even out.
+SHARDS = 2
 MOST_COUNTED = np.iinfo(np.uint16).max
 
 
@@ -60,7 +62,7 @@ def set_ids(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, shard, n, sid: the set of every document."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        shard_of(id_col, partitions(docs.sparkSession)).alias("shard"))
+                        shard_of(id_col, SHARDS * partitions(docs.sparkSession)).alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,7 +99,7 @@ def _owned(t: pa.Table) -> list[int]:
 def index(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """Two kinds of rows: entries (sid, n, token, pos) and, with null token, the compressed text of each set that has one."""
     n = partitions(docs.sparkSession)
-    texts = docs.select(shard_of(id_col, n).alias("shard"), F.col(text_col).cast("string").alias("text")).repartition(n, "shard")
+    texts = docs.select(shard_of(id_col, SHARDS * n).alias("shard"), F.col(text_col).cast("string").alias("text")).repartition(n, "shard")
     # one shard answers for a set, so that copies are counted once
     owners = sets.where("n > 0").groupBy("sid").agg(F.min("shard").alias("shard"))
     owned = owners.groupBy("shard").agg(F.collect_list("sid").alias("owned"))
