@@ -89,6 +89,14 @@ def cdc_apply(t: Tables) -> DataFrame:
     return C.apply(base_table(t), C.flat(_changes(t), ROW), ["order_id"])
 
 
+@query(f"""SELECT o_orderkey AS order_id, o_custkey AS user_id, 'NEW' AS status, o_totalprice AS amount FROM orders
+WHERE o_orderkey % 13 <> 0 UNION ALL {SQL_OLD}""")
+def cdc_tombstones(t: Tables) -> DataFrame:
+    """Tombstones alone delete the rows that their keys name."""
+    gone = _changes(t).filter("is_tombstone")
+    return C.apply(base_table(t), C.flat(gone, ROW), ["order_id"])
+
+
 @query("""SELECT 'orders' AS table_name, o_orderkey AS order_id, change FROM (
 SELECT o_orderkey, 'created' AS change FROM orders
 UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'updated' ELSE 'status_changed' END FROM orders
