@@ -32,4 +32,4 @@ def test_query(spark, con, name):
         n = queries.QUERIES[name](spark, SF).count()
     table = ROWS.get(name, "documents")
     if table:
-        assert n == con.sql(f"SELECT count(*) FROM {table}").fetchone()[0]
+        assert n == con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
