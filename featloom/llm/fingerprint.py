@@ -1,9 +1,10 @@
 """Document fingerprints that add up: a homomorphic hash of the multiset of a text's paragraphs.
 
 A paragraph becomes a wide vector. Four lanes of 64 bits are hashed from the whole paragraph and make
-different texts differ. 256 lanes of 16 bits count the paragraph's sentences, each with signs hashed from
-it, and make similar texts similar. A text's fingerprint is the sum of its paragraphs' vectors, lane by lane
-modulo 2^64 and 2^16: it does not depend on their order, and paragraphs are inserted and deleted by adding
+different texts differ. 256 lanes of 32 bits count the paragraph's sentences, each with signs hashed from
+it, and make similar texts similar. Blank sentences are not counted, so blank lines make no texts alike; as
+paragraphs they are hashed like any other. A text's fingerprint is the sum of its paragraphs' vectors, lane by
+lane modulo 2^64 and 2^32, which no count of a text's sentences reaches: it does not depend on their order, and paragraphs are inserted and deleted by adding
 and subtracting vectors. The inner product of the signed lanes estimates how many sentences two texts share.
 
 Paragraphs end at line feeds. Null text is the empty text, which has one empty paragraph. Texts with the same
@@ -32,10 +33,10 @@ RANGES = 4
 
 def _sum_of_signs(sentences: list[bytes]) -> np.ndarray:
     if not sentences:
-        return np.zeros(SIGNS, np.uint16)
+        return np.zeros(SIGNS, np.uint32)
     digests = b"".join([blake2b(s, digest_size=SIGNS // 8).digest() for s in sentences])
     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(len(sentences), -1), axis=1)
-    return (2 * bits.sum(axis=0, dtype=np.int64) - len(sentences)).astype(np.uint16)
+    return (2 * bits.sum(axis=0, dtype=np.int64) - len(sentences)).astype(np.uint32)
 
 
 class Fingerprint:
@@ -49,7 +50,7 @@ class Fingerprint:
     @classmethod
     def of(cls, paragraphs: list[str]) -> Fingerprint:
         data = [p.encode() for p in paragraphs]
-        sentences = [s for p in data for s in p.split(b". ")]
+        sentences = [s for p in data for s in p.split(b". ") if s.strip()]
         strong = b"".join([blake2b(p, digest_size=8 * STRONG, person=b"paragraph").digest() for p in data])
         total = np.frombuffer(strong, "<u8").reshape(len(data), STRONG).sum(axis=0, dtype=np.uint64)
         return cls(_sum_of_signs(sentences), total)
@@ -64,12 +65,12 @@ class Fingerprint:
         return bool((self.signs == other.signs).all() and (self.strong == other.strong).all())
 
     def text(self) -> str:
-        return base64.b64encode(self.strong.astype("<u8").tobytes() + self.signs.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.strong.astype("<u8").tobytes() + self.signs.astype("<u4").tobytes()).decode()
 
     @classmethod
     def read(cls, text: str) -> Fingerprint:
         data = base64.b64decode(text)
-        return cls(np.frombuffer(data[8 * STRONG:], "<u2").astype(np.uint16),
+        return cls(np.frombuffer(data[8 * STRONG:], "<u4").astype(np.uint32),
                    np.frombuffer(data[:8 * STRONG], "<u8").astype(np.uint64))
 
 
@@ -77,7 +78,7 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """Estimated cosine of two texts' sentence counts, 0 to 1; 1 for equal fingerprints, and for those only."""
     if a == b:
         return 1.0
-    x, y = a.signs.astype(np.int16).astype(np.float64), b.signs.astype(np.int16).astype(np.float64)
+    x, y = a.signs.astype(np.int32).astype(np.float64), b.signs.astype(np.int32).astype(np.float64)
     scale = float(np.sqrt((x @ x) * (y @ y)))
     return min(max(float(x @ y) / scale, 0.0), 1 - 1e-9) if scale else 0.0
 

@@ -32,6 +32,25 @@ def test_likeness():
     assert FP.likeness(empty, empty) == 1.0 and 0 <= FP.likeness(empty, one) <= 1
 
 
+@pytest.mark.parametrize("blank", ["", "  ", "\r"])
+def test_blank_lines_do_not_make_texts_alike(blank):
+    r = random.Random(5)
+    text = lambda n: f"\n{blank}\n".join(". ".join(f"s{r.random()}" for _ in range(3)) for _ in range(n))
+    one, other = text(40), text(40)
+    a, b = FP.fingerprint(one), FP.fingerprint(other)
+    assert FP.likeness(a, b) < 0.25 and FP.likeness(a, FP.fingerprint(one + "\nlast")) > 0.9
+    # blank paragraphs still tell texts apart, and are inserted and deleted
+    more = FP.fingerprint(one + f"\n{blank}")
+    assert more != a and more - FP.Fingerprint.of([blank]) == a
+    assert FP.likeness(FP.fingerprint("\n\n\n"), FP.fingerprint("\n")) == 0.0
+
+
+def test_a_sentence_repeated_beyond_16_bits():
+    a, b = FP.Fingerprint.of(["same"] * 40_000), FP.Fingerprint.of(["same"] * 20_000)
+    assert 0.999 < FP.likeness(a, b) < 1
+    assert FP.Fingerprint.read(a.text()) == a and a - b == b
+
+
 @pytest.mark.parametrize("parts", ["1", "4", "50"])
 def test_edited(spark, docs, prose, parts):
     r = random.Random(3)
