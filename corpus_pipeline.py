@@ -18,10 +18,10 @@ VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter go. Learns from the labels of the input."""
+    """Documents whose text has a letter, whatever the input's labels allow to learn."""
     automata = langid.learn(docs.where(~langid.held_out()))
-    known = langid.predict(docs, automata, lang_col="_lang", score_col="_score")
-    return known.where(F.col("_lang") != langid.UNKNOWN_LANGUAGE).select(*docs.columns)
+    known = langid.predict(docs, automata, lang_col="_lang", score_col="_score", letter_col="_letter")
+    return known.where("_letter").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ The sample: up to `SAMPLE_DOCS` documents of each label in the order of a hash o
 first, cut at `SAMPLE_CHARS` characters of the label. Labels are a few and the sample is what the driver
 sees. Rows with a null label or without letters are not learned from.
 
-Null text, and text without a letter, is `und` with score 0, and so is every text if nothing was learned.
+Null text, and text without a letter, is `und` with score 0, and so is every text if nothing was learned; a
+third column tells whether a text has a letter, whatever was learned.
 Ties go to the label that comes first. With one label learned the score is 1, else it is 1 less the ratio of
 the best to the second-best entropy. Every row is predicted on its own, whatever its other columns hold.
 """
@@ -152,10 +153,11 @@ class Parser:
         self.automata = automata
         self.letters = letter_table()
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str]) -> list[tuple[str, float, bool]]:
+        """Label, score, and whether there is a letter, of each text."""
         letters, ends = normalised(texts, self.letters)
         sizes = np.diff(ends, prepend=0)
-        out = [(UNKNOWN_LANGUAGE, 0.0)] * len(texts)
+        out = [(UNKNOWN_LANGUAGE, 0.0, size > 0) for size in sizes.tolist()]
         if not self.automata or not len(letters):
             return out
         pieces = -(-sizes // PIECE)
@@ -177,14 +179,15 @@ class Parser:
         with np.errstate(invalid="ignore", divide="ignore"):
             score = 1 - ranked[0] / ranked[1] if len(ranked) > 1 else np.ones(len(texts))
         for j in np.nonzero(sizes)[0]:
-            out[j] = (self.automata[best[j]].label, float(score[j]))
+            out[j] = (self.automata[best[j]].label, float(score[j]), True)
         return out
 
 
 def predict(docs: DataFrame, automata: list[Automaton], text_col: str = "text", lang_col: str = "lang_pred",
-            score_col: str = "score") -> DataFrame:
+            score_col: str = "score", letter_col: str | None = None) -> DataFrame:
     """The rows of `docs` with two columns more: the language of every whole text, and the score.
 
+    With `letter_col` a third column tells whether the text has a letter.
     The automata are bounded by the sample; every machine gets them once.
     """
     model = docs.sparkSession.sparkContext.broadcast(automata)
@@ -201,11 +204,14 @@ def predict(docs: DataFrame, automata: list[Automaton], text_col: str = "text",
                 if size >= GROUP or i + 1 == len(texts):
                     found += parser.predict(group)
                     group, size = [], 0
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                names=[*batch.schema.names, lang_col, score_col])
-
-    schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
+            labels, scores, letters = zip(*found) if found else ((), (), ())
+            added = {lang_col: pa.array(labels, pa.string()), score_col: pa.array(scores, pa.float64())}
+            if letter_col:
+                added[letter_col] = pa.array(letters, pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added.values()], names=[*batch.schema.names, *added])
+
+    added = {lang_col: F.lit(""), score_col: F.lit(0.0)} | ({letter_col: F.lit(True)} if letter_col else {})
+    schema = docs.select("*", *[value.alias(name) for name, value in added.items()]).schema
     return small_batches(docs).mapInArrow(run, schema)
 
 

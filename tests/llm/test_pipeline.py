@@ -11,6 +11,7 @@ import test_bpe
 import test_jaccard
 import test_linededup
 import test_mixing
+from featloom.llm import langid
 from featloom.llm.common import read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,6 +41,16 @@ def test_language_id_keeps_documents_with_letters(spark, corpus):
     assert by_id(kept) == by_id([r for r in as_rows(df) if any(c.isalpha() for c in r[1] or "")])
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_language_id_without_a_model(spark, docs, lang):
+    """Labels that teach nothing, or only 'und', and labelled rows that are all held out cost no document."""
+    rows = [(1, "abc def", lang), (2, "Ünï 日本", lang), (None, "no id", lang), (3, "12 !?", lang), (4, None, lang), (5, "", lang)]
+    held = docs([(i, "words of a held-out text", "en") for i in range(400)]).where(langid.held_out())
+    df = docs(rows).unionByName(held)
+    kept = as_rows(P.language_id(spark, df, ""))
+    assert held.count() > 0 and by_id(kept) == by_id([r for r in as_rows(df) if any(c.isalpha() for c in r[1] or "")])
+
+
 def test_line_dedup(spark, corpus):
     rows, df = corpus
     got = {(r[0], hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in as_rows(P.line_dedup(spark, df, ""))}
