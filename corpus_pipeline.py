@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featloom.llm import bpe, jaccard, langid, linededup, mixing
-from featloom.llm.common import read
+from featloom.llm.common import read, staged
 from featloom.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,17 +34,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates.
+    """One row of each group of near duplicates: that of the smallest id, a null id being the greatest.
 
-    Rows without an id stay. Rows of one id with equal texts are one document.
+    Of rows of one id each is judged by its own text. Rows of one id with equal texts are one document. Rows
+    without words are near nothing, so those without an id stay all.
     """
-    found = jaccard.near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    found = staged(jaccard.surplus(docs), "surplus")
+    marked = docs.withColumn("_digest", jaccard.text_digest())
+    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
+
+    def named(rows):
+        return rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"))
+
+    kept = marked.join(named(found), key, "left_anti").select(*docs.columns)
+    repeated = found.where("stays")
     if repeated.isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.unionByName(marked.join(named(repeated), key, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from featloom.llm.common import bucket_cuts, offsets_in, pack, partitions, shard_of, small_batches, staged, unpack
 from featloom.llm.graph import components
@@ -59,18 +59,25 @@ def set_ids(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, shard, n, sid: the set of every document."""
+def text_digest(text_col: str = "text") -> Column:
+    """64 bits that tell rows of one id apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, digests: bool = False) -> DataFrame:
+    """doc_id, shard, n, sid: the set of every document; with `digests` also digest, that of its text."""
+    own = [text_digest(text_col).alias("digest")] if digests else []
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        shard_of(id_col, SHARDS * partitions(docs.sparkSession)).alias("shard"))
+                        shard_of(id_col, SHARDS * partitions(docs.sparkSession)).alias("shard"), *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets, ends = shingle_sets(b.column("text").to_pylist(), width)
             yield pa.record_batch({"doc_id": b.column("doc_id"), "shard": b.column("shard"),
                                    "n": pa.array(np.diff(ends, prepend=0), pa.int64()),
-                                   "sid": pa.array(set_ids(sets, ends), pa.int64())})
-    return small_batches(texts).mapInArrow(run, "doc_id bigint, shard int, n bigint, sid bigint")
+                                   "sid": pa.array(set_ids(sets, ends), pa.int64())}
+                                  | ({"digest": b.column("digest")} if digests else {}))
+    return small_batches(texts).mapInArrow(run, "doc_id bigint, shard int, n bigint, sid bigint" + (", digest bigint" if digests else ""))
 
 
 # Counts of shingles travel as packed offsets (common.pack); they only decide an order.
@@ -296,15 +303,40 @@ def _third_round(placed: DataFrame, anchors: DataFrame) -> DataFrame:
             .select(F.greatest("x.sid", "y.sid").alias("x"), F.least("x.sid", "y.sid").alias("y")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    sets = staged(members(docs, id_col, text_col, width), "sets")
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The members, and sid, first, root of every set: its smallest id and the set that names its component."""
+    sets = staged(members(docs, id_col, text_col, width, digests), "sets")
     built = staged(index(docs, sets, id_col, text_col, width), "index")
     _, roots = set_links(built.where("token IS NOT NULL").drop("text"), built.where("token IS NULL").select("sid", "text"), width)
     ids = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    ids = _labelled(ids, "sid", roots, "root")
+    return sets, _labelled(ids, "sid", roots, "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    sets, ids = _joined(docs, id_col, text_col, width)
     least = ids.groupBy("root").agg(F.min("first").alias("component_id"))
     of_set = ids.join(least, "root").select("sid", "component_id")
     some = sets.where("n > 0").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     none = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)
+
+
+def surplus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """doc_id, digest, stays: the (id, digest of the text) of rows that are not to stay all.
+
+    Of each component one row stays: that of the smallest id, a null id being the greatest, then of the smallest
+    digest. `stays` tells the rows of which one stays, which are equal, from those of which none does. Rows
+    without a set are near nothing; those of one id with equal texts are one document, without an id all stay.
+    """
+    sets, ids = _joined(docs, id_col, text_col, width, digests=True)
+    # a row's place in its component; copies are one row from here on
+    rows = sets.groupBy("sid", "n", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    placed = rows.where("n > 0").withColumn("place", F.expr("struct(doc_id IS NULL, doc_id, digest)"))
+    # the best of each set, then the best set of each component
+    best = placed.groupBy("sid").agg(F.min("place").alias("own")).join(ids.select("sid", "root"), "sid")
+    first = best.groupBy("root").agg(F.min("own").alias("first"))
+    of_set = best.join(first, "root").select("sid", "first")
+    some = placed.join(of_set, "sid").select("doc_id", "digest", "copies", F.expr("place = first").alias("stays"))
+    none = rows.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "digest", "copies", F.lit(True).alias("stays"))
+    return some.unionByName(none).where("NOT stays OR copies > 1").select("doc_id", "digest", "stays")

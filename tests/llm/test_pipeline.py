@@ -67,6 +67,45 @@ def test_jaccard_join_keeps_one_of_each_group(spark, corpus):
     assert got == want
 
 
+def groups(rows):
+    """Rows of each group of near duplicates; a row without words is a group."""
+    sets = [test_jaccard.shingle_set(t) for _, t in rows]
+    left, out = set(range(len(rows))), []
+    while left:
+        group, todo = [], [left.pop()]
+        while todo:
+            a = todo.pop()
+            group.append(rows[a])
+            near = {b for b in left if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and sets[a]}
+            left -= near
+            todo += near
+        out.append(group)
+    return out
+
+
+def test_jaccard_join_decides_by_row(spark, docs, prose):
+    """Rows of one id with different texts, and copies without an id."""
+    base = [prose(900 + i, 40 + i) for i in range(12)]
+    rows = [(1, base[0]), (5, base[0] + " more"), (5, base[1])]                # an unrelated text under the id of a copy
+    rows += [(7, base[2]), (7, base[2] + " more"), (7, base[3]), (7, base[3])]  # near copies and copies under one id
+    rows += [(None, base[4])] * 4 + [(None, base[4] + " more")]                # a group without any id
+    rows += [(None, base[5]), (None, base[5]), (9, base[5] + " more")]         # a group with one id
+    rows += [(None, base[6]), (8, base[7]), (8, base[8]), (2, base[8]), (8, base[9] + " x"), (3, base[9]), (None, base[9])]
+    rows += [(10, None), (10, None), (10, ""), (11, " "), (None, None), (None, None), (None, "")]
+    want = Counter()
+    got = Counter((r[0], r[1]) for r in as_rows(P.jaccard_join(spark, docs(rows), "")))
+    for group in groups(rows):
+        if test_jaccard.shingle_set(group[0][1]):
+            least = min((i is None, i or 0) for i, _ in group)
+            left = {r: got.pop(r) for r in set(group) if r in got}
+            assert list(left.values()) == [1] and [(i is None, i or 0) for i, _ in left] == [least]
+        elif group[0][0] is None:
+            want[group[0]] += 1
+        else:
+            want[group[0]] = 1
+    assert got == want
+
+
 def test_mix_sources(spark, corpus):
     rows, df = corpus
     got = Counter()
