@@ -17,7 +17,9 @@ The join follows the relations between sets, not only between a set and a token:
   rest is compared.
 
 Sets that are connected already are never compared. Comparing means counting the shared shingles of the whole
-texts. Components come from the links of all rounds, so none is lost, and no group's pairs are written out.
+texts. Components come from the links of all rounds, so none is lost. Pairs of a linked group are not written out,
+but rounds 2 and 3 pair all anchors of a list that are not connected: m unlinked documents made of the same passages
+can give m^2 / 2 pairs.
 
 Null, empty and blank texts have no set, size 0, and stay alone. A text of fewer words than a shingle has one.
 Repeated rows and equal sets are linked with each other. A null id stays in its component; the component's id
