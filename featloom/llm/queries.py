@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featloom.llm import bpe, fingerprint, html_extract, jaccard, langid, linededup, mixing, passages, topk, warc
+from featloom.llm import (bpe, fill_middle, fingerprint, html_extract, jaccard, langid, lexical, linededup, mixing, passages,
+                          personal, topk, warc)
 from featloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +76,18 @@ def op9_byte_bpe(spark, sf_dir):
 def op10_top_k(spark, sf_dir):
     vectors = topk.integers(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.search(vectors, vectors.where(F.col("id") % 20 == 0))
+
+
+@query()
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
+@query(lexical.ORACLE)
+def op12_lexical(spark, sf_dir):
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op13_personal_data(spark, sf_dir):
+    return personal.digests(read(spark, sf_dir, "documents"))

@@ -8,7 +8,7 @@ import oracle
 from featloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
-ROWS = {"op6_warc": "pages", "op7_html_extraction": "pages", "op10_top_k": None}
+ROWS = {"op6_warc": "pages", "op7_html_extraction": "pages", "op10_top_k": None, "op12_lexical": None}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def con():
 
 def test_all_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in queries.QUERIES} and set(queries.QUERIES) < names
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in queries.QUERIES} and set(queries.QUERIES) < names
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
     assert set(queries.ORACLES) <= set(entry.oracle_sql())
 
