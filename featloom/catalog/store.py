@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from featloom.catalog.base import (
-    EVENTS_AS_OF, ORDERS_AS_OF, SQL_TALL, Tables, query,
+    EVENTS_AS_OF, ORACLES, ORDERS_AS_OF, SQL_TALL, Tables, query,
 )
 from featloom.operators import intervals, latest
 from featloom.plans import feature_store as S, maintain, materialize as M
+from featloom.session import scratch_dir
+from featloom.sinks.keyed import KeyedTable
 from featloom.sources.tables import register_views
 
 NOW = f"TIMESTAMP '{EVENTS_AS_OF}'"
@@ -109,6 +111,19 @@ def offline_upsert(t: Tables) -> DataFrame:
     return M.to_offline(base, keyed_online(t), "customer", as_of=EVENTS_AS_OF)
 
 
+@query(ORACLES["offline_upsert"])
+def keyed_offline_upsert(t: Tables) -> DataFrame:
+    """The same upsert as a write of a keyed table, which leaves the files of the base as they are."""
+    base = (t.tall_features().filter(F.col("feature_name") != "view")
+            .withColumn("customer_id", F.col("customer_id").cast("string"))
+            .withColumn("feature_value", (F.col("feature_value").cast("double") + 1).cast("string")))
+    table = KeyedTable.create(t.spark, scratch_dir(t.spark, "offline"), base.schema,
+                              ["customer_id", "feature_name", "timestamp"], buckets=4)
+    table.write(base)
+    table.write(M.from_online(keyed_online(t), "customer", as_of=EVENTS_AS_OF))
+    return table.scan()
+
+
 @query(f"""WITH o AS (SELECT customer_id, feature_name, arg_max(feature_value, "timestamp") AS v, MAX("timestamp") AS seen_at
 FROM {SQL_TALL} WHERE "timestamp" >= {NOW} - INTERVAL 48 HOUR AND feature_name IN ('view', 'click') GROUP BY 1, 2)
 SELECT 'online' AS store, 'customer:' || customer_id || ':' || feature_name AS key, v AS value, seen_at AS written_at FROM o
@@ -136,6 +151,34 @@ def online_lookup(t: Tables) -> DataFrame:
     return S.read_online(keys(t), online(t), FEATURES[:3], "customer", EVENTS_AS_OF).drop("missing_features")
 
 
+def _written(t: Tables):
+    """The online rows in a keyed table after three writes, which meet keys in no order of time; every row
+    stands again under another entity type."""
+    table = S.online_table(t.spark, scratch_dir(t.spark, "online"), buckets=4)
+    for i in range(3):
+        some = online(t).where(F.pmod(F.xxhash64("entity_id", "written_at"), F.lit(3)) == i)
+        table.write(some.unionByName(some.withColumn("entity_type", F.lit("product"))))
+    return table
+
+
+@query(f"""SELECT entity_id, feature_name, value, written_at FROM (SELECT *, row_number() OVER
+  (PARTITION BY entity_id, feature_name ORDER BY written_at DESC, value DESC) AS n FROM {SQL_ONLINE})
+  WHERE n = 1 AND (expires_at IS NULL OR expires_at > {NOW})""")
+def keyed_online_scan(t: Tables) -> DataFrame:
+    """All live values of one entity type, from its files alone."""
+    found = S.live(_written(t).scan("customer"), EVENTS_AS_OF)
+    return found.select("entity_id", "feature_name", F.col("value").cast("double").alias("value"), "written_at")
+
+
+@query(f"""SELECT entity_id, CAST(view AS VARCHAR) AS view, CAST(click AS VARCHAR) AS click,
+CAST(purchase AS VARCHAR) AS purchase FROM {SQL_WIDE}""")
+def keyed_online_lookup(t: Tables) -> DataFrame:
+    """All customers ask; buckets with many files were rewritten before."""
+    table = _written(t)
+    table.compact()
+    return S.read_online_table(keys(t), table, FEATURES[:3], "customer", EVENTS_AS_OF).drop("missing_features")
+
+
 @query(f"SELECT entity_id, view, click, purchase FROM {SQL_WIDE}")
 def online_lookup_typed(t: Tables) -> DataFrame:
     types = {"view": "FLOAT", "click": "FLOAT", "purchase": "FLOAT"}

@@ -8,7 +8,9 @@ from featloom.catalog import changes as catalog_changes, events as catalog_event
 from featloom.catalog.base import Tables, query
 from featloom.plans import events as E
 from featloom.session import scratch_dir
-from featloom.sinks import tables as out
+from featloom.sinks import committed, tables as out
+from featloom.sinks.keyed import KeyedTable
+from featloom.sources import replay
 from featloom.streaming import changes as change_stream, events as event_stream
 
 
@@ -89,3 +91,78 @@ def stream_cdc_apply(t: Tables) -> DataFrame:
                                   f"{base}/checkpoint", available_now=True)
     q.awaitTermination()
     return change_stream.table(t.spark, f"{base}/table", catalog_changes.base_table(t), ["order_id"])
+
+
+# replayed streams ------------------------------------------------------------
+SLICES = 8
+#: Seconds that an event's time may fall behind the latest one seen.
+DELAY = 300
+
+
+def _replayed(t: Tables, base: str) -> DataFrame:
+    """The events as records that arrive in the order of their ids, in slices; their times run on with the ids,
+    but every tenth event tells one up to ten hours back."""
+    last = t.events().agg(F.max("event_id")).first()[0] or 0
+    late = t.events().withColumn("ts", F.expr(
+        "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, event_id - if(event_id % 10 = 0, event_id % 36000, 0))"))
+    place = F.col("key").cast("bigint") * SLICES
+    replay.prepare(catalog_events.messages(late), F.floor(place / (last + 1)), f"{base}/slices")
+    return replay.stream(t.spark, f"{base}/slices")
+
+
+SQL_REPLAYED = f"""(SELECT event_id, event_type, slice, CASE WHEN b = 5 THEN moment - INTERVAL 2 HOUR ELSE moment END AS event_timestamp
+  FROM (SELECT event_id, event_type, event_id % 97 AS b, event_id * {SLICES} // (SELECT MAX(event_id) + 1 FROM events) AS slice,
+    TIMESTAMP '2024-01-01' + to_seconds(event_id - CASE WHEN event_id % 10 = 0 THEN event_id % 36000 ELSE 0 END) AS moment FROM events)
+  WHERE b NOT IN (0, 1, 2, 3))"""
+
+
+def _counted(t: Tables, name: str, base: str, frame: DataFrame) -> DataFrame:
+    """Counts of a stream of many micro-batches, laid over a keyed table batch by batch."""
+    table = KeyedTable.create(t.spark, f"{base}/table", frame.schema, event_stream.KEYS[name], buckets=4)
+    out.keyed_stream(frame, table, name, f"{base}/checkpoint", compact_every=4, available_now=True).awaitTermination()
+    return table.scan()
+
+
+@query(f"SELECT event_type, COUNT(*) AS event_count FROM {SQL_REPLAYED} GROUP BY 1")
+def replay_counts(t: Tables) -> DataFrame:
+    """Running counts per type over many micro-batches: late events count."""
+    base = scratch_dir(t.spark, "replay")
+    return _counted(t, "by_type", base, E.counts_by(E.valid(E.parse(_replayed(t, base))), "event_type"))
+
+
+@query(f"""WITH r AS {SQL_REPLAYED}, s AS (SELECT slice, MAX(event_timestamp) AS latest FROM r GROUP BY 1),
+w AS (SELECT a.slice, MAX(b.latest) - INTERVAL {DELAY} SECOND AS watermark FROM s a LEFT JOIN s b ON b.slice < a.slice - 1 GROUP BY 1)
+SELECT time_bucket(INTERVAL 5 MINUTE, event_timestamp) AS window_start,
+ time_bucket(INTERVAL 5 MINUTE, event_timestamp) + INTERVAL 5 MINUTE AS window_end, event_type, COUNT(*) AS event_count
+FROM r JOIN w ON r.slice = w.slice
+WHERE watermark IS NULL OR time_bucket(INTERVAL 5 MINUTE, event_timestamp) + INTERVAL 5 MINUTE > watermark GROUP BY 1, 2, 3""")
+def replay_over_time(t: Tables) -> DataFrame:
+    """Windowed counts over many micro-batches: events of windows that the watermark has closed are dropped."""
+    base = scratch_dir(t.spark, "replay")
+    counts = E.counts_over_time(E.valid(E.parse(_replayed(t, base))), watermark=f"{DELAY} seconds")
+    return catalog_events.without_zone(_counted(t, "over_time", base, counts), "window_start", "window_end")
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS event_id, event_type, event_timestamp FROM {SQL_REPLAYED}".replace(
+    "CAST(event_id AS VARCHAR)", "CASE WHEN event_id % 97 = 4 THEN '' ELSE CAST(event_id AS VARCHAR) END"))
+def replay_archive(t: Tables) -> DataFrame:
+    """The archive of the same stream through the committing sink, one entry of its log for each micro-batch."""
+    base = scratch_dir(t.spark, "replay")
+    rows = E.valid(E.parse(_replayed(t, base))).select("event_id", "event_type", "event_timestamp")
+    committed.start(rows, f"{base}/archive", f"{base}/checkpoint").awaitTermination()
+    return catalog_events.without_zone(committed.read(t.spark, f"{base}/archive", rows.schema), "event_timestamp")
+
+
+@query(catalog_changes.SQL_APPLIED)
+def cdc_state(t: Tables) -> DataFrame:
+    """Changes over several micro-batches, in no order and every fifth of them twice, kept as a keyed state."""
+    base = scratch_dir(t.spark, "state")
+    sent = catalog_changes.messages(t.raw("orders"))
+    again = sent.where(F.col("offset") % 5 == 0)
+    arrival = F.pmod(F.xxhash64("offset"), F.lit(6))
+    replay.prepare(sent.withColumn("at", arrival).unionByName(again.withColumn("at", arrival + 2)), F.col("at"), f"{base}/log")
+    table = change_stream.state_table(t.spark, f"{base}/table", catalog_changes.ROW, ["order_id"], catalog_changes.base_table(t))
+    messages = replay.stream(t.spark, f"{base}/log")
+    change_stream.start_state(messages, catalog_changes.ROW, table, f"{base}/checkpoint", compact_every=4,
+                              available_now=True).awaitTermination()
+    return change_stream.state_rows(table, catalog_changes.ROW)

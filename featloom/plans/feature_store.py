@@ -18,6 +18,7 @@ from featloom.functions.values import (
 from featloom.operators.intervals import SLICE_SECONDS, as_of_join
 from featloom.operators.latest import in_time_range, merge_latest, top_n_by_key
 from featloom.schemas import FEATURE_TTL
+from featloom.sinks.keyed import KeyedTable
 
 #: History rows of one entity, unless asked otherwise.
 HISTORY_ROWS = 100
@@ -111,6 +112,22 @@ def read_online(keys: DataFrame, online: DataFrame, features: Sequence[str], ent
                         missing.alias("missing_features"))
 
 
+def online_table(spark: SparkSession, path: str, buckets: int = 16) -> KeyedTable:
+    """An empty online store in files, which can be scanned by entity type and looked up by key."""
+    schema = ("entity_type string, entity_id string, feature_name string, value string, written_at timestamp_ntz, "
+              "expires_at timestamp_ntz")
+    return KeyedTable.create(spark, path, spark.createDataFrame([], schema).schema, ONLINE_KEY, buckets,
+                             ("written_at", "value"), "entity_type")
+
+
+def read_online_table(keys: DataFrame, table: KeyedTable, features: Sequence[str], entity_type: str,
+                      as_of: Instant = None) -> DataFrame:
+    """`read_online` that reads only the files of the requested keys."""
+    wanted = keys.select(F.lit(entity_type).alias("entity_type"), F.col("entity_id").cast("string").alias("entity_id"),
+                         F.explode(F.array(*map(F.lit, features))).alias("feature_name"))
+    return read_online(keys, table.lookup(wanted), features, entity_type, as_of)
+
+
 def read_typed(keys: DataFrame, online: DataFrame, value_types: dict[str, str], entity_type: str,
                as_of: Instant = None) -> DataFrame:
     """`read_online` with each value read as its registered type."""

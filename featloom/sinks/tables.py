@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from featloom.operators.latest import latest_by_key
+from featloom.sinks.keyed import KeyedTable
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -42,6 +43,22 @@ def upsert_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "update
     return start(df, handle, checkpoint, mode, **trigger)
 
 
+def keyed_stream(df: DataFrame, table: KeyedTable, job: str, checkpoint: str, mode: str = "update",
+                 compact_every: int | None = None, **trigger) -> StreamingQuery:
+    """A stream's rows laid over a keyed table; a batch that is repeated changes nothing.
+
+    Every so many batches the buckets with many folders are rewritten.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if table.holds(job, batch_id):
+            batch.write.format("noop").mode("overwrite").save()  # the state of a repeated batch has to be written all the same
+        else:
+            table.write(batch, job=job, batch=batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            table.compact(compact_every)
+    return start(df, handle, checkpoint, mode, **trigger)
+
+
 def _merged(path: str) -> str:
     return path.rstrip("/") + "-compacted"
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from featloom.operators.latest import latest_by_key
 from featloom.plans import changes as C
 from featloom.sinks import tables as out
+from featloom.sinks.keyed import KeyedTable
 
 
 def start_apply(messages: DataFrame, row: T.StructType, keys: Sequence[str], path: str, checkpoint: str,
@@ -31,3 +32,47 @@ def table(spark: SparkSession, path: str, base: DataFrame, keys: Sequence[str],
           order: Sequence[str] = C.ORDER) -> DataFrame:
     """The table as of the changes written so far; changes may arrive out of order."""
     return C.apply(base, spark.read.parquet(path).drop("batch_id"), keys, order)
+
+
+#: Columns of a state table beside those of the row: the change that a row is from, and the last place of the log seen for its key.
+STATE = T.StructType([T.StructField("ts_ms", T.LongType()), T.StructField("offset", T.LongType()),
+                      T.StructField("op", T.StringType()), T.StructField("seen", T.LongType())])
+
+
+def state_table(spark: SparkSession, path: str, row: T.StructType, keys: Sequence[str], base: DataFrame | None = None,
+                buckets: int = 16) -> KeyedTable:
+    """A keyed table for `start_state`, which holds the rows of `base` at first."""
+    table = KeyedTable.create(spark, path, T.StructType(row.fields + STATE.fields), keys, buckets, ("ts_ms", "offset"))
+    if base is not None:
+        table.write(base.select(*row.names, *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE]))
+    return table
+
+
+def row_deltas(messages: DataFrame, row: T.StructType, keys: Sequence[str], unwrapped: bool = False) -> DataFrame:
+    """On a stream, in update mode: the latest change of every key that a batch names, and the last place seen.
+
+    The state is one change for each key. Messages may come late or more than once: the latest change of all
+    that were seen counts.
+    """
+    changes = C.flat(C.parse(messages, row, keys, unwrapped), row)
+    rest = [c for c in row.names if c not in keys]
+    newest = F.max(F.struct("ts_ms", "offset", "op", *rest)).alias("_c")
+    return (changes.groupBy(*keys).agg(newest, F.max("offset").alias("seen"))
+            .select(*[F.col(c) if c in keys else F.col(f"_c.{c}") for c in row.names], "_c.ts_ms", "_c.offset", "_c.op", "seen"))
+
+
+def start_state(messages: DataFrame, row: T.StructType, table: KeyedTable, checkpoint: str, unwrapped: bool = False,
+                job: str = "changes", compact_every: int | None = 8, **trigger) -> StreamingQuery:
+    """Changes kept as a keyed state: each batch writes the rows it changes, deletes as rows of operation `d`."""
+    deltas = row_deltas(messages, row, table.version().keys, unwrapped)
+    return out.keyed_stream(deltas, table, job, checkpoint, "update", compact_every, **trigger)
+
+
+def state_rows(table: KeyedTable, row: T.StructType) -> DataFrame:
+    """The rows that are there; what is read follows the keys, not the messages."""
+    return table.scan().where(F.coalesce(F.col("op") != "d", F.lit(True))).select(*row.names)
+
+
+def position(table: KeyedTable) -> DataFrame:
+    """`seen`: the last place of the log among all messages that changed a key."""
+    return table.scan().agg(F.max("seen").alias("seen"))
