@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from featloom.catalog.base import EVENTS_AS_OF, ORDERS_AS_OF, Tables, query
+from featloom.functions.keys import ENTITY_IDS
 from featloom.plans import definitions as D, golden, registry as R
 
 SQL_EVENTS = """(SELECT user_id AS customer_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS product_id,
@@ -81,9 +82,11 @@ def defs_filtered_dates(t: Tables) -> DataFrame:
 
 @query(f"""WITH e AS {SQL_EVENTS},
 c AS (SELECT customer_id, COUNT(*) AS n, COUNT(DISTINCT CAST(event_timestamp AS DATE)) AS d,
-  date_diff('day', MAX(event_timestamp), TIMESTAMP '{EVENTS_AS_OF}') AS since FROM e GROUP BY 1),
+  date_diff('day', MAX(event_timestamp), TIMESTAMP '{EVENTS_AS_OF}') AS since,
+  CAST(COUNT(*) FILTER (event_type = 'purchase') AS DOUBLE) / COUNT(DISTINCT CAST(event_timestamp AS DATE)) AS f FROM e GROUP BY 1),
 p AS (SELECT COUNT(*) FILTER (event_type = 'view') AS v, COUNT(*) FILTER (event_type = 'purchase') AS b,
-  COUNT(*) FILTER (event_type = '{CART}') AS k FROM e GROUP BY product_id),
+  COUNT(*) FILTER (event_type = '{CART}') AS k,
+  CAST(COUNT(*) FILTER (event_type = 'purchase') AS DOUBLE) / NULLIF(COUNT(*) FILTER (event_type = 'view'), 0) AS r FROM e GROUP BY product_id),
 x AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (event_type = 'view') AS v, COUNT(*) FILTER (event_type = '{CART}') AS k,
   COUNT(*) FILTER (event_type = 'purchase') AS b FROM e GROUP BY customer_id, product_id),
 f AS (SELECT unnest(['customer_days_since_last_active', 'customer_event_count', 'customer_active_days']) AS name,
@@ -91,9 +94,11 @@ f AS (SELECT unnest(['customer_days_since_last_active', 'customer_event_count',
   UNION ALL SELECT unnest(['product_view_count', 'product_purchase_count', 'product_cart_count']),
   unnest([(SELECT SUM(v) FROM p), (SELECT SUM(b) FROM p), (SELECT SUM(k) FROM p)])
   UNION ALL SELECT unnest(['customer_product_interaction_count', 'customer_product_view_count', 'customer_product_cart_count',
-  'customer_product_purchase_count']), unnest([(SELECT SUM(n) FROM x), (SELECT SUM(v) FROM x), (SELECT SUM(k) FROM x), (SELECT SUM(b) FROM x)]))
+  'customer_product_purchase_count']), unnest([(SELECT SUM(n) FROM x), (SELECT SUM(v) FROM x), (SELECT SUM(k) FROM x), (SELECT SUM(b) FROM x)])
+  UNION ALL SELECT 'customer_purchase_frequency', CAST(SUM(CAST(floor(f * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 FROM c
+  UNION ALL SELECT 'product_conversion_rate', CAST(SUM(CAST(floor(r * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 FROM p)
 SELECT g.name AS group_name, g.entity_type, m.name, m.kind AS value_type,
-  m.category, CAST(f.total AS BIGINT) AS total FROM (VALUES
+  m.category, CAST(f.total AS DOUBLE) AS total FROM (VALUES
   ('customer_engagement_features', 'customer'), ('product_popularity_features', 'product'),
   ('customer_product_interaction_features', 'customer_product'), ('conversion_features', 'mixed')) g(name, entity_type)
 JOIN (VALUES ('customer_engagement_features', 'customer_days_since_last_active', 'INTEGER', 'BEHAVIORAL'),
@@ -112,17 +117,21 @@ JOIN (VALUES ('customer_engagement_features', 'customer_days_since_last_active',
  ('conversion_features', 'customer_product_purchase_count', 'INTEGER', 'INTERACTION')) m(group_name, name, kind, category)
 ON g.name = m.group_name LEFT JOIN f ON m.name = f.name""")
 def golden_set(t: Tables) -> DataFrame:
-    """The sample definitions registered, their groups checked and read back, and all features computed."""
+    """The sample definitions registered, their groups checked and read back, and all features computed, of all
+    entity types by one read of the events."""
     spark = t.spark
     registry = R.register(golden.definition_rows(spark), golden.empty_registry(spark), EVENTS_AS_OF)
     groups = R.register_groups(golden.group_rows(spark), registry, golden.empty_groups(spark), EVENTS_AS_OF)
     members = (R.list_groups(groups, owner=golden.TEAM).select(F.col("name").alias("group_name"), "entity_type", F.explode("feature_names").alias("name"))
                .join(registry.select("name", "value_type", "category"), "name"))
+    grains = [(ids, D.of_registry(golden.DEFINITIONS, kind, CART)) for kind, ids in ENTITY_IDS.items()]
     totals = None
-    for kind, ids in (("customer", ["customer_id"]), ("product", ["product_id"]), ("customer_product", ["customer_id", "product_id"])):
-        wide = D.compute(t.customer_events(), D.of_registry(golden.DEFINITIONS, kind, CART), ids, EVENTS_AS_OF)
-        counts = [c for c in wide.columns if c not in ids and wide.schema[c].dataType.simpleString() == "bigint"]
-        sums = wide.agg(*[F.sum(c).alias(c) for c in counts])
-        tall = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("total")) for c in counts])))
+    for (ids, _), wide in zip(grains, D.compute_grains(t.customer_events(), grains, EVENTS_AS_OF)):
+        features = [c for c in wide.columns if c not in ids]
+        # ratios are added in billionths, so that their order does not matter
+        billionths = {c: wide.schema[c].dataType.simpleString() == "double" for c in features}
+        sums = wide.agg(*[(F.sum(F.floor(F.col(c) * 1e9)).cast("double") / 1e9 if billionths[c] else F.sum(c).cast("double")).alias(c)
+                          for c in features])
+        tall = sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("total")) for c in features])))
         totals = tall if totals is None else totals.unionByName(tall)
     return members.join(totals, "name", "left").select("group_name", "entity_type", "name", "value_type", "category", "total")

@@ -2,7 +2,7 @@
 
 A plain window over the key would put a whole key on one task. Here
 
-* copies are collapsed first, in every task before the shuffle: only distinct
+* rows of one key and time are reduced first, in every task before the shuffle: only distinct
   (key, time) pairs enter the windows over time, and the full rows meet the result in a join, which Spark splits
   when one key or time is hot;
 * each key is cut into time slices. Neighbours inside a slice come from a window over
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom.functions.time import epoch_micros
 from featloom.operators.latest import latest_by_key
+from featloom.operators.nesting import repeated
 
 SLICE_SECONDS = 600
 
@@ -49,16 +50,18 @@ def with_next(df: DataFrame, keys: Sequence[str], moment: str, out: str = "valid
     """
     rest = [c for c in df.columns if c not in (*keys, moment, *tiebreak)]
     order = F.struct(*tiebreak, *rest) if tiebreak or rest else F.lit(0)
-    # equal rows are counted, and told apart by a number
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    times = counted.groupBy(*keys, moment).agg(F.max(order).alias("_winner"))
+    times = df.groupBy(*keys, moment).agg(F.max(order).alias("_winner"), F.count(F.lit(1)).alias("_rows"))
     following = _next_distinct(times, keys, moment, out, slice_seconds)
-    copies = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     known = F.col("_winner").isNotNull()
-    lasts = order.eqNullSafe(F.col("_winner")) & (F.col("_copy") == 1)
-    return (copies.join(following, [*keys, moment], "left")
-            .withColumn(out, F.when(known & lasts, F.col(out)).when(known, F.col(moment)))
-            .select(*df.columns, out))
+    wins = known & order.eqNullSafe(F.col("_winner"))
+    several = F.coalesce(F.col("_rows") > 1, F.lit(False))
+    alone = (df.join(following, [*keys, moment], "left").filter(~(wins & several))
+             .withColumn(out, F.when(wins, F.col(out)).when(known, F.col(moment))).select(*df.columns, out))
+    # where a moment has several rows its winner may have copies: one of them lasts
+    best = (df.join(following.filter("_rows > 1"), [*keys, moment]).filter(wins)
+            .groupBy(*df.columns).agg(F.first(out).alias(out), (F.count(F.lit(1)) - 1).alias("_others")))
+    others = repeated(best.withColumn(out, F.col(moment)), "_others")
+    return alone.unionByName(best.select(*df.columns, out)).unionByName(others.select(*df.columns, out))
 
 
 def as_of_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str,

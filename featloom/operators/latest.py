@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featloom.functions.time import Instant, instant_like, interval
+from featloom.session import written
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -31,15 +32,15 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str],
     """`base`, which has one row per key, with `updates` laid over it: an update replaces the row with its key.
 
     Among updates of one key the greatest `order` wins. `updated_at` names a column
-    that every written row gets set to the evaluation time. Only the updates are reduced;
-    `base` is looked up by key, so few updates do not move a large table.
+    that every written row gets set to the evaluation time. Only the updates are reduced, and written, since
+    they are needed twice; `base` is looked up by key, so few updates do not move a large table.
     """
     if updated_at:
         updates = updates.withColumn(updated_at, instant_like(base, updated_at, as_of))
     rest = [c for c in base.columns if c not in (*keys, *order)]
     # whole rows decide what the order leaves open, so that the result does not depend on chance
     tie = [F.to_json(F.struct(*rest)).desc()] if rest else []
-    newest = top_n_by_key(updates.select(*base.columns), keys, [*(F.col(c).desc() for c in order), *tie], 1)
+    newest = written(top_n_by_key(updates.select(*base.columns), keys, [*(F.col(c).desc() for c in order), *tie], 1), "updates")
     return _without_keys(base, newest, keys).unionByName(newest)
 
 
@@ -48,7 +49,7 @@ def merge_latest(base: DataFrame, updates: DataFrame, keys: Sequence[str], order
 
     Rows of `base` without an update stay where they are.
     """
-    newest = latest_by_key(updates.select(*base.columns), keys, order)
+    newest = written(latest_by_key(updates.select(*base.columns), keys, order), "updates")
     touched = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     met = base.join(touched, same, "left_semi")

@@ -1,4 +1,4 @@
-"""Child rows nested into pages of a bounded size."""
+"""Child rows nested into pages of a bounded size; rows repeated in pieces."""
 
 from __future__ import annotations
 
@@ -28,3 +28,18 @@ def page_children(children: DataFrame, key: str, fields: Sequence[str], out: str
     pages = (pieces.withColumn(page, spread).groupBy(key, page)
              .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat(child, copies)))).alias(out)))
     return sizes, pages
+
+
+def repeated(counted: DataFrame, times: str, piece: int = 10_000) -> DataFrame:
+    """Every row as often as its column `times` says, which leaves; not at all for 0.
+
+    A row that is repeated more than `piece` times is cut into pieces, which are spread over the tasks.
+    """
+    n = F.col(times).cast("bigint")
+    few = counted.filter(n <= piece).withColumn("_times", n)
+    pieces = counted.filter(n > piece).withColumn(
+        "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / F.lit(piece)).cast("bigint"))))
+    many = (pieces.withColumn("_times", F.least(F.lit(piece), n - F.col("_piece") * piece))
+            .repartition(F.xxhash64(*counted.columns, "_piece")).drop("_piece"))
+    return (few.unionByName(many).filter("_times > 0")
+            .withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).drop("_times", times))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featloom.operators.latest import latest_by_key
 from featloom.schemas import change_body
+from featloom.session import written
 
 #: The order of changes of one key: their time, and the place in the log within one millisecond.
 ORDER = ("ts_ms", "offset")
@@ -83,12 +84,13 @@ def apply(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: Seque
     """The table after the changes: the latest change of a key wins, a delete removes it.
 
     `base` has one row per key and `changes` is the output of `flat`. Only the changes are
-    reduced; rows of `base` are looked up by key, so few changes do not move a large table.
+    reduced, and written, since they are needed twice; rows of `base` are looked up by key, so few
+    changes do not move a large table.
     """
-    newest = latest_by_key(changes, keys, order)
+    newest = written(latest_by_key(changes, keys, order).select(*base.columns, "op"), "changes")
     kept = base.join(newest.select(*keys), list(keys), "left_anti").select(*base.columns)
-    written = newest.filter(F.coalesce(F.col("op") != "d", F.lit(True)))
-    return kept.unionByName(written.select(*base.columns))
+    there = newest.filter(F.coalesce(F.col("op") != "d", F.lit(True)))
+    return kept.unionByName(there.select(*base.columns))
 
 
 def classify_orders(changes: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from featloom.functions.time import Instant, instant
 from featloom.functions.values import VALUE_TYPES, ratio
 from featloom.plans import golden
+from featloom.session import written
 
 CART_EVENT = "add_to_cart"
 
@@ -50,10 +51,9 @@ def _sql(text: str, as_of: Instant) -> str:
     return _TODAY.sub(f"CAST({moment} AS DATE)", _NOW.sub(moment, text))
 
 
-def _aggregate(step: dict, where: str | None, as_of: Instant) -> Column:
+def _aggregate(step: dict, conditions: list[str], as_of: Instant) -> Column:
     kind = step["type"]
     target = step.get("field", step.get("column", "*"))
-    conditions = [c for c in (where, step.get("filter")) if c]
     value = F.lit(1) if target == "*" else F.expr(_sql(target, as_of))
     if conditions:
         value = F.when(F.expr(" AND ".join(f"({_sql(c, as_of)})" for c in conditions)), value)
@@ -70,32 +70,43 @@ def compute(df: DataFrame, definitions: Sequence[Definition], entity_columns: Se
     `as_of` may be a column: the current time of each row, the latest of an entity's rows
     where aggregates are compared with it.
     """
-    if len({d.entity_type for d in definitions}) != 1:
-        raise ValueError("definitions of one call must share an entity type")
     aggregates: dict[str, Column] = {}
     if isinstance(as_of, Column):
         df = df.withColumn(MOMENT, as_of.cast("timestamp_ntz"))
         aggregates[MOMENT] = F.max(MOMENT)
+    steps, outputs = _planned(definitions, as_of)
+    for slot, (step, where) in steps.items():
+        aggregates[slot] = (_filtered_call(step["name"], step["to"], where, as_of) if step["type"] == "date_diff"
+                            else _aggregate(step, where, as_of))
+    grouped = df.groupBy(*entity_columns).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return grouped.select(*entity_columns, *outputs)
+
+
+def _planned(definitions: Sequence[Definition], as_of: Instant) -> tuple[dict[str, tuple[dict, list[str]]], list[Column]]:
+    """(the aggregates that the definitions need: step and conditions by name, a column for each definition)"""
+    if len({d.entity_type for d in definitions}) != 1:
+        raise ValueError("definitions of one call must share an entity type")
+    steps: dict[str, tuple[dict, list[str]]] = {}
     by_text: dict[tuple, str] = {}
     outputs: list[Column] = []
     for d in definitions:
-        where = d.source_config.get("filter")
         names: dict[str, str] = {}
         result: Column | None = None
         for step in d.transformations:
             kind = step["type"]
+            where = [c for c in (d.source_config.get("filter"), step.get("filter")) if c]
             if kind in ROW_STEPS:
-                text = (where, *sorted((k, str(v)) for k, v in step.items() if k != "alias"))
+                text = (*where, *sorted((k, str(v)) for k, v in step.items() if k not in ("alias", "filter")))
                 slot = by_text.get(text)
                 if slot is None:
-                    slot = by_text[text] = f"_a{len(aggregates)}"
-                    aggregates[slot] = _aggregate(step, where, as_of)
+                    slot = by_text[text] = f"_a{len(steps)}"
+                    steps[slot] = step, where
                 result = F.col(slot)
                 if "alias" in step:
                     names[step["alias"]] = slot
             elif kind == "date_diff":
-                slot = f"_a{len(aggregates)}"
-                aggregates[slot] = _filtered_call(d.name, step["to"], [c for c in (where, step.get("filter")) if c], as_of)
+                slot = f"_a{len(steps)}"
+                steps[slot] = {**step, "name": d.name}, where
                 result = F.datediff(F.expr(_sql(step["from"], as_of)), F.col(slot))
             elif kind == "datediff":
                 end, start = (_argument(a, names, as_of) for a in step["args"])
@@ -107,8 +118,54 @@ def compute(df: DataFrame, definitions: Sequence[Definition], entity_columns: Se
         if result is None:
             raise ValueError(f"{d.name}: no transformation")
         outputs.append(result.cast(VALUE_TYPES[d.value_type]).alias(d.name))
-    grouped = df.groupBy(*entity_columns).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return grouped.select(*entity_columns, *outputs)
+    return steps, outputs
+
+
+#: How an aggregate over rows comes from aggregates over parts of them.
+MERGES = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+
+
+def compute_grains(df: DataFrame, grains: Sequence[tuple[Sequence[str], Sequence[Definition]]],
+                   as_of: str | None = None) -> list[DataFrame]:
+    """`compute` for definitions of several grains, (entity columns, definitions) each, with one read of the rows.
+
+    The rows are aggregated once by all entity columns together and by the values that are counted distinct; this
+    is written, and every grain is merged from it: counts and sums are added, extremes compared, and a distinct
+    count is one over the values of the parts. Definitions need counts, sums, extremes and distinct counts of one
+    expression, and what is computed from these.
+    """
+    planned = [(list(ids), *_planned(definitions, as_of)) for ids, definitions in grains]
+    entities = list(dict.fromkeys(c for ids, _, _ in planned for c in ids))
+    partial: dict[tuple, str] = {}     # name of a partial aggregate by its meaning
+    columns: dict[str, Column] = {}
+    counted: str | None = None         # the expression that is counted distinct
+
+    def part(kind: str, target: str, where: list[str]) -> str:
+        name = partial.setdefault((kind, target, *where), f"_p{len(partial)}")
+        if name not in columns:
+            columns[name] = _aggregate({"type": kind, "field": target}, where, as_of)
+        return name
+
+    merged = []
+    for ids, steps, outputs in planned:
+        out = {}
+        for slot, (step, where) in steps.items():
+            target = step.get("field", step.get("column", "*"))
+            kind = step.get("function") if step["type"] == "aggregation" else step["type"]
+            if kind in ("distinct_count", "count_distinct"):
+                if counted not in (None, target):
+                    raise ValueError(f"distinct counts of {counted} and {target} cannot share a read")
+                counted = target
+                seen = F.col(part("count", "*", where)) > 0
+                out[slot] = F.count_distinct(F.when(seen, F.col("_value")))
+            elif kind in MERGES:
+                out[slot] = MERGES[kind](part(kind, target, where))
+            else:
+                raise ValueError(f"a step of type {step['type']!r} cannot be merged from parts")
+        merged.append((ids, out, outputs))
+    value = F.expr(_sql(counted, as_of)) if counted else F.lit(None).cast("string")
+    parts = written(df.withColumn("_value", value).groupBy(*entities, "_value").agg(*[c.alias(n) for n, c in columns.items()]), "grains")
+    return [parts.groupBy(*ids).agg(*[c.alias(n) for n, c in out.items()]).select(*ids, *outputs) for ids, out, outputs in merged]
 
 
 def _filtered_call(name: str, call: str, conditions: list[str], as_of: Instant) -> Column:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featloom.functions.time import Instant, instant
 from featloom.functions.values import VALUE_TYPES
 from featloom.operators.latest import upsert
+from featloom.operators.nesting import repeated
 from featloom.schemas import VERSIONS
 
 # Allowed values of a definition. The second line of a set holds values the
@@ -36,14 +37,25 @@ def invalid_reason() -> Column:
 def _once(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """`rows` with status 409 instead of 201 on all but the first new row of a name.
 
-    The first one has the least `order`; rows that it leaves equal go by their JSON text.
+    The first one has the least `order`; rows that it leaves equal go by their JSON text, and of copies one is
+    the first. Good rows of a name are counted and compared in every task before they meet, and copies are
+    counted, so a name that many rows share is no group of one task.
     """
-    text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("status_code", "reason", "missing")]))
     good = F.col("status_code") == 201
-    # rows that are no rivals need not meet
-    first = Window.partitionBy("name", F.when(~good, F.xxhash64(text))).orderBy((~good).cast("int"), *order, text)
-    return (rows.withColumn("_taken", good & (F.row_number().over(first) > 1))
-            .withColumn("status_code", F.when(F.col("_taken"), 409).otherwise(F.col("status_code"))))
+    text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("status_code", "reason", "missing")]))
+    place = F.struct(*[F.col(c) for c in order], text)
+    names = (rows.filter(good).groupBy(F.col("name").alias("_name"))
+             .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_rivals")).filter("_rivals > 1"))
+    met = rows.join(names, good & (F.col("name") == F.col("_name")), "left")
+    rival = F.col("_rivals").isNotNull()
+    first = F.coalesce(rival & (place == F.col("_first")), F.lit(False))
+    beaten = met.filter(~first).withColumn("_taken", rival)
+    same = met.filter(first).drop("_name", "_first", "_rivals")
+    one = same.groupBy(*rows.columns).agg((F.count(F.lit(1)) - 1).alias("_others"))
+    parts = [beaten.select(*rows.columns, "_taken"), one.select(*rows.columns, F.lit(False).alias("_taken")),
+             repeated(one, "_others").select(*rows.columns, F.lit(True).alias("_taken"))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.withColumn("status_code", F.when(F.col("_taken"), 409).otherwise(F.col("status_code")))
 
 
 def check_new(incoming: DataFrame, registry: DataFrame, order: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,8 +43,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Scratch folders that this process made and has not cleared.
+_MADE: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for stream checkpoints and sink tables, which all machines see.
+    """A fresh folder for stream checkpoints, sink tables and written stages, which all machines see.
 
     It lies under `spark.checkpoint.dir`, else under the warehouse. A path on one machine's
     own disk is refused where executors run on other machines.
@@ -53,9 +57,26 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     path = f"{shared.rstrip('/')}/featloom-{purpose}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local") and _on_local_disk(spark, path):
         raise ValueError(f"{shared} is a local folder; set spark.checkpoint.dir to one that all machines share")
+    _MADE.append(path)
     return path
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders made so far, once no frame or stream reads them any more; gives their number."""
+    cleared = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        cleared += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return cleared
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """`df` written to a scratch folder and read again, for what several parts of a plan need."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _on_local_disk(spark: SparkSession, path: str) -> bool:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     scheme = urlparse(path).scheme or urlparse(conf.get("fs.defaultFS", "file:///")).scheme

@@ -116,3 +116,13 @@ def test_facts(table, rows):
     scored = table("model_id string, entity_id string, latency_ms double", [("m:1", "a", 2.5)])
     facts, lost = star.load_predictions(scored, models)
     assert facts.first()["latency_ms"] == 3 and lost.count() == 0
+
+
+def test_changes_are_parsed_once(spark):
+    """The messages' generator stands in what writes the reduced changes, and not again in the plan of the table."""
+    from featloom.catalog import changes as catalog
+    from featloom.catalog.base import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = catalog.cdc_apply(t)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "from_json" not in plan

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from featloom.plans import definitions as D, registry as R
 from featloom.schemas import VERSIONS
@@ -160,3 +161,30 @@ def test_groups(registry, table):
     assert sorted(r["name"] for r in after.collect()) == ["fine", "old"]
     members = R.group_features(after, registry)
     assert sorted((r["group_name"], r["name"]) for r in members.collect()) == [("fine", "a"), ("fine", "b"), ("old", "a")]
+
+
+def test_grains_share_one_read(spark):
+    """Features of all entity types from one read are those of a read for each."""
+    import random
+
+    from featloom.functions.keys import ENTITY_IDS
+    from featloom.plans import definitions as D, golden
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, 3, None]), r.choice([7, 8, None]), r.choice(["view", "purchase", "add_to_cart", None]),
+             f"2024-01-{r.randint(1, 9):02} 0{r.randint(0, 9)}:00:00") for _ in range(400)]
+    df = spark.createDataFrame(rows, "customer_id bigint, product_id bigint, event_type string, event_timestamp string").withColumn(
+        "event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
+    grains = [(ids, D.of_registry(golden.DEFINITIONS, kind)) for kind, ids in ENTITY_IDS.items()]
+    seen = []
+    shared = D.compute_grains(df, grains, "2024-02-01")
+    for (ids, definitions), got in zip(grains, shared):
+        want = D.compute(df, definitions, ids, "2024-02-01")
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        seen += got.columns
+    assert {d["name"] for d in golden.DEFINITIONS} <= set(seen)
+    assert len({f for g in shared for f in g.inputFiles()} - set(shared[0].inputFiles())) == 0
+    wrong = D.Definition("x", "customer", "FLOAT", ({"type": "avg", "field": "product_id"},))
+    with pytest.raises(ValueError, match="cannot be merged"):
+        D.compute_grains(df, [(["customer_id"], [wrong])])

@@ -140,3 +140,20 @@ def test_copies_collapse_before_the_windows(spark):
     assert "Aggregate [key" in below
     hot = {r[0] and str(r[0]): r[1] for r in out.filter("key = 'hot'").groupBy("valid_to").count().collect()}
     assert hot == {None: 1, "2024-01-01 00:00:00": 999}     # one copy lasts, the others end where they start
+
+
+def test_copies_leave_many_tasks(spark):
+    """A moment with very many equal rows: one lasts, and the others do not leave one task."""
+    from pyspark.sql import functions as F
+
+    from featloom.operators import intervals, nesting
+
+    df = spark.range(60_000).selectExpr("1 AS k", "timestamp_ntz'2024-01-01' AS t", "'x' AS v").unionByName(
+        spark.sql("SELECT 1 AS k, timestamp_ntz'2024-01-02' AS t, 'y' AS v"))
+    got = intervals.with_next(df, ["k"], "t")
+    ends = {(r["t"].day, r["valid_to"] and r["valid_to"].day): r["count"] for r in got.groupBy("t", "valid_to").count().collect()}
+    assert ends == {(1, 2): 1, (1, 1): 59_999, (2, None): 1}
+    counted = spark.createDataFrame([("a", 100_000), ("b", 1), ("c", 0), ("d", 10_000), ("e", 10_001)], "v string, n bigint")
+    out = nesting.repeated(counted, "n")
+    assert dict(map(tuple, out.groupBy("v").count().collect())) == {"a": 100_000, "b": 1, "d": 10_000, "e": 10_001}
+    assert out.filter("v = 'a'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
