@@ -29,7 +29,9 @@ def _told(orders: DataFrame, parts: list, apart_ms: int) -> DataFrame:
     told = F.array(*[F.struct(value.alias("value"), F.lit(i).alias("place"), there.alias("there"))
                      for i, (there, value) in reversed(list(enumerate(parts)))])
     key = F.concat(F.lit('{"schema":{"type":"struct"},"payload":{"order_id":'), F.col("o_orderkey"), F.lit("}}"))
-    return (orders.select(key.alias("key"), F.col("o_orderkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("_at"), F.explode(F.filter(told, lambda m: m["there"])).alias("m"))
+    # a topic has partitions, whatever the number of files of the table
+    topic = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (orders.repartition(topic, "o_orderkey").select(key.alias("key"), F.col("o_orderkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("_at"), F.explode(F.filter(told, lambda m: m["there"])).alias("m"))
             .select("key", "m.value", F.lit("dbz.public.orders").alias("topic"),
                     (F.col("o_orderkey") * 10 + F.col("m.place")).alias("offset"),
                     F.timestamp_millis(F.col("_at") + F.col("m.place") * apart_ms).alias("timestamp")))

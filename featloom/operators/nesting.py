@@ -40,6 +40,7 @@ def repeated(counted: DataFrame, times: str, piece: int = 10_000) -> DataFrame:
     pieces = counted.filter(n > piece).withColumn(
         "_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / F.lit(piece)).cast("bigint"))))
     many = (pieces.withColumn("_times", F.least(F.lit(piece), n - F.col("_piece") * piece))
-            .repartition(F.xxhash64(*counted.columns, "_piece")).drop("_piece"))
+            # by a given number, since pieces are small rows that would be put together again
+            .repartition(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), *counted.columns, "_piece").drop("_piece"))
     return (few.unionByName(many).filter("_times > 0")
             .withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).drop("_times", times))

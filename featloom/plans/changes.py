@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -48,7 +50,7 @@ def read(messages: DataFrame, row: T.StructType, keys: Sequence[str], unwrapped:
         F.unix_millis(_given(messages, "timestamp", "timestamp")).alias("_at"), F.inline(F.array(parsed)))
     rows = rows.select("key", "value", "table_name", "offset", "_at", _either("v", body).alias("_e"),
                        _either("k", key_row).alias("key_row"), F.col("value").isNull().alias("is_tombstone"))
-    named = lambda c: F.forall(F.array(*[F.col(f"{c}.{k}").isNotNull() for k in keys]), lambda x: x)
+    named = lambda c: reduce(and_, [F.col(f"{c}.{k}").isNotNull() for k in keys])
     if unwrapped:
         fields = [F.lit(None).cast("string").alias("op"), F.col("_at").alias("ts_ms"),
                   F.lit(None).cast(row).alias("before"), F.when(~F.col("is_tombstone"), F.col("_e")).alias("after")]
