@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from featloom.llm.common import small_batches
-from featloom.llm.html_blocks import leaf_blocks
+from featloom.llm.html_blocks import Node, blocks_of, own_features
 from featloom.llm.labelled_pages import labelled_blocks
 
 PAGES, ROUNDS, STEP, PENALTY = 600, 150, 0.5, 0.0003
@@ -36,13 +36,14 @@ def path_features(path: tuple[str, ...]) -> tuple[str, ...]:
     """Tags and words of the ancestors, and the block's own element."""
     out: dict[str, None] = {"bias": None}
     for name in path:
-        tag, *words = name.split(".")
-        out |= dict.fromkeys([f"in {tag}", *(f"word {w}" for w in words)])
-    if path:
-        out[f"own {path[-1].split('.')[0]}"] = None
-        if len(path) > 1:
-            out[f"pair {path[-2].split('.')[0]} {path[-1].split('.')[0]}"] = None
-    return tuple(out)
+        out |= dict.fromkeys(own_features(name))
+    tags = [name.split(".")[0] for name in path[-2:]]
+    return (*out, *leaf_features(*tags[::-1]))
+
+
+def leaf_features(tag: str = "", parent: str = "") -> tuple[str, ...]:
+    """Of the element that the block stands in and the one around it."""
+    return ((f"own {tag}",) if tag else ()) + ((f"pair {parent} {tag}",) if parent else ())
 
 
 def text_features(text: str, linked: float, place: int, blocks: int) -> tuple[str, ...]:
@@ -58,25 +59,37 @@ def text_features(text: str, linked: float, place: int, blocks: int) -> tuple[st
     return tuple(out)
 
 
+#: Blocks with the element they stand in (scored by one field only), or with the names of all around them.
+Blocks = list[tuple["Node | tuple[str, ...]", str, float]]
+
+
 class Field:
     """Weights of the features for "article" and of neighbouring labels; label 0 has weight 0."""
 
     def __init__(self, weights: dict[str, float], steps: np.ndarray):
         self.weights, self.steps = weights, steps
-        self._paths: dict[tuple[str, ...], float] = {}
 
-    def scores(self, blocks: list[tuple[tuple[str, ...], str, float]]) -> list[float]:
+    def path_score(self, node: Node) -> float:
+        """Score of the element around a block: that of its parent and of what it adds, each element's once."""
+        get, chain = self.weights.get, []
+        leaf = node
+        while node.score is None:
+            chain.append(node)
+            if node.parent is None:
+                break
+            node = node.parent
+        for n in reversed(chain):
+            n.score = (n.parent.score if n.parent else 0.0) + sum([get(f, 0.0) for f in n.new])
+        return leaf.score + sum([get(f, 0.0) for f in leaf_features(leaf.tag, leaf.parent.tag if leaf.parent else "")])
+
+    def scores(self, blocks: Blocks) -> list[float]:
         get, out = self.weights.get, []
-        for i, (path, text, linked) in enumerate(blocks):
-            score = self._paths.get(path)
-            if score is None:
-                if len(self._paths) > 100_000:
-                    self._paths.clear()
-                score = self._paths[path] = sum(get(f, 0.0) for f in path_features(path))
+        for i, (where, text, linked) in enumerate(blocks):
+            score = self.path_score(where) if isinstance(where, Node) else sum(get(f, 0.0) for f in path_features(where))
             out.append(score + sum([get(f, 0.0) for f in text_features(text, linked, i, len(blocks))]))
         return out
 
-    def decode(self, blocks: list[tuple[tuple[str, ...], str, float]]) -> list[int]:
+    def decode(self, blocks: Blocks) -> list[int]:
         """The most likely labels (Viterbi)."""
         (s00, s01), (s10, s11) = self.steps.tolist()
         no, yes, back = 0.0, 0.0, []
@@ -147,7 +160,7 @@ def fit(pages: int = PAGES, rounds: int = ROUNDS) -> Field:
 
 
 def main_text(field: Field, html: str | None) -> str:
-    blocks = leaf_blocks(html or "")
+    blocks = blocks_of(html or "")
     return "\n\n".join(text for (_, text, _), label in zip(blocks, field.decode(blocks)) if label)
 
 

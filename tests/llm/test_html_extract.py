@@ -32,6 +32,40 @@ def test_blocks():
     assert path == ("div.side.bar.nav.box.x.1",) and linked == 1.0
 
 
+def test_omitted_tags_lose_nothing():
+    body = "<article><p>One.<p>Two.</article>"
+    for page in (f"<html><head><title>t</title>{body}", f"<head><meta charset=utf-8>{body}", f"<title>t</title>{body}", f"<head>{body}</head>",
+                 f"<select><option>a<option>b{body}", f"<object data=x>{body}", f"<div><math><mi>x{body}", f"<div><svg><g>{body}"):
+        assert [t for t in texts(page) if t not in ("x", "a", "b")] == ["One.", "Two."], page
+    assert texts("<head>bare text<p>more") == ["bare text", "more"]
+
+
+def test_inline_content_stays_in_its_sentence():
+    assert texts("<p>Second one, <math><mi>x</mi><mo>+</mo><mn>1</mn></math> in it.</p>") == ["Second one, x+1 in it."]
+    assert texts("<p>a <svg><title>no</title><text>b</text><path d='M0'/></svg> c <object>d <param name=x></object> e</p>") == ["a b c d e"]
+    assert texts("<p>a <img src=x> b <script>no()</script>c<style>p{}</style> d<input> e <video>f<source src=v></video></p>") == ["a b c d e f"]
+    assert texts("<p>a <math><semantics><mi>x</mi><annotation>no</annotation></semantics></math> b<br/>c<span></span>d</p>") == ["a x b cd"]
+
+
+def test_nesting_costs_what_it_holds(field):
+    """Deep nesting, unclosed or not, of block and of inline elements."""
+    import time
+    for page in ("<div>x" * 100_000, "<div class='a b'>" * 100_000 + "x", "<b>" * 100_000 + "<p>x" * 1000, "<p><b>x" * 30_000, "<math><svg>" * 30_000 + "<p>x" * 100,
+                 "<select>" * 50_000 + "<p>x", "<li><a>x" * 50_000, "</p>" * 100_000, "<svg><g>" * 30_000):
+        start = time.perf_counter()
+        X.main_text(field, page)
+        assert time.perf_counter() - start < 20, page[:20]
+    assert len(texts("<div>x" * 300)) == 300
+
+
+def test_scores_by_element_are_those_by_path(field):
+    from featloom.llm.html_blocks import blocks_of
+    from featloom.llm.labelled_pages import labelled_page
+    for seed in range(70_000, 70_040):
+        page = labelled_page(seed)
+        assert field.scores(blocks_of(page)) == pytest.approx(field.scores(leaf_blocks(page)))
+
+
 def test_viterbi_is_the_best_labelling(field):
     r = random.Random(1)
     for _ in range(40):
