@@ -101,12 +101,18 @@ TAKEN = """epochs * size + CASE WHEN cut_key IS NULL OR key > cut_key THEN 0 WHE
            ELSE size * cut_words div cut_total END"""
 
 
+def written_plan(sizes: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
+    """`cuts` of `targets` with `plan_source`, written, so that its size is known: one row for each source goes to the
+    rows of documents, not they to it."""
+    return staged(cuts(sizes, targets(sizes, weights, most)), "plan").withColumnRenamed("source", "plan_source")
+
+
 def mix_sizes(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, **columns: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     sizes = staged(sized(docs, **columns), "sizes")
-    plan = cuts(sizes, targets(sizes, weights, most))
-    return (sizes.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-            .select("a.doc_id", "a.size", "b.source_size", "b.target", F.expr(TAKEN).alias("taken")))
+    plan = written_plan(sizes, weights, most)
+    return (sizes.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+            .select("doc_id", "size", "source_size", "target", F.expr(TAKEN).alias("taken")))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, id_col: str = "doc_id",
@@ -116,8 +122,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3, id_col
     Documents without words are kept once. Of other columns `n_chars`, if there is one, follows a text that is cut.
     """
     sizes = staged(sized(docs, id_col, text_col, source_col), "sizes")
-    # written, so that its size is known: one row for each source goes to the texts, not they to it
-    plan = staged(cuts(sizes, targets(sizes, weights, most)), "plan").withColumnRenamed("source", "plan_source")
+    plan = written_plan(sizes, weights, most)
     rows = docs.select(F.struct("*").alias("doc"), F.col(source_col).cast("string").alias("mix_source"),
                        key_of(F.col(id_col)).alias("key"), words(F.col(text_col)).alias("size"))
     rows = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("plan_source"))).withColumn("taken", F.expr(TAKEN))
