@@ -5,6 +5,7 @@ import struct
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 import test_bpe
@@ -41,6 +42,32 @@ def test_language_id_keeps_documents_with_letters(spark, corpus):
     assert by_id(kept) == by_id([r for r in as_rows(df) if any(c.isalpha() for c in r[1] or "")])
 
 
+def test_language_id_fills_missing_labels(spark, docs):
+    """The prediction decides the label of documents that have none; given labels stay."""
+    english, german = "the cat and the dog went with them to this house", "der hund und die katze gingen mit dem kind nach haus"
+    rows = [(i, (english if i % 2 else german) + f" {chr(97 + i % 26)}", "en" if i % 2 else "de") for i in range(60)]
+    rows += [(100, english, None), (101, german, None), (102, english, "de"), (103, "12", None), (None, german, None)]
+    got = {(r["doc_id"], r["text"]): r["lang"] for r in P.language_id(spark, docs(rows), "").collect()}
+    assert [got[k] for k in ((100, english), (101, german), (102, english), (None, german))] == ["en", "de", "de", "de"]
+    assert (103, "12") not in got and len(got) == 64
+
+
+def test_every_stage_keeps_columns_of_any_name(spark, corpus):
+    """All names that the stages and their operators use inside, as extra columns: they come through as they were."""
+    inside = """_letter _lang _score lang_pred lang_score has_letter _digest _id _of text_digest surplus_id surplus_of digest stays sid
+        n first root token pos apart shard bucket doc key size range plan_source mix_source taken part epochs rest source_size target
+        budget cut_key cut_words cut_total n_lines n_dropped id count rows value spans ids decoded""".split()
+    rows, df = corpus
+    wide = df.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in inside])
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns, name
+        kept = out.collect()
+        assert kept and all(r[c] == f"{c} {'-' if r['doc_id'] is None else r['doc_id']}" for r in kept for c in inside), name
+        assert sorted(map(repr, as_rows(out))) == sorted(map(repr, as_rows(stage(spark, df, "")))), name
+    assert P.byte_bpe(spark, wide, "").count() == len(rows)
+
+
 @pytest.mark.parametrize("lang", [None, "und"])
 def test_language_id_without_a_model(spark, docs, lang):
     """Labels that teach nothing, or only 'und', and labelled rows that are all held out cost no document."""
