@@ -11,17 +11,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featloom.llm import bpe, jaccard, langid, linededup, mixing
-from featloom.llm.common import read, staged
+from featloom.llm.common import fresh, read, staged
 from featloom.session import scratch_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter, whatever the input's labels allow to learn."""
+    """Documents with a letter, whatever the input's labels allow to learn; one without a label gets the predicted one."""
     automata = langid.learn(docs.where(~langid.held_out()))
-    known = langid.predict(docs, automata, lang_col="_lang", score_col="_score", letter_col="_letter")
-    return known.where("_letter").select(*docs.columns)
+    lang, score, letter = fresh(docs, "lang_pred", "lang_score", "has_letter")
+    known = langid.predict(docs, automata, lang_col=lang, score_col=score, letter_col=letter).where(F.col(letter))
+    filled = F.coalesce(F.col("lang"), F.when(F.col(lang) != langid.UNKNOWN_LANGUAGE, F.col(lang)))
+    return known.select(*[filled.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     without words are near nothing, so those without an id stay all.
     """
     found = staged(jaccard.surplus(docs), "surplus")
-    marked = docs.withColumn("_digest", jaccard.text_digest())
-    key = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
+    digest, id_, of = fresh(docs, "text_digest", "surplus_id", "surplus_of")
+    marked = docs.withColumn(digest, jaccard.text_digest())
+    key = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(of))
 
     def named(rows):
-        return rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of"))
+        return rows.select(F.col("doc_id").alias(id_), F.col("digest").alias(of))
 
     kept = marked.join(named(found), key, "left_anti").select(*docs.columns)
     repeated = found.where("stays")
