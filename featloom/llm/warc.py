@@ -14,8 +14,11 @@ of the pages are not archived. An empty table gives an empty archive.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from featloom.llm.common import partitions, staged
 from featloom.session import scratch_dir
 
 #: Stated in every record: when the archive was made is not a property of the pages.
@@ -78,30 +81,35 @@ def headers(pages: DataFrame, smallest: int = 0, id_col: str = "page_id", url_co
 
 
 def write(pages: DataFrame, folder: str, smallest: int = 0, id_col: str = "page_id", url_col: str = "url",
-          html_col: str = "html") -> None:
-    """Write the archive of `pages` to `folder`."""
+          html_col: str = "html") -> str:
+    """Write the archive of `pages` to `folder`; gives the name of a table of this session over the payloads.
+
+    Payloads lie in buckets of their digests: read as that table they meet the headers where they lie.
+    """
     headers(pages, smallest, id_col, url_col, html_col).write.parquet(f"{folder}/headers")
     payload = payload_of(F.col(html_col))
+    table = f"warc_payloads_{uuid.uuid4().hex}"
     # copies go where the rows are read, and once more where equal digests meet
     (pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload"))
      .groupBy("digest").agg(F.first("payload").alias("payload"))
-     .write.parquet(f"{folder}/payloads"))
+     .write.bucketBy(partitions(pages.sparkSession), "digest").option("path", f"{folder}/payloads").saveAsTable(table))
+    return table
 
 
-def payloads(spark: SparkSession, folder: str) -> DataFrame:
+def payloads(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
     """digest, payload; every payload is checked against its address."""
-    stored = spark.read.parquet(f"{folder}/payloads")
+    stored = spark.table(table) if table else spark.read.parquet(f"{folder}/payloads")
     return stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload"))
                              .otherwise(F.raise_error(F.concat(F.lit("payload does not match "), "digest")).cast("binary")))
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, record: every record byte for byte; a revisit ends after its HTTP head."""
+def records(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
+    """page_id, digest, record: every record byte for byte; a revisit ends after its HTTP head."""
     heads = spark.read.parquet(f"{folder}/headers")
-    own = heads.where("stored").join(payloads(spark, folder), "digest", "left")
+    own = heads.where("stored").join(payloads(spark, folder, table), "digest", "left")
     end = F.lit(CRLF * 2).cast("binary")
-    return (own.select("page_id", F.concat("header", "payload", end).alias("record"))
-            .unionByName(heads.where("NOT stored").select("page_id", F.concat("header", end).alias("record"))))
+    return (own.select("page_id", "digest", F.concat("header", "payload", end).alias("record"))
+            .unionByName(heads.where("NOT stored").select("page_id", "digest", F.concat("header", end).alias("record"))))
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,36 +123,63 @@ def _field(header: Column, name: str) -> Column:
     return F.when(value != "", value)
 
 
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, as the stored bytes tell.
+def _head(data: Column) -> Column:
+    """Text up to the first empty line, which belongs to it."""
+    text = data.cast("string")
+    return F.substring(text, F.lit(1), F.instr(text, CRLF * 2) + 3)
+
 
-    Types and references are parsed from the header blocks; sizes and digests are computed from the stored
-    payloads, once for each, and joined to the records by address.
+def parsed(records: DataFrame) -> DataFrame:
+    """page_id, digest, record_type, record_id, refers, payload_bytes, payload_digest: what whole records say.
+
+    A record is cut into its fields, its HTTP head and its payload; it must be as long as its fields state and end in
+    an empty line, and a response's payload must have the digest that they state. A revisit has no payload; its
+    digest is the stated one, its number of bytes is null.
     """
-    heads = spark.read.parquet(f"{folder}/headers")
-    text = F.col("header").cast("string")
-    parsed = heads.select("page_id", "digest", _field(text, "WARC-Type").alias("record_type"),
-                          _field(text, "WARC-Record-ID").alias("record_id"), _field(text, "WARC-Refers-To").alias("refers"),
-                          F.regexp_extract(_field(text, "WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("stated"))
-    facts = payloads(spark, folder).select("digest", F.length("payload").cast("bigint").alias("payload_bytes"),
-                                           base32(F.sha1("payload")).alias("payload_digest"))
+    whole = records.withColumn("fields", _head(F.col("record")))
+    size = F.octet_length("fields")
+    whole = whole.withColumn("block", F.substring("record", size + 1, F.length("record") - size - 4))
+    stated = F.regexp_extract(_field(F.col("fields"), "WARC-Payload-Digest"), "^sha1:(.*)$", 1)
+    fits = (_field(F.col("fields"), "Content-Length").cast("bigint") == F.length("block")) & (
+        F.substring("record", F.length("record") - 3, F.lit(4)) == F.lit(CRLF * 2).cast("binary"))
+    kind = F.when(fits, _field(F.col("fields"), "WARC-Type")).otherwise(
+        F.raise_error(F.lit("a record is not as long as it states")).cast("string"))
+    http = F.octet_length(_head(F.col("block")))
+    payload = F.substring("block", http + 1, F.length("block") - http)
+    is_response = F.col("record_type") == "response"
+    told = whole.select("page_id", "digest", kind.alias("record_type"), _field(F.col("fields"), "WARC-Record-ID").alias("record_id"),
+                        _field(F.col("fields"), "WARC-Refers-To").alias("refers"), stated.alias("stated"), payload.alias("payload"))
+    told = told.select("*", F.when(is_response, base32(F.sha1("payload"))).alias("found"),
+                       F.when(is_response, F.length("payload").cast("bigint")).alias("payload_bytes"))
+    checked = F.when(F.col("found").isNull() | (F.col("found") == F.col("stated")), F.col("stated")).otherwise(
+        F.raise_error(F.lit("a header states another digest")).cast("string"))
+    return told.select("page_id", "digest", "record_type", "record_id", "refers", "payload_bytes", checked.alias("payload_digest"))
+
+
+def read_back(spark: SparkSession, folder: str, table: str | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, as the rebuilt records tell.
+
+    Every record is rebuilt and taken apart once; what it says is small, and written. A revisit has its bytes and
+    its page from the response that it refers to, or, if that has no id, from the one of its payload.
+    """
+    told = staged(parsed(records(spark, folder, table)), "records")
     # at most one response row of a payload has the name that its revisits give
-    named = (parsed.where("record_type = 'response'").groupBy("digest")
-             .agg(F.min(F.struct("page_id", "record_id")).alias("response")))
-    facts = facts.join(named, "digest", "left")
+    facts = (told.where("record_type = 'response'").groupBy("digest")
+             .agg(F.min(F.struct("page_id", "record_id")).alias("response"), F.first("payload_bytes").alias("bytes")))
     found = F.when(F.col("refers") == F.col("response.record_id"), F.col("response.page_id"))
-    return parsed.join(facts, "digest").select(
-        "page_id", "payload_bytes",
-        F.when(F.col("stated") == F.col("payload_digest"), F.col("payload_digest"))
-        .otherwise(F.raise_error(F.lit("a header states another digest")).cast("string")).alias("payload_digest"),
-        "record_type", found.alias("refers_to"))
+    return told.join(facts, "digest").select(
+        "page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), "payload_digest", "record_type",
+        found.alias("refers_to"))
 
 
 def archive(pages: DataFrame, smallest: int = 0) -> DataFrame:
-    """Write the pages to a new archive in the shared folder and read it back."""
-    folder = scratch_dir(pages.sparkSession, "warc")
-    write(pages, folder, smallest)
-    return read_back(pages.sparkSession, folder)
+    """Write the pages to a new archive in the shared folder, rebuild all records and read them back."""
+    folder, spark = scratch_dir(pages.sparkSession, "warc"), pages.sparkSession
+    table = write(pages, folder, smallest)
+    try:
+        return read_back(spark, folder, table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")  # the files stay, the session forgets them
 
 
 ORACLE = """

@@ -62,6 +62,32 @@ def test_damaged_payload_fails(pages, tmp_path, spark):
         warc.payloads(spark, f"{tmp_path}/b").collect()
 
 
+def test_records_that_do_not_fit_fail(pages, tmp_path, spark):
+    """A record of another length, or with another payload than it states."""
+    from pyspark.sql import functions as F
+    folder = str(tmp_path / "a")
+    warc.write(pages[1], folder)
+    whole = warc.records(spark, folder)
+    assert warc.parsed(whole).count() == len(pages[0])
+    for change, message in ((F.concat("record", F.lit(b"\r\n\r\n")), "as long as"), (F.expr("substring(record, 1, length(record) - 1)"), "as long as"),
+                            (F.expr("cast(replace(cast(record as string), 'same', 'none') as binary)"), "another digest")):
+        with pytest.raises(Exception, match=message):
+            warc.parsed(whole.withColumn("record", change)).collect()
+
+
+def test_payloads_meet_headers_where_they_lie(pages, tmp_path, spark):
+    """The join that rebuilds records moves header blocks only."""
+    folder = str(tmp_path / "a")
+    table = warc.write(pages[1], folder)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = warc.records(spark, folder, table)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {table}")
+
+
 def test_small_payloads_are_not_shared(pages):
     got = {r["record_type"] for r in warc.archive(pages[1], smallest=12).where("payload_bytes < 12").collect()}
     assert got == {"response"}
