@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featloom.llm.common import small_batches
+from featloom.llm.common import lean, small_batches
 
 #: The code point of byte 0.
 FIRST = 0x100
@@ -140,7 +140,7 @@ def _with(df: DataFrame, column: str, to: list[str], make) -> DataFrame:
             out = [pa.array(x, pa.binary()) for x in f(batch.column(place).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *to])
 
-    return small_batches(df).mapInArrow(run, df.select("*", *[F.lit(b"").alias(c) for c in to]).schema)
+    return small_batches(df).mapInArrow(lambda batches: lean(run(batches)), df.select("*", *[F.lit(b"").alias(c) for c in to]).schema)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featloom.llm.common import bucket_cuts, offsets_in, pack, partitions, shard_of, small_batches, staged, unpack
+from featloom.llm.common import bucket_cuts, lean, lean_table, offsets_in, pack, partitions, shard_of, small_batches, staged, unpack
 from featloom.llm.graph import components
 from featloom.llm.shingles import shingle_sets
 
@@ -79,7 +79,7 @@ def members(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
                                    "n": pa.array(np.diff(ends, prepend=0), pa.int64()),
                                    "sid": pa.array(set_ids(sets, ends), pa.int64())}
                                   | ({"digest": b.column("digest")} if digests else {}))
-    return small_batches(texts).mapInArrow(run, "doc_id bigint, shard int, n bigint, sid bigint" + (", digest bigint" if digests else ""))
+    return small_batches(texts).mapInArrow(lambda batches: lean(run(batches)), "doc_id bigint, shard int, n bigint, sid bigint" + (", digest bigint" if digests else ""))
 
 
 # Counts of shingles travel as packed offsets (common.pack); they only decide an order.
@@ -176,11 +176,11 @@ def index(docs: DataFrame, sets: DataFrame, id_col: str = "doc_id", text_col: st
                          "text": pa.array([compress((own_texts[i] or "").encode()) for i in kept], pa.binary())}, kinds)
         return pa.concat_tables([entries, held])
 
-    counts = texts.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(count, _COUNTS)
+    counts = texts.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(lambda t, o: lean_table(count(t, o)), _COUNTS)
     totals = counts.groupBy("bucket").applyInArrow(add, _ANSWER)
     names = owned.select("shard", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "owned")
     answers = totals.unionByName(names)
-    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(enter, _ENTRIES)
+    return texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(lambda t, a: lean_table(enter(t, a)), _ENTRIES)
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -202,7 +202,7 @@ def overlaps(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
                 "shared": pa.array([len(np.intersect1d(i, j, assume_unique=True)) for i, j in both], pa.int64())})
     held = (pairs.join(texts.select(F.col("sid").alias("x"), F.col("text").alias("x_text")), "x")
             .join(texts.select(F.col("sid").alias("y"), F.col("text").alias("y_text")), "y"))
-    return small_batches(held.select("x", "y", "x_text", "y_text")).mapInArrow(run, "x bigint, y bigint, n bigint, m bigint, shared bigint")
+    return small_batches(held.select("x", "y", "x_text", "y_text")).mapInArrow(lambda batches: lean(run(batches)), "x bigint, y bigint, n bigint, m bigint, shared bigint")
 
 
 def _fits(n: str, m: str) -> str:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from featloom.llm.common import small_batches
+from featloom.llm.common import lean, small_batches
 
 SAMPLE_DOCS, SHORT, SAMPLE_CHARS = 64, 4_000, 24_000
 PIECE = 256
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, automata: list[Automaton], text_col: str = "text",
 
     added = {lang_col: F.lit(""), score_col: F.lit(0.0)} | ({letter_col: F.lit(True)} if letter_col else {})
     schema = docs.select("*", *[value.alias(name) for name, value in added.items()]).schema
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(lambda batches: lean(run(batches)), schema)
 
 
 def held_out(id_col: str = "doc_id"):
