@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featloom.session import prepare, scratch_dir
@@ -42,18 +41,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def lean(batches):
-    """`batches` of a Python task; once they are told, unused Arrow memory goes back, since the worker goes on to other tasks."""
-    yield from batches
-    pa.default_memory_pool().release_unused()
-
-
-def lean_table(table: pa.Table) -> pa.Table:
-    """The same for the table of a group, which may be one of many that a task has."""
-    pa.default_memory_pool().release_unused()
-    return table
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
