@@ -8,8 +8,8 @@ blank. The text is parsed whole, in pieces of `PIECE` characters, so that all pi
 step through the automaton together.
 
 The sample: up to `SAMPLE_DOCS` documents of each label in the order of a hash of their text, short ones
-first, cut at `SAMPLE_CHARS` characters of the label. Labels are a few and the sample is what the driver
-sees. Rows with a null label or without letters are not learned from.
+first, cut at `SAMPLE_CHARS` characters of the label. The sample is what the driver sees; more than
+`MOST_LABELS` labels are an error. Rows with a null label or without letters are not learned from.
 
 Null text, and text without a letter, is `und` with score 0, and so is every text if nothing was learned; a
 third column tells whether a text has a letter, whatever was learned.
@@ -20,6 +20,7 @@ the best to the second-best entropy. Every row is predicted on its own, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,15 @@ from featloom.llm.common import small_batches
 SAMPLE_DOCS, SHORT, SAMPLE_CHARS = 64, 4_000, 24_000
 PIECE = 256
 #: Characters of texts that are parsed together.
-GROUP = 1_000_000
+GROUP = 500_000
 UNKNOWN_LANGUAGE = "und"
-NEW_PHRASE = np.uint32(1 << 31)
+#: Most labels that are learned; more are an error, since every machine holds all automata.
+MOST_LABELS = 256
+#: Places that are looked at together for a row of steps.
+_WINDOW = 2048
 
 
+@cache
 def letter_table() -> np.ndarray:
     """Code point -> lower-cased letter, 0 for all that is no letter."""
     table = np.zeros(0x110000, np.uint32)
@@ -63,10 +68,11 @@ def normalised(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Automaton:
-    """The suffix automaton of one sample, as a dense table of steps.
+    """The suffix automaton of one sample, with all steps of all states in three arrays.
 
-    `steps[state * width + code]` is the next state, with the bit `NEW_PHRASE` where the match ends and a new
-    phrase starts with this character.
+    The step of a state for a code lies at `at = base[state] + code` if `owner[at]` is the state, and leads to
+    `follow[at]`. Without a step the match ends: a new phrase starts with this character at `root[code]`. The
+    arrays grow with the sample, not with its alphabet.
     """
 
     def __init__(self, label: str, sample: np.ndarray):
@@ -100,16 +106,10 @@ class Automaton:
                         at = links[at]
                     links[target] = links[current] = split
             last = current
-        root = np.full(self.width, NEW_PHRASE, np.uint32)
+        self.root = np.zeros(self.width, np.int32)
         for code, to in edges[0].items():
-            root[code] = to
-        steps = np.tile(root | NEW_PHRASE, (len(edges), 1))
-        for state, out in enumerate(edges):
-            if out:
-                steps[state, list(out)] = list(out.values())
-        steps[:, self.width - 1] = np.arange(len(edges))
-        self.steps = (steps & NEW_PHRASE) | ((steps & ~NEW_PHRASE) * np.uint32(self.width))
-        self.steps = self.steps.ravel()
+            self.root[code] = to
+        self.base, self.owner, self.follow = _packed(edges, self.width)
 
     def codes(self, letters: np.ndarray) -> np.ndarray:
         table = np.zeros(0x110000, np.uint8 if self.width < 256 else np.uint16)
@@ -117,14 +117,65 @@ class Automaton:
         return table[letters]
 
     def phrases(self, pieces: np.ndarray) -> np.ndarray:
-        """Phrases of every piece; `pieces` is characters x pieces, in codes."""
-        state = np.zeros(pieces.shape[1], np.uint32)
-        count = np.zeros(pieces.shape[1], np.uint32)
-        for row in pieces:
-            state = self.steps[state + row]
-            count += state >> np.uint32(31)
-            state &= ~NEW_PHRASE
-        return count + 1
+        """Phrases of every piece; `pieces` is characters x pieces, in codes, short ones filled with the last code."""
+        lengths = (pieces != self.width - 1).sum(axis=0)
+        order = np.argsort(-lengths, kind="stable")
+        pieces = pieces[:, order]
+        # pieces that are not over yet come first
+        going = len(order) - np.searchsorted(lengths[order][::-1], np.arange(len(pieces)), side="right")
+        # numbers of the machine's index width are taken without a conversion
+        base, owner, follow, root = (x.astype(np.intp) for x in (self.base, self.owner, self.follow, self.root))
+        state = np.zeros(len(order), np.intp)
+        ended = np.zeros(len(order), np.int32)
+        for codes, n in zip(pieces, going.tolist()):
+            if not n:
+                break
+            own, codes = state[:n], codes[:n]
+            at = base.take(own)
+            at += codes
+            miss = owner.take(at) != own
+            follow.take(at, out=own, mode="clip")
+            np.copyto(own, root.take(codes), where=miss)
+            ended[:n] += miss
+        counts = np.empty_like(ended)
+        counts[order] = ended + 1
+        return counts
+
+
+def _packed(edges: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`base`, `owner`, `follow`: rows of steps laid over each other so that no two steps share a place.
+
+    Rows with most steps go first, each to the first free place where it fits; rows of one step fill the gaps.
+    """
+    free = np.ones(2 * width + 2 * sum(map(len, edges)) + _WINDOW, bool)
+    free[:width] = False  # so that no base is negative
+    base = np.zeros(len(edges), np.int32)
+    start = width
+    for state in sorted((s for s, out in enumerate(edges) if len(out) > 1), key=lambda s: -len(edges[s])):
+        codes = np.array(sorted(edges[state]))
+        at, found = start, None
+        while found is None:
+            if at + _WINDOW + width > len(free):
+                free = np.concatenate((free, np.ones(len(free), bool)))
+            bases = at + np.flatnonzero(free[at:at + _WINDOW]) - codes[0]
+            fits = np.flatnonzero(free[bases[:, None] + codes].all(axis=1))
+            if len(fits):
+                found = int(bases[fits[0]])
+            else:
+                at = start = at + _WINDOW
+        base[state] = found
+        free[found + codes] = False
+    single = [s for s, out in enumerate(edges) if len(out) == 1]
+    gaps = np.flatnonzero(free)[:len(single)]
+    if len(gaps) < len(single):
+        gaps = np.concatenate((gaps, np.arange(len(free), len(free) + len(single) - len(gaps))))
+    base[single] = gaps - np.array([next(iter(edges[s])) for s in single], np.int64)
+    size = int(base.max(initial=0)) + width
+    owner, follow = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    for state, out in enumerate(edges):
+        for code, to in out.items():
+            owner[base[state] + code], follow[base[state] + code] = state, to
+    return base, owner, follow
 
 
 def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
@@ -134,7 +185,10 @@ def learn(docs: DataFrame, label_col: str = "lang", text_col: str = "text", samp
     labelled = labelled.where(r"label IS NOT NULL AND rlike(text, '\\p{L}')")
     order = Window.partitionBy("label").orderBy(F.length("text") > SHORT, F.xxhash64("text"), "text")
     sample = (labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
-              .select("label", "place", F.substring("text", 1, sample_chars).alias("text")).collect())
+              .select("label", "place", F.substring("text", 1, sample_chars).alias("text"))
+              .limit(MOST_LABELS * sample_docs + 1).collect())
+    if len({row["label"] for row in sample}) > MOST_LABELS or len(sample) > MOST_LABELS * sample_docs:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     letters = letter_table()
     texts: dict[str, list[tuple[int, str]]] = {}
     for label, place, text in sample:
@@ -166,6 +220,7 @@ class Parser:
         doc = np.repeat(np.arange(len(texts)), sizes)
         within = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
         row, column = within % PIECE, first[doc] + within // PIECE
+        del doc, within
         total = int(pieces.sum())
         entropy = np.empty((len(self.automata), len(texts)))
         for i, a in enumerate(self.automata):

@@ -91,3 +91,24 @@ def test_nothing_to_learn(docs):
     assert langid.identify(df.limit(0)).count() == 0
     single = docs([(i, "words of one language", "en") for i in range(8)])
     assert {r["score"] for r in langid.identify(single).collect()} == {1.0}
+
+
+def test_large_alphabet_stays_small():
+    r = np.random.default_rng(3)
+    sample = (0x4E00 + r.zipf(1.2, 24_000) % 2_900).astype(np.uint32)
+    a = langid.Automaton("zh", sample)
+    assert a.width > 2_000
+    assert sum(x.nbytes for x in (a.base, a.owner, a.follow, a.root)) < 2_000_000
+    known, text = "".join(map(chr, sample)), (0x4E00 + r.zipf(1.2, 700) % 3_000).astype(np.uint32)
+    pieces = [text[i:i + langid.PIECE] for i in range(0, len(text), langid.PIECE)]
+    matrix = np.full((langid.PIECE, len(pieces)), a.width - 1, np.uint16)
+    for i, piece in enumerate(pieces[::-1]):
+        matrix[:len(piece), i] = a.codes(piece)
+    assert a.phrases(matrix).sum() == phrases_by_hand(known, "".join(map(chr, text)), langid.PIECE)
+
+
+def test_too_many_labels_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LABELS", 3)
+    assert len(langid.learn(docs([(i, "some words", f"l{i % 3}") for i in range(9)]))) == 3
+    with pytest.raises(ValueError):
+        langid.learn(docs([(i, "some words", f"l{i % 4}") for i in range(9)]))
