@@ -71,8 +71,8 @@ class Automaton:
     """The suffix automaton of one sample, with all steps of all states in three arrays.
 
     The step of a state for a code lies at `at = base[state] + code` if `owner[at]` is the state, and leads to
-    `follow[at]`. Without a step the match ends: a new phrase starts with this character at `root[code]`. The
-    arrays grow with the sample, not with its alphabet.
+    `follow[at]`. Without a step a new phrase starts with this character at `root[code]`; a character that the
+    sample lacks is a phrase of its own. The arrays grow with the sample, not with its alphabet.
     """
 
     def __init__(self, label: str, sample: np.ndarray):
@@ -106,7 +106,10 @@ class Automaton:
                         at = links[at]
                     links[target] = links[current] = split
             last = current
-        self.root = np.zeros(self.width, np.int32)
+        # the state without steps: before a piece, and behind a character that the sample lacks
+        self.outside = len(edges)
+        edges.append({})
+        self.root = np.full(self.width, self.outside, np.int32)
         for code, to in edges[0].items():
             self.root[code] = to
         self.base, self.owner, self.follow = _packed(edges, self.width)
@@ -125,8 +128,8 @@ class Automaton:
         going = len(order) - np.searchsorted(lengths[order][::-1], np.arange(len(pieces)), side="right")
         # numbers of the machine's index width are taken without a conversion
         base, owner, follow, root = (x.astype(np.intp) for x in (self.base, self.owner, self.follow, self.root))
-        state = np.zeros(len(order), np.intp)
-        ended = np.zeros(len(order), np.int32)
+        state = np.full(len(order), self.outside, np.intp)
+        begun = np.zeros(len(order), np.int32)
         for codes, n in zip(pieces, going.tolist()):
             if not n:
                 break
@@ -136,9 +139,9 @@ class Automaton:
             miss = owner.take(at) != own
             follow.take(at, out=own, mode="clip")
             np.copyto(own, root.take(codes), where=miss)
-            ended[:n] += miss
-        counts = np.empty_like(ended)
-        counts[order] = ended + 1
+            begun[:n] += miss
+        counts = np.empty_like(begun)
+        counts[order] = begun
         return counts
 
 
