@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from featloom.catalog.base import (
     ORDERS_AS_OF, SQL_CUSTOMERS, SQL_ITEMS, SQL_PRODUCTS, SQL_PURCHASES, Tables, query,
 )
 from featloom.operators import latest
-from featloom.plans import batch_features, documents, feature_store
+from featloom.plans import batch_features, documents, feature_store, rolling
+from featloom.session import scratch_dir
 
 CATEGORIES = {"ECONOMY": "economy_purchases", "SMALL": "small_purchases"}
 NOW = f"TIMESTAMP '{ORDERS_AS_OF}'"
@@ -44,6 +48,24 @@ def customer_features_keep_inactive(t: Tables) -> DataFrame:
     return batch_features.customer_features(t.customers(), t.purchases(), ORDERS_AS_OF, 30, keep_inactive=True)
 
 
+LAST_DAYS = [f"2001-{d}" for d in ("07-31", "08-01", "08-02")]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{day}' AS as_of, * FROM (" + _customer_sql(f"AND p.created_at < {NOW}", f"WHERE p.{SINCE_30} OR p.created_at IS NULL")
+    .replace(ORDERS_AS_OF, f"{day} 00:00:00") + ")" for day in LAST_DAYS))
+def rolling_customer_features(t: Tables) -> DataFrame:
+    """Features as of three days in a row, each from the day before and one day of purchases."""
+    ends = [dt.date.fromisoformat(day) for day in LAST_DAYS]
+    state = rolling.RollingCustomers.start(t.purchases(), scratch_dir(t.spark, "rolling"), ends[0] - dt.timedelta(2), buckets=4)
+    out = []
+    for end in ends:
+        day = end - dt.timedelta(1)
+        state.advance(t.purchases().where(F.to_date("created_at") == F.lit(day)), day)
+        out.append(state.features(t.customers()).select(F.lit(end.isoformat()).alias("as_of"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _product_sql(items: str, where: str) -> str:
     return f"""
 WITH p AS (SELECT p.product_id, p.price, p.created_at AS product_created_at, i.purchase_id, i.quantity,

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from featloom.catalog.base import EVENTS_AS_OF, SQL_LOG, Tables, query
 from featloom.operators import intervals, keys as K
 from featloom.plans import changes as C, maintain, star
+from featloom.session import scratch_dir
+from featloom.sinks.keyed import KeyedTable
 
 ROW = T.StructType([
     T.StructField("order_id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -316,3 +318,13 @@ def retention_facts(t: Tables) -> DataFrame:
     kept = maintain.retain_feature_values(rows, "2024-04-10 00:00:00").select(F.lit("feature").alias("kind"), "event_id")
     return kept.unionByName(maintain.retain_predictions(rows, "2024-02-10 00:00:00")
                             .select(F.lit("prediction").alias("kind"), "event_id"))
+
+
+@query("SELECT event_id, ts AS created_at FROM events WHERE ts >= TIMESTAMP '2024-01-31 09:30:00' - INTERVAL 15 DAY")
+def retention_partitions(t: Tables) -> DataFrame:
+    """Events in a table laid out by day: expired days leave unread, the day of the cut is rewritten."""
+    rows = t.events().select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", F.col("ts").alias("created_at"))
+    table = KeyedTable.create(t.spark, scratch_dir(t.spark, "retention"), rows.schema, ["day", "event_id"], buckets=1, leading="day")
+    table.write(rows)
+    maintain.retire(table, "created_at", 15, "2024-01-31 09:30:00")
+    return table.scan().drop("day")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from featloom.catalog.base import EVENTS_AS_OF, Tables, query
-from featloom.plans import drift, profile, quality as Q
+from featloom.plans import drift, profile, profile_state, quality as Q
+from featloom.session import scratch_dir
 
 SPLIT = "TIMESTAMP '2024-01-16'"
 
@@ -138,6 +139,28 @@ def profile_events(t: Tables) -> DataFrame:
     return _readable(profile.profile(t.events(), ["value", "user_id"]))
 
 
+#: Column -> digits of mean and deviation that are compared; None for texts.
+ADDED = {"l_quantity": 8, "l_extendedprice": 4, "l_discount": 8, "l_returnflag": None}
+
+
+def _added_sql(c: str, digits: int | None) -> str:
+    numbers = (f"MIN({c})", f"MAX({c})", f"ROUND(AVG({c}), {digits})", f"ROUND(STDDEV_SAMP({c}), {digits})")
+    low, high, mean, stddev = numbers if digits else ("CAST(NULL AS DOUBLE)",) * 4
+    return f"""SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT({c}) AS "values", {low} AS min, {high} AS max,
+{mean} AS mean, {stddev} AS stddev, 0e0 AS missing_percentage FROM lineitem"""
+
+
+@query(" UNION ALL ".join(_added_sql(c, digits) for c, digits in ADDED.items()))
+def profile_batches(t: Tables) -> DataFrame:
+    """The profile of three batches from what each of them left, one batch being told twice."""
+    state = profile_state.ProfileState.create(t.spark, scratch_dir(t.spark, "profile"))
+    for batch in (0, 1, 1, 2):
+        state.add(t.raw("lineitem").where(F.pmod("l_orderkey", F.lit(3)) == batch), list(ADDED), batch)
+    def shown(c: str):
+        return F.coalesce(*[F.when(F.col("column_name") == name, F.round(c, digits)) for name, digits in ADDED.items() if digits]).alias(c)
+    return state.profile().select("column_name", "n_rows", "values", "min", "max", shown("mean"), shown("stddev"), "missing_percentage")
+
+
 @query("""SELECT 'event_type' AS column_name, COUNT(DISTINCT event_type) AS unique_count, 0e0 AS missing_percentage FROM events
 UNION ALL SELECT 'props', COUNT(DISTINCT props), 0e0 FROM events
 UNION ALL SELECT 'big', COUNT(DISTINCT event_id), 0e0 FROM events

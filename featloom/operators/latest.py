@@ -23,7 +23,10 @@ def top_n_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     holds much of the data sends only `n` rows per task.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    place = "_place"
+    while place in (c.lower() for c in df.columns):
+        place += "_"
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n).drop(place)
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str],

@@ -42,6 +42,12 @@ def customer_features(customers: DataFrame, purchases: DataFrame, as_of: Instant
         F.count(in_window("amount")).alias("_amounts"),
         F.max(in_window("created_at")).alias("_last"),
         F.count_if(recent).alias("_kept"))
+    return customer_rows(customers, spent, as_of, lookback_days, keep_inactive)
+
+
+def customer_rows(customers: DataFrame, spent: DataFrame, as_of: Instant, lookback_days: int, keep_inactive: bool = False) -> DataFrame:
+    """Features from `spent`, the purchases of the lookback reduced to one row per customer: `_n`, `_total`,
+    `_amounts`, `_last`, and `_kept`, the number of purchases of the lookback."""
     people = customers.groupBy("customer_id").agg(
         F.min("created_at").alias("_created"), F.count(F.lit(1)).alias("_copies"))
     both = people.join(spent, "customer_id", "left")

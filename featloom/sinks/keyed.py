@@ -13,6 +13,7 @@ Bloom filters on the keys.
 * Of rows of one key the one with the greatest order columns counts, then the latest written. Buckets with a
   single folder are read without merging.
 * Compaction rewrites the buckets that have many folders, and no others.
+* Leading values below a bound leave by their log lines alone; rows of the bound itself are rewritten.
 
 A version is there once its log entry is: entries are written beside the log and moved into it without
 replacing one, so a writer that comes second fails and a broken write stays invisible. A write may carry the name of
@@ -206,6 +207,26 @@ class KeyedTable:
         self._commit(replace(v, number=number, folders=tuple(f for f in v.folders if f.path not in old) + tuple(new)))
         return number
 
+    def drop_before(self, leading: str, keep: Column | None = None) -> int:
+        """Take away all rows whose leading value, as text, sorts before `leading`, without reading them.
+
+        Of the rows of `leading` itself those that do not meet `keep` go; only they are rewritten. Rows without a
+        leading value stay.
+        """
+        v = self.version()
+        if v.leading is None:
+            raise ValueError(f"{self.path} has no leading column")
+        rest = tuple(f for f in v.folders if not f.part or f.part >= leading)
+        edge = [f for f in rest if f.part == leading] if keep is not None and leading else []
+        if len(rest) == len(v.folders) and not edge:
+            return v.number
+        number, new = v.number + 1, []
+        if edge:
+            new = self._write_folders(self._merged(v, edge).where(F.col("_gone") | keep), v, number, whole=True)
+            rest = tuple(f for f in rest if f.part != leading)
+        self._commit(replace(v, number=number, folders=rest + tuple(new)))
+        return number
+
     def forget(self, versions: int = 1) -> int:
         """Delete all but the newest log entries and the data that they do not name; gives the number of deleted folders.
 
