@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featloom.session import prepare, scratch_dir
@@ -41,6 +45,26 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return the unused memory of a Python worker to the machine; the worker goes on to other tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the C library of GNU systems has it
+    if trim:
+        trim(0)
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a Python task, which gives unused memory back at its end."""
+    yield from batches
+    give_back()
+
+
+def lean_table(table: pa.Table) -> pa.Table:
+    """The same for the table of a group, of which a task may have many."""
+    give_back()
+    return table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 from featloom.llm.common import mix64
 
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Bytes of texts that are hashed together.
-GROUP = 1_000_000
-#: Powers that a task keeps for the next group.
+GROUP = 250_000
+#: Most powers that a task keeps for the next group.
 KEPT = 1 << 21
 
 
@@ -20,9 +18,8 @@ BLANK = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-@functools.cache
-def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
-    return _new_powers(KEPT)
+#: The powers that a task has kept so far.
+_kept: list[np.ndarray] = []
 
 
 def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +29,11 @@ def _new_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """At least `size` powers of BASE and of its inverse."""
-    return _kept_powers() if size <= KEPT else _new_powers(size)
+    if size > KEPT:
+        return _new_powers(size)
+    if not _kept or len(_kept[0]) < size:
+        _kept[:] = _new_powers(1 << max(0, size - 1).bit_length())
+    return _kept[0], _kept[1]
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
