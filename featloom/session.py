@@ -45,18 +45,24 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 #: Scratch folders that this process made and has not cleared.
 _MADE: list[str] = []
+#: Folders that were found to be shared, by application.
+_TRIED: set[tuple[str, str]] = set()
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for stream checkpoints, sink tables and written stages, which all machines see.
 
-    It lies under `spark.checkpoint.dir`, else under the warehouse. A path on one machine's
-    own disk is refused where executors run on other machines.
+    It lies under `spark.checkpoint.dir`, else under the warehouse. A `file:` path may be one machine's own disk or
+    a folder mounted on all of them, so where executors may run on other machines it is tried once, and refused
+    if the driver misses a file that a task wrote there.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{shared.rstrip('/')}/featloom-{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local") and _on_local_disk(spark, path):
-        raise ValueError(f"{shared} is a local folder; set spark.checkpoint.dir to one that all machines share")
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    path = f"{shared}/featloom-{purpose}-{uuid.uuid4().hex}"
+    app = (spark.sparkContext.applicationId, shared)
+    if app not in _TRIED and not spark.sparkContext.master.startswith("local") and _on_local_disk(spark, path):
+        if not _shared(spark, shared):
+            raise ValueError(f"{shared} is a local folder; set spark.checkpoint.dir to one that all machines share")
+        _TRIED.add(app)
     _MADE.append(path)
     return path
 
@@ -81,3 +87,13 @@ def _on_local_disk(spark: SparkSession, path: str) -> bool:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     scheme = urlparse(path).scheme or urlparse(conf.get("fs.defaultFS", "file:///")).scheme
     return scheme == "file"
+
+
+def _shared(spark: SparkSession, folder: str) -> bool:
+    """Whether the driver finds the files of all tasks that write to a folder."""
+    tried, tasks = f"{folder}/featloom-tried-{uuid.uuid4().hex}", spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).write.parquet(tried)
+    found = len(spark.read.schema("id bigint").parquet(tried).inputFiles())
+    path = spark._jvm.org.apache.hadoop.fs.Path(tried)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return found == tasks
