@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,6 +12,7 @@ from featloom.functions.values import VALUE_TYPES
 from featloom.operators.latest import upsert
 from featloom.operators.nesting import repeated
 from featloom.schemas import VERSIONS
+from featloom.session import written
 
 # Allowed values of a definition. The second line of a set holds values the
 # sample definitions use beyond the declared ones.
@@ -38,23 +40,28 @@ def _once(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """`rows` with status 409 instead of 201 on all but the first new row of a name.
 
     The first one has the least `order`; rows that it leaves equal go by their JSON text, and of copies one is
-    the first. Good rows of a name are counted and compared in every task before they meet, and copies are
-    counted, so a name that many rows share is no group of one task.
+    the first. `rows` are written, since several parts need them. Good rows are counted by name; only those of a name
+    that several share are compared, in every task before they meet, and copies are counted, so a name that many
+    rows share is no group of one task.
     """
+    rows = written(rows, "checked")
     good = F.col("status_code") == 201
     text = F.to_json(F.struct(*[c for c in rows.columns if c not in ("status_code", "reason", "missing")]))
     place = F.struct(*[F.col(c) for c in order], text)
-    names = (rows.filter(good).groupBy(F.col("name").alias("_name"))
-             .agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_rivals")).filter("_rivals > 1"))
-    met = rows.join(names, good & (F.col("name") == F.col("_name")), "left")
-    rival = F.col("_rivals").isNotNull()
-    first = F.coalesce(rival & (place == F.col("_first")), F.lit(False))
-    beaten = met.filter(~first).withColumn("_taken", rival)
-    same = met.filter(first).drop("_name", "_first", "_rivals")
-    one = same.groupBy(*rows.columns).agg((F.count(F.lit(1)) - 1).alias("_others"))
-    parts = [beaten.select(*rows.columns, "_taken"), one.select(*rows.columns, F.lit(False).alias("_taken")),
+    shared = (rows.filter(good).groupBy(F.col("name").alias("_name")).agg(F.count(F.lit(1)).alias("_rivals"))
+              .filter("_rivals > 1").select("_name"))
+    shared = written(shared, "shared-names")
+    named = F.col("name") == F.col("_name")
+    alone = rows.join(shared, good & named, "left_anti")
+    rivals = rows.filter(good).join(shared, named, "left_semi")
+    firsts = rivals.groupBy(F.col("name").alias("_name")).agg(F.min(place).alias("_first"))
+    met = rivals.join(firsts, named)
+    first = place == F.col("_first")
+    one = met.filter(first).groupBy(*rows.columns).agg((F.count(F.lit(1)) - 1).alias("_others"))
+    parts = [alone.select("*", F.lit(False).alias("_taken")), met.filter(~first).select(*rows.columns, F.lit(True).alias("_taken")),
+             one.select(*rows.columns, F.lit(False).alias("_taken")),
              repeated(one, "_others").select(*rows.columns, F.lit(True).alias("_taken"))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = reduce(DataFrame.unionByName, parts)
     return every.withColumn("status_code", F.when(F.col("_taken"), 409).otherwise(F.col("status_code")))
 
 
@@ -145,7 +152,9 @@ def check_groups(groups: DataFrame, registry: DataFrame, known_groups: DataFrame
     A name is taken by a known group, or by an earlier good row of the batch.
     """
     members = groups.select("name", F.explode("feature_names").alias("feature_name"))
-    absent = members.join(registry.select(F.col("name").alias("feature_name")), "feature_name", "left_anti")
+    # each name is looked up once, however many groups have it
+    nowhere = members.select("feature_name").distinct().join(registry.select(F.col("name").alias("feature_name")), "feature_name", "left_anti")
+    absent = members.join(nowhere, "feature_name", "left_semi")
     # an array no longer than the group's own list of names
     per_group = absent.groupBy("name").agg(F.array_sort(F.collect_set("feature_name")).alias("missing"))
     names = known_groups.select("name", F.lit(True).alias("_known"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -79,8 +79,10 @@ def clear_scratch(spark: SparkSession) -> int:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """`df` written to a scratch folder and read again, for what several parts of a plan need."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    filled = [f.name for f in df.schema if f.dataType != T.NullType()]  # Parquet has no column without a type
+    df.select(*[F.col(f"`{c}`") for c in filled]).write.parquet(path)
+    back = df.sparkSession.read.schema(T.StructType([df.schema[c] for c in filled])).parquet(path)
+    return back if len(filled) == len(df.columns) else back.select(*[F.col(f"`{c}`") if c in filled else F.lit(None).alias(c) for c in df.columns])
 
 
 def _on_local_disk(spark: SparkSession, path: str) -> bool:

@@ -188,3 +188,13 @@ def test_grains_share_one_read(spark):
     wrong = D.Definition("x", "customer", "FLOAT", ({"type": "avg", "field": "product_id"},))
     with pytest.raises(ValueError, match="cannot be merged"):
         D.compute_grains(df, [(["customer_id"], [wrong])])
+
+
+def test_groups_are_checked_once(spark):
+    """The names of all groups are looked up once, whatever parts of the batch the result is made of."""
+    groups = spark.createDataFrame([("a", ["f", None]), ("a", ["f"]), ("b", ["g", "f"]), (None, ["f"]), (None, ["f"])],
+                                   "name string, feature_names array<string>")
+    checked = R.check_groups(groups, spark.createDataFrame([("f",)], "name string"), spark.createDataFrame([], "name string"))
+    assert "explode(feature_names" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["name"] or "", r["missing"] or [], r["status_code"]) for r in checked.collect()) == [
+        ("", [], 201), ("", [], 201), ("a", [], 201), ("a", [], 409), ("b", ["g"], 404)]

@@ -32,3 +32,9 @@ def test_a_folder_where_files_of_tasks_are_missing_is_refused(spark, remote, mon
     with pytest.raises(ValueError, match="share"):
         session.scratch_dir(spark, "lost")
     assert not [f for f in os.listdir(spark.conf.get("spark.checkpoint.dir")) if "tried" in f]
+
+
+def test_columns_without_a_type_are_kept(spark):
+    df = spark.sql("SELECT null AS n, 1 AS `a.b`")
+    back = session.written(df, "void")
+    assert back.dtypes == df.dtypes and back.collect() == df.collect()
