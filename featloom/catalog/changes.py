@@ -143,16 +143,12 @@ UNION ALL SELECT 'unwrapped', unnest(['valid', 'valid', CASE WHEN o_orderkey % 1
   CASE WHEN o_orderkey % 22 = 0 THEN 'valid' END, CASE WHEN o_orderkey % 17 = 0 THEN 'rejected' END]) FROM orders)
 WHERE kind IS NOT NULL GROUP BY 1, 2""")
 def cdc_rejects(t: Tables) -> DataFrame:
-    """What could be read and what could not, together all messages."""
+    """What could be read and what could not, together all messages; each message is parsed once."""
     parts = []
     for form, sent in (("envelope", messages(t.raw("orders"))), ("unwrapped", unwrapped_messages(t.raw("orders")))):
-        for kind, of in (("valid", C.parse), ("rejected", C.rejects)):
-            parts.append(of(sent, ROW, ["order_id"], form == "unwrapped")
-                         .select(F.lit(form).alias("form"), F.lit(kind).alias("kind")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("form", "kind").agg(F.count(F.lit(1)).alias("messages"))
+        judged = C.read(sent, ROW, ["order_id"], form == "unwrapped")
+        parts.append(judged.select(F.lit(form).alias("form"), F.when(F.col("is_readable"), "valid").otherwise("rejected").alias("kind")))
+    return parts[0].unionByName(parts[1]).groupBy("form", "kind").agg(F.count(F.lit(1)).alias("messages"))
 
 
 # star schema -----------------------------------------------------------------

@@ -126,3 +126,10 @@ def test_changes_are_parsed_once(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     plan = catalog.cdc_apply(t)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "from_json" not in plan
+
+
+def test_rejects_are_counted_with_what_is_valid(spark):
+    """The orders are read and parsed once for each form of the messages."""
+    from featloom import catalog
+    plan = catalog.QUERIES["cdc_rejects"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("inline(") == 2
