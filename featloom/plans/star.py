@@ -9,6 +9,7 @@ from featloom.functions.values import decoded_text
 from featloom.operators.intervals import SLICE_SECONDS, with_next
 from featloom.operators.keys import dense_keys, extend_dimension, lookup, unknown
 from featloom.operators.latest import latest_by_key
+from featloom.session import written
 
 # Retention of the fact tables, in days.
 FEATURE_VALUE_DAYS = 90
@@ -53,13 +54,20 @@ def validity_intervals(values: DataFrame, entity: str = "entity_id", feature: st
     return with_next(values, [feature, entity], valid_from, "valid_to", tiebreak, slice_seconds)
 
 
+def _sized(dimension: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a dimension, written so that its size is known: one of few members is broadcast, and the facts of
+    a member are not brought together in one task."""
+    return written(dimension.select(*columns), "dimension")
+
+
 def load_feature_values(tall: DataFrame, features: DataFrame, as_of: Instant = None,
                         slice_seconds: int = SLICE_SECONDS) -> tuple[DataFrame, DataFrame]:
     """The feature-value fact (key lookup, typed value, validity interval), and the rows of unknown features.
 
     `tall`: entity_id, feature_id, value, valid_from; `features`: feature_id, feature_key, data_type.
     """
-    keyed = tall.join(features.select("feature_id", "feature_key", "data_type"), "feature_id")
+    features = _sized(features, "feature_id", "feature_key", "data_type")
+    keyed = tall.join(features, "feature_id")
     typed = typed_values(keyed).select(
         "feature_key", "entity_id", "value_numeric", "value_text", "value_timestamp",
         "value_boolean", "valid_from")
@@ -70,8 +78,9 @@ def load_feature_values(tall: DataFrame, features: DataFrame, as_of: Instant = N
 
 def load_model_metrics(metrics: DataFrame, models: DataFrame, experiments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The model-metric fact (model key required, experiment key where there is one), and the rows of unknown models."""
+    models = _sized(models, "model_id", "model_key")
     with_model = lookup(metrics, models, "model_id", "model_key")
-    facts = with_model.join(experiments.select("experiment_id", "experiment_key"),
+    facts = with_model.join(_sized(experiments, "experiment_id", "experiment_key"),
                             "experiment_id", "left").drop("experiment_id")
     return facts, unknown(metrics, models, "model_id")
 
@@ -79,5 +88,6 @@ def load_model_metrics(metrics: DataFrame, models: DataFrame, experiments: DataF
 def load_predictions(predictions: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The prediction fact (model key, value, label, probability, latency in whole milliseconds), and the
     rows of unknown models."""
+    models = _sized(models, "model_id", "model_key")
     keyed = lookup(predictions, models, "model_id", "model_key")
     return keyed.withColumn("latency_ms", F.round("latency_ms").cast("int")), unknown(predictions, models, "model_id")
