@@ -137,7 +137,7 @@ def test_rejects_are_counted_with_what_is_valid(spark):
 
 def test_facts_of_a_model_are_not_one_task(spark):
     """A dimension that a plan computes is looked up without dealing the facts by its few keys."""
-    facts = spark.range(100).selectExpr("'m' || id % 2 AS model_id", "cast(id as double) AS latency_ms")
+    facts = spark.range(1_000_000).selectExpr("'m' || id % 2 AS model_id", "cast(id as double) AS latency_ms")
     models = star.load_dimension(facts.select("model_id").distinct(), "model_id", "model_key", "2024-01-01 00:00:00")
     for frame in star.load_predictions(facts, models):
         plan = frame._jdf.queryExecution().sparkPlan().toString()
