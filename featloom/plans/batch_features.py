@@ -73,12 +73,12 @@ def product_features(products: DataFrame, purchase_items: DataFrame, purchases:
     """
     recent = _recent_or_undated(purchases, "created_at", as_of, lookback_days)
     dates = purchases.select("purchase_id", "created_at")
-    # only recent (or undated) purchases meet the items: the filter reaches their scan
-    sold = purchase_items.join(dates.filter(recent), "purchase_id")
-    if not keep_inactive:
-        # items of no known purchase count like undated ones
-        orphans = purchase_items.join(dates.select("purchase_id"), "purchase_id", "left_anti")
-        sold = sold.unionByName(orphans.withColumn("created_at", F.lit(None).cast(dates.schema["created_at"].dataType)))
+    if keep_inactive:
+        # only recent (or undated) purchases meet the items: the filter reaches their scan
+        sold = purchase_items.join(dates.filter(recent), "purchase_id")
+    else:
+        # items of no known purchase count like undated ones; one join finds both, so a task sorts its items once
+        sold = purchase_items.join(dates, "purchase_id", "left").filter(recent)
     sales = sold.groupBy("product_id").agg(
         F.count("purchase_id").alias("_n"), F.sum("quantity").alias("_quantity"),
         F.max("created_at").alias("_last"), F.count(F.lit(1)).alias("_kept"))

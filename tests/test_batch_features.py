@@ -62,6 +62,12 @@ def test_products(shop, rows):
     assert got["desk"] == (6, 12, 6 * 190.0, 1, 31)
 
 
+def test_items_meet_their_purchases_in_one_join(shop):
+    plan = B.product_features(shop["products"], shop["purchase_items"], shop["purchases"], NOW)._jdf.queryExecution().optimizedPlan().toString()
+    on_purchases = [line for line in plan.splitlines() if "Join" in line and "purchase_id" in line]
+    assert len(on_purchases) == 1, plan
+
+
 def test_pairs(shop, rows):
     got = rows(B.customer_product_features(
         shop["customers"], shop["products"].dropDuplicates(["product_id"]), shop["purchases"],
