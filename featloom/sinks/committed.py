@@ -13,16 +13,21 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamArrowWriter, WriterCommitMessage
 from pyspark.sql.streaming import StreamingQuery
 
 NAME = "featloom_committed"
 
+# Spark's Python workers get the sink by value, so it runs where the package is not installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _store(path: str):
     """(file system, path in it)"""

@@ -1,7 +1,12 @@
 """Streams of many micro-batches: replayed tables, watermarks, keyed states, the committing sink."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
 from featloom.catalog import streams as C
@@ -69,6 +74,13 @@ def test_late_rows_leave_the_windows_only(spark):
     assert 0 < every - kept < late
 
 
+def test_committed_sink_runs_where_the_package_is_not_installed(tmp_path):
+    there = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import sys; from pyspark import cloudpickle; print(cloudpickle.load(sys.stdin.buffer).name())"
+    ran = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(committed.CommittedSink), cwd=tmp_path, env=there, capture_output=True)
+    assert ran.stdout.decode().strip() == committed.NAME, ran.stderr.decode()
+
+
 def test_committed_sink_writes_once(spark):
     """A commit that fails after its files are written: the batch is repeated, its rows are there once."""
     path, checkpoint, slices = scratch_dir(spark, "sink"), scratch_dir(spark, "ck"), scratch_dir(spark, "slices")
