@@ -9,6 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 QUERIES = [
     "cdc_state",
+    "cdc_tombstones",
 ]
 
 
