@@ -10,6 +10,7 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES = [
     "cdc_state",
     "cdc_tombstones",
+    "cdc_unwrapped",
 ]
 
 
