@@ -11,6 +11,7 @@ QUERIES = [
     "cdc_state",
     "cdc_tombstones",
     "cdc_unwrapped",
+    "golden_set",
 ]
 
 
