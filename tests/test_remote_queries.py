@@ -12,6 +12,7 @@ QUERIES = [
     "cdc_tombstones",
     "cdc_unwrapped",
     "golden_set",
+    "keyed_offline_upsert",
 ]
 
 
