@@ -13,6 +13,7 @@ QUERIES = [
     "cdc_unwrapped",
     "golden_set",
     "keyed_offline_upsert",
+    "keyed_online_lookup",
 ]
 
 
