@@ -14,6 +14,7 @@ QUERIES = [
     "golden_set",
     "keyed_offline_upsert",
     "keyed_online_lookup",
+    "keyed_online_scan",
 ]
 
 
