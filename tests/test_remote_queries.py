@@ -15,6 +15,7 @@ QUERIES = [
     "keyed_offline_upsert",
     "keyed_online_lookup",
     "keyed_online_scan",
+    "materialize_both",
 ]
 
 
