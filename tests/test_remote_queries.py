@@ -16,6 +16,7 @@ QUERIES = [
     "keyed_online_lookup",
     "keyed_online_scan",
     "materialize_both",
+    "offline_upsert",
 ]
 
 
