@@ -17,6 +17,7 @@ QUERIES = [
     "keyed_online_scan",
     "materialize_both",
     "offline_upsert",
+    "profile_batches",
 ]
 
 
