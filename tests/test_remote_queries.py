@@ -18,6 +18,7 @@ QUERIES = [
     "materialize_both",
     "offline_upsert",
     "profile_batches",
+    "registry_save",
 ]
 
 
