@@ -19,6 +19,7 @@ QUERIES = [
     "offline_upsert",
     "profile_batches",
     "registry_save",
+    "replay_counts",
 ]
 
 
