@@ -20,6 +20,7 @@ QUERIES = [
     "profile_batches",
     "registry_save",
     "replay_counts",
+    "replay_over_time",
 ]
 
 
