@@ -21,6 +21,7 @@ QUERIES = [
     "registry_save",
     "replay_counts",
     "replay_over_time",
+    "retention_partitions",
 ]
 
 
