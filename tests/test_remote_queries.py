@@ -22,6 +22,7 @@ QUERIES = [
     "replay_counts",
     "replay_over_time",
     "retention_partitions",
+    "rolling_customer_features",
 ]
 
 
