@@ -23,6 +23,7 @@ QUERIES = [
     "replay_over_time",
     "retention_partitions",
     "rolling_customer_features",
+    "stream_archive",
 ]
 
 
