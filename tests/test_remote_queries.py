@@ -24,6 +24,7 @@ QUERIES = [
     "retention_partitions",
     "rolling_customer_features",
     "stream_archive",
+    "stream_cdc_apply",
 ]
 
 
