@@ -25,6 +25,7 @@ QUERIES = [
     "rolling_customer_features",
     "stream_archive",
     "stream_cdc_apply",
+    "stream_dead_letter",
 ]
 
 
