@@ -26,6 +26,7 @@ QUERIES = [
     "stream_archive",
     "stream_cdc_apply",
     "stream_dead_letter",
+    "stream_documents",
 ]
 
 
