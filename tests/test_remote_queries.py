@@ -27,6 +27,7 @@ QUERIES = [
     "stream_cdc_apply",
     "stream_dead_letter",
     "stream_documents",
+    "stream_events_by_app",
 ]
 
 
