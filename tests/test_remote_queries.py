@@ -28,6 +28,7 @@ QUERIES = [
     "stream_dead_letter",
     "stream_documents",
     "stream_events_by_app",
+    "stream_events_by_type",
 ]
 
 
