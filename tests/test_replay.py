@@ -40,6 +40,21 @@ def test_rows_without_a_slice_come_first(spark):
     assert seen == [1, 3, 2]
 
 
+def test_a_large_slice_is_written_by_several_tasks(spark):
+    """A batch takes the whole of it, and nothing of the next slice."""
+    path, seen, size = scratch_dir(spark, "slices"), [], "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "64k")
+    try:
+        slices = replay.prepare(spark.range(0, 200_000, 1, 8), F.when(F.col("id") % 100 == 0, 2).when(F.col("id") < 7, 0).otherwise(1), path)
+    finally:
+        spark.conf.unset(size)
+    files = spark.read.parquet(path).where("replay_slice = 1").select(F.input_file_name()).distinct().count()
+    assert slices == 3 and files > 1
+    out.start(replay.stream(spark, path), lambda b, i: seen.append([tuple(r) for r in b.groupBy("replay_slice").count().collect()]),
+              scratch_dir(spark, "ck"), "append", available_now=True).awaitTermination()
+    assert seen == [[(0, 6)], [(1, 197_994)], [(2, 2000)]]
+
+
 def test_a_stopped_stream_goes_on_behind_its_last_slice(spark):
     path, checkpoint, table = scratch_dir(spark, "slices"), scratch_dir(spark, "ck"), None
     replay.prepare(spark.range(60).selectExpr("id", "id % 7 AS k"), F.col("id") / 10, path)
