@@ -76,10 +76,18 @@ def shard_of(column: str | Column, shards: int) -> Column:
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (an invertible mixer)."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD1B54A32D192ED03)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xD1B54A32D192ED03)
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Places where a value differs from the one before it."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.nonzero(new)[0]
 
 
 def bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -8,10 +8,7 @@ import numpy as np
 def _words(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one number, zeros after the end."""
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    out = np.zeros(len(text), np.uint64)
-    for j in range(8):
-        out = (out << np.uint64(8)) | padded[j:j + len(text)]
-    return out
+    return np.ndarray(len(text), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +42,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             key = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         own = rank[here]
         if h > 0 or (key < 8).any():
-            by = np.argsort(own * (n + 9) + key, kind="stable")
+            by = np.argsort(own * (n + 9) + key)
             here, key, own = here[by], key[by], own[by]
             order[open_] = here
             new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1])))
@@ -82,19 +79,18 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     length = np.zeros(n, np.int64)
     todo = np.nonzero(own)[0]
     words = _words(text)
-    a, b, done = todo, before[todo], np.zeros(len(todo), np.int64)
+    a, b, done, last = todo, before[todo], np.zeros(len(todo), np.int64), np.zeros(len(todo), np.uint64)
     alive = np.arange(len(todo))
     while len(alive):
         x, y = a[alive] + done[alive], b[alive] + done[alive]
         inside = np.maximum(x, y) < n
         differ = words[np.minimum(x, n - 1)] ^ words[np.minimum(y, n - 1)]
         same = inside & (differ == 0)
-        ended = alive[~same]
-        # equal leading bytes of the words that differ, but not past the end
-        lead = _leading_bytes(differ[~same]) * inside[~same]
-        done[ended] += lead
-        done[alive[same]] += 8
+        # the words that differ; past the end no byte is equal
+        last[alive[~same]] = np.where(inside, differ, np.uint64((1 << 64) - 1))[~same]
         alive = alive[same]
+        done[alive] += 8
+    done += _leading_bytes(last)
     length[todo] = np.minimum(done, n - np.maximum(a, b))
     base = np.maximum.accumulate(np.where(own, at, 0))
     derived = length[base] - (at - base)
@@ -116,8 +112,10 @@ def window_groups(text: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.
     lcp = common_prefixes(text, order, rank)
     group_of_rank = np.cumsum(lcp < width)
     raw = group_of_rank[rank[starts]]
-    distinct, first, group = np.unique(raw, return_index=True, return_inverse=True)
-    return group, starts[first]
+    at = np.full(len(text) + 1, -1, np.int64)
+    at[raw] = starts
+    there = at >= 0
+    return (np.cumsum(there) - 1)[raw], at[there]
 
 
 def merge(known: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -95,3 +95,34 @@ def test_least_ids_across_shards():
     for shard in (10**6, 50, 7):
         got = P.least_ids(data, ids, 6, shard)
         assert [g.tolist() for g in got] == [[first[d[k:k + 6]] for k in range(len(d) - 5)] for d in data]
+
+
+def test_ranges_of_a_bucket_are_compared_alone(monkeypatch):
+    """Equal windows share a range, so suffix arrays stay small and nothing is merged; strings of several shards are one."""
+    r, width, rows, sizes = random.Random(4), 8, [], []
+    bases = [bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(90)) for _ in range(40)]
+    cuts = [(i % 40, r.randrange(60), r.randint(width, 30)) for i in range(300)]
+    passages, place = [bases[b][x:x + n] for b, x, n in cuts], [1000 * b for b, _, _ in cuts]
+    for _ in range(6):
+        own = sorted(r.sample(range(300), 120), key=lambda i: (place[i], i))
+        rows.append(([passages[i] for i in own], np.array([r.randrange(10_000) for _ in own]), np.array([place[i] for i in own], np.uint16)))
+    first = {}
+    for data, ids, _ in rows:
+        for d, i in zip(data, ids.tolist()):
+            for k in range(len(d) - width + 1):
+                first[d[k:k + width]] = min(i, first.get(d[k:k + width], i))
+    groups = P.window_groups
+    monkeypatch.setattr(P, "window_groups", lambda text, *a: (sizes.append(len(text)), groups(text, *a))[1])
+    monkeypatch.setattr(P, "merge", None)
+    got = P._least_of_bucket(rows, width, 10**6, size=1000)
+    assert [g.tolist() for g in got] == [[first[d[k:k + width]] for d in data for k in range(len(d) - width + 1)] for data, _, _ in rows]
+    assert len(sizes) > 5
+
+
+def test_many_documents_of_a_shard_are_scanned_in_turn(docs, monkeypatch):
+    """A group's documents are told apart by few bits; more of them make another group."""
+    monkeypatch.setattr(P, "GROUP_DOCS", 3)
+    texts = [b"x" * 60] * 4 + [b"", b"y"] + [b"x" * 60] * 2
+    assert [len(g) for _, g in P._groups(texts)] == [3, 3, 2]
+    keys, counts = P._shard_grams(texts, 50)
+    assert counts.tolist() == [6] and len(P._merged([P.Marks(P.Windows(g, 50)).keys for _, g in P._groups(texts)])) == len(keys)
