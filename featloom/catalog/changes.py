@@ -28,7 +28,8 @@ def _told(orders: DataFrame, parts: list, apart_ms: int) -> DataFrame:
 
     Record times are `apart_ms` milliseconds apart.
     """
-    told = F.array(*[F.struct(value.alias("value"), F.lit(i).alias("place"), there.alias("there"))
+    # texts are made of messages that are there, and of no others
+    told = F.array(*[F.struct(F.when(there, value).alias("value"), F.lit(i).alias("place"), there.alias("there"))
                      for i, (there, value) in reversed(list(enumerate(parts)))])
     key = F.concat(F.lit('{"schema":{"type":"struct"},"payload":{"order_id":'), F.col("o_orderkey"), F.lit("}}"))
     # a topic has partitions, whatever the number of files of the table

@@ -153,14 +153,18 @@ def replay_archive(t: Tables) -> DataFrame:
     return catalog_events.without_zone(committed.read(t.spark, f"{base}/archive", rows.schema), "event_timestamp")
 
 
+def log(t: Tables) -> DataFrame:
+    """The change messages with the slice `at` that each arrives in; each is made once, however often it is sent."""
+    arrival = F.pmod(F.xxhash64("offset"), F.lit(6))
+    times = F.when(F.col("offset") % 5 == 0, F.array(arrival, arrival + 2)).otherwise(F.array(arrival))
+    return catalog_changes.messages(t.raw("orders")).withColumn("at", F.explode(times))
+
+
 @query(catalog_changes.SQL_APPLIED)
 def cdc_state(t: Tables) -> DataFrame:
     """Changes over several micro-batches, in no order and every fifth of them twice, kept as a keyed state."""
     base = scratch_dir(t.spark, "state")
-    sent = catalog_changes.messages(t.raw("orders"))
-    again = sent.where(F.col("offset") % 5 == 0)
-    arrival = F.pmod(F.xxhash64("offset"), F.lit(6))
-    replay.prepare(sent.withColumn("at", arrival).unionByName(again.withColumn("at", arrival + 2)), F.col("at"), f"{base}/log")
+    replay.prepare(log(t), F.col("at"), f"{base}/log")
     table = change_stream.state_table(t.spark, f"{base}/table", catalog_changes.ROW, ["order_id"], catalog_changes.base_table(t))
     messages = replay.stream(t.spark, f"{base}/log")
     change_stream.start_state(messages, catalog_changes.ROW, table, f"{base}/checkpoint", compact_every=4,

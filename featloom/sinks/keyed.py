@@ -10,8 +10,8 @@ Bloom filters on the keys.
 * A lookup reads the buckets of its keys, of these the folders whose key range holds one, and hands few keys down
   to the scan, where column statistics and Bloom filters skip row groups.
 * A scan of a leading value, or of keys with a common beginning, reads only folders that can hold them.
-* Of rows of one key the one with the greatest order columns counts, then the latest written. Buckets with a
-  single folder are read without merging.
+* Of rows of one key the one with the greatest order columns counts, then the latest written; columns that are told to be
+  `greatest` have the greatest value of all rows of the key. Buckets with a single folder are read without merging.
 * Compaction rewrites the buckets that have many folders, and no others.
 * Leading values below a bound leave by their log lines alone; rows of the bound itself are rewritten.
 
@@ -31,9 +31,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from featloom.operators.latest import latest_by_key, top_n_by_key
+from featloom.operators.latest import top_n_by_key
 
 #: Keys that a lookup hands down to the scan at most; with more, buckets and key ranges alone prune.
 PUSHED = 1000
@@ -61,6 +61,7 @@ class Version:
     schema: str
     batches: dict[str, int]
     folders: tuple[Folder, ...]
+    greatest: tuple[str, ...] = ()
 
 
 class KeyedTable:
@@ -75,12 +76,12 @@ class KeyedTable:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str], buckets: int = 16,
-               order: Sequence[str] = (), leading: str | None = None) -> KeyedTable:
+               order: Sequence[str] = (), leading: str | None = None, greatest: Sequence[str] = ()) -> KeyedTable:
         """A new, empty table. `leading` names a key column of few values, `buckets` how many files hold each of them."""
-        if leading is not None and leading not in keys or not set(keys) | set(order) <= set(schema.names) or leading in keys and len(keys) < 2:
+        if leading is not None and leading not in keys or not {*keys, *order, *greatest} <= set(schema.names) or set(greatest) & set(keys) or leading in keys and len(keys) < 2:
             raise ValueError(f"keys {keys}, order {order} and leading column {leading} do not fit {schema.names}")
         table = cls(spark, path)
-        table._commit(Version(0, tuple(keys), tuple(order), leading, buckets, schema.json(), {}, ()))
+        table._commit(Version(0, tuple(keys), tuple(order), leading, buckets, schema.json(), {}, (), tuple(greatest)))
         return table
 
     def versions(self) -> list[int]:
@@ -99,7 +100,7 @@ class KeyedTable:
             told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        lists = {k: tuple(told[k]) for k in ("keys", "order")}
+        lists = {k: tuple(told[k]) for k in ("keys", "order", "greatest") if k in told}
         return Version(**told | lists | {"folders": tuple(Folder(**f) for f in told["folders"])})
 
     def holds(self, job: str, batch: int) -> bool:
@@ -143,6 +144,13 @@ class KeyedTable:
         """The key column whose range a folder tells."""
         return next(k for k in v.keys if k != v.leading)
 
+    @staticmethod
+    def _first(rows: DataFrame, v: Version, order: Sequence[Column]) -> DataFrame:
+        """The first row of each key, with the greatest values of all of them."""
+        # of the same order, so that one sort does for both
+        every = Window.partitionBy(*v.keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return top_n_by_key(rows.withColumns({c: F.max(c).over(every) for c in v.greatest}), v.keys, order, 1)
+
     def _write_folders(self, rows: DataFrame, v: Version, number: int, whole: bool) -> list[Folder]:
         """Rows (one per key, with `_v` and `_gone`) as files of a new write, one for each bucket."""
         folder = f"{self.path}/data/{number:08d}-{uuid.uuid4().hex[:12]}"
@@ -165,11 +173,12 @@ class KeyedTable:
         return [Folder(f"{folder}/part={r['part']}/bucket={r['bucket']}", _unhex(r["part"]) if v.leading else None, r["bucket"],
                        r["rows"], r["low"], r["high"], whole) for r in told]
 
-    def write(self, rows: DataFrame, gone: DataFrame | None = None, job: str | None = None, batch: int | None = None) -> int:
+    def write(self, rows: DataFrame, gone: DataFrame | None = None, job: str | None = None, batch: int | None = None,
+              reduced: bool = False) -> int:
         """Lay `rows` over the table, and take away the keys of `gone` (and their order columns); gives the version.
 
         Of rows of one key the one with the greatest order columns counts, ties by the text of the whole row. A `batch` of a
-        `job` that was written already is left out.
+        `job` that was written already is left out. Rows that are `reduced` to one per key already are not compared again.
         """
         v = self.version()
         if job is not None and self.holds(job, batch):
@@ -183,8 +192,8 @@ class KeyedTable:
                 (F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema],
                 F.lit(True).alias("_gone")))
         newest = [*(F.col(c).desc_nulls_last() for c in v.order), F.col("_gone").desc(), F.to_json(F.struct(*schema.names)).desc()]
-        reduced = top_n_by_key(new, v.keys, newest, 1).withColumn("_v", F.lit(number).cast("bigint"))
-        folders = self._write_folders(reduced, v, number, whole=False)
+        new = (new if reduced else self._first(new, v, newest)).withColumn("_v", F.lit(number).cast("bigint"))
+        folders = self._write_folders(new, v, number, whole=False)
         batches = v.batches | ({job: batch} if job is not None else {})
         self._commit(replace(v, number=number, batches=batches, folders=v.folders + tuple(folders)))
         return number
@@ -267,7 +276,7 @@ class KeyedTable:
             lone, many = lone.where(where), many.where(where)
         if all(len(g) == 1 for g in groups):
             return lone
-        newest = latest_by_key(many, v.keys, [*v.order, "_v"])
+        newest = self._first(many, v, [F.col(c).desc() for c in (*v.order, "_v")])
         return lone.unionByName(newest) if any(len(g) == 1 for g in groups) else newest
 
     def _shown(self, v: Version, rows: DataFrame) -> DataFrame:

@@ -44,14 +44,18 @@ def upsert_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "update
 
 
 def keyed_stream(df: DataFrame, table: KeyedTable, job: str, checkpoint: str, mode: str = "update",
-                 compact_every: int | None = None, **trigger) -> StreamingQuery:
+                 compact_every: int | None = None, reduce: Callable[[DataFrame], DataFrame] | None = None, **trigger) -> StreamingQuery:
     """A stream's rows laid over a keyed table; a batch that is repeated changes nothing.
 
-    Every so many batches the buckets with many folders are rewritten.
+    Every so many batches the buckets with many folders are rewritten. `reduce` makes one row per key of the rows of a batch;
+    such a stream has no state but the table.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         if table.holds(job, batch_id):
-            batch.write.format("noop").mode("overwrite").save()  # the state of a repeated batch has to be written all the same
+            if not reduce:
+                batch.write.format("noop").mode("overwrite").save()  # the state of a repeated batch has to be written all the same
+        elif reduce:
+            table.write(reduce(batch), job=job, batch=batch_id, reduced=True)
         else:
             table.write(batch, job=job, batch=batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FIRST_MILLIS = 946_684_800_000  # the time of the first slice's file; later ones follow second by second
+#: Bytes of a row group, about: a file of several is read by several tasks.
+ROW_GROUP = 8 << 20
 
 
 def prepare(df: DataFrame, slice_number: Column, path: str) -> int:
@@ -18,7 +20,7 @@ def prepare(df: DataFrame, slice_number: Column, path: str) -> int:
     spark = df.sparkSession
     numbered = df.withColumn("replay_slice", F.coalesce(slice_number.cast("bigint"), F.lit(-1)))
     # partitions of the advisory size, so that no task holds a large slice
-    numbered.hint("rebalance", "replay_slice").write.partitionBy("replay_slice").parquet(path)
+    numbered.hint("rebalance", "replay_slice").write.partitionBy("replay_slice").option("parquet.block.size", ROW_GROUP).parquet(path)
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
     fs = hadoop.Path(path).getFileSystem(conf)
     slices = _slices(spark, path)

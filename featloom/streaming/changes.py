@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from featloom.operators.latest import latest_by_key
+from featloom.operators.latest import latest_by_key, top_n_by_key
 from featloom.plans import changes as C
 from featloom.sinks import tables as out
 from featloom.sinks.keyed import KeyedTable
@@ -41,31 +41,43 @@ STATE = T.StructType([T.StructField("ts_ms", T.LongType()), T.StructField("offse
 
 def state_table(spark: SparkSession, path: str, row: T.StructType, keys: Sequence[str], base: DataFrame | None = None,
                 buckets: int = 16) -> KeyedTable:
-    """A keyed table for `start_state`, which holds the rows of `base` at first."""
-    table = KeyedTable.create(spark, path, T.StructType(row.fields + STATE.fields), keys, buckets, ("ts_ms", "offset"))
+    """A keyed table for `start_state`, which holds the rows of `base` at first.
+
+    The table is the only state: of the changes of a key the latest one counts, whole rows decide what time and place leave
+    open, and the last place seen is the greatest of all.
+    """
+    order = ("ts_ms", "offset", "op", *(c for c in row.names if c not in keys))
+    table = KeyedTable.create(spark, path, T.StructType(row.fields + STATE.fields), keys, buckets, order, greatest=("seen",))
     if base is not None:
-        table.write(base.select(*row.names, *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE]))
+        rows = base.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in row.fields])
+        rows = top_n_by_key(rows, keys, [F.to_json(F.struct(*row.names)).desc()], 1)
+        table.write(rows.select(*row.names, *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE]), reduced=True)
     return table
 
 
 def row_deltas(messages: DataFrame, row: T.StructType, keys: Sequence[str], unwrapped: bool = False) -> DataFrame:
-    """On a stream, in update mode: the latest change of every key that a batch names, and the last place seen.
+    """Of a batch of messages: the latest change of every key that it names, and the last place seen in it.
 
-    The state is one change for each key. Messages may come late or more than once: the latest change of all
-    that were seen counts.
+    A change has an operation, empty if the message tells none, so that it comes after a row that no message changed.
     """
     changes = C.flat(C.parse(messages, row, keys, unwrapped), row)
     rest = [c for c in row.names if c not in keys]
-    newest = F.max(F.struct("ts_ms", "offset", "op", *rest)).alias("_c")
+    newest = F.max(F.struct("ts_ms", "offset", F.coalesce("op", F.lit("")).alias("op"), *rest)).alias("_c")
     return (changes.groupBy(*keys).agg(newest, F.max("offset").alias("seen"))
             .select(*[F.col(c) if c in keys else F.col(f"_c.{c}") for c in row.names], "_c.ts_ms", "_c.offset", "_c.op", "seen"))
 
 
 def start_state(messages: DataFrame, row: T.StructType, table: KeyedTable, checkpoint: str, unwrapped: bool = False,
                 job: str = "changes", compact_every: int | None = 8, **trigger) -> StreamingQuery:
-    """Changes kept as a keyed state: each batch writes the rows it changes, deletes as rows of operation `d`."""
-    deltas = row_deltas(messages, row, table.version().keys, unwrapped)
-    return out.keyed_stream(deltas, table, job, checkpoint, "update", compact_every, **trigger)
+    """Changes kept as a keyed state: each batch writes the latest change of each key it names, deletes as rows of operation `d`.
+
+    Messages may come late or more than once: the table keeps the latest change of all that were seen.
+    """
+    v = table.version()
+    if "seen" not in v.greatest:
+        raise ValueError(f"{table.path} was not made by state_table")
+    return out.keyed_stream(messages, table, job, checkpoint, "append", compact_every,
+                            reduce=lambda batch: row_deltas(batch, row, v.keys, unwrapped), **trigger)
 
 
 def state_rows(table: KeyedTable, row: T.StructType) -> DataFrame:

@@ -1,5 +1,7 @@
 """The keyed table against a dictionary, and which files its reads and writes touch."""
 
+import json
+import os
 import random
 
 import pytest
@@ -153,3 +155,36 @@ def test_expired_rows_leave_by_compaction(spark):
     assert sorted(int(x["entity_id"]) for x in table.scan("customer").collect()) == list(range(1, 20, 2))
     got = S.read_online_table(spark.createDataFrame([("1",), ("2",)], "entity_id string"), table, ["f"], "customer", "2024-01-03")
     assert sorted(map(tuple, got.collect())) == [("1", "1", []), ("2", None, ["f"])]
+
+
+def test_greatest_values(spark):
+    """A column that is told to be greatest has the greatest value of all rows of a key, of one write or of several."""
+    table = KeyedTable.create(spark, scratch_dir(spark, "greatest"), spark.createDataFrame([], "k int, at int, v string, seen int").schema,
+                              ["k"], 2, ["at"], greatest=["seen"])
+    table.write(spark.createDataFrame([(1, 5, "late", 1), (1, 2, "early", 8), (2, 1, "x", None), (None, 1, "n", 4)], "k int, at int, v string, seen int"))
+    want = {1: (5, "late", 8), 2: (1, "x", None), None: (1, "n", 4)}
+    read = lambda: {r["k"]: tuple(r)[1:] for r in table.scan().collect()}
+    assert read() == want
+    table.write(spark.createDataFrame([(1, 3, "older", 9), (2, 2, "y", 3), (None, 0, "m", None)], "k int, at int, v string, seen int"))
+    want = {1: (5, "late", 9), 2: (2, "y", 3), None: (1, "n", 4)}
+    assert read() == want
+    table.compact()
+    assert read() == want
+    with pytest.raises(ValueError):
+        KeyedTable.create(spark, scratch_dir(spark, "greatest"), table.scan().schema, ["k"], 2, greatest=["k"])
+
+
+def test_a_log_without_greatest_columns_is_read(spark):
+    table = KeyedTable.create(spark, scratch_dir(spark, "old"), spark.createDataFrame([], "k int, v string").schema, ["k"], 2)
+    table.write(spark.createDataFrame([(1, "a")], "k int, v string"))
+    entry = table._entry(table.version().number).removeprefix("file:")
+    with open(entry) as f:
+        told = json.load(f)
+    del told["greatest"]
+    os.remove(entry)
+    crc = f"{os.path.dirname(entry)}/.{os.path.basename(entry)}.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    with open(entry, "w") as f:
+        json.dump(told, f)
+    assert table.version().greatest == () and [tuple(r) for r in table.scan().collect()] == [(1, "a")]

@@ -171,3 +171,58 @@ def test_updates_of_few_keys_write_few_rows(spark):
         name = f.path.split("/data/")[1].split("-")[0]
         by_write[name] = by_write.get(name, 0) + f.rows
     assert sorted(by_write.values()) == [1, 200]
+
+
+def test_a_file_of_a_slice_is_read_by_several_tasks(spark, monkeypatch):
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(replay, "ROW_GROUP", 64 << 10)
+    path = scratch_dir(spark, "slices")
+    replay.prepare(spark.range(0, 200_000, 1, 1).withColumn("text", F.sha2(F.col("id").cast("string"), 256)), F.lit(0), path)
+    file = spark.read.parquet(path).select(F.input_file_name()).first()[0].removeprefix("file://")
+    assert pq.ParquetFile(file).num_row_groups > 4
+
+
+def _sent(spark, rows, slices, columns="slice int, key string, value string, topic string, offset bigint"):
+    df = spark.createDataFrame([(i, f'{{"id": {k}}}', v, "x.t", o) for i, k, v, o in rows], columns)
+    log = scratch_dir(spark, "log")
+    assert replay.prepare(df, F.col("slice"), log) == slices
+    return replay.stream(spark, log)
+
+
+@pytest.mark.parametrize("compact", [None, 2])
+def test_the_table_is_the_only_state(spark, compact):
+    """The last place seen of a key is the greatest of all batches, though an earlier message counts; the stream keeps no state beside it."""
+    stream = _sent(spark, [(0, 1, change(1, "a", 5, "c"), 9), (1, 1, change(1, "b", 10), 3), (2, 1, change(1, "c", 7), 4)], 3)
+    checkpoint, table = scratch_dir(spark, "ck"), change_stream.state_table(spark, scratch_dir(spark, "state"), ROW, ["id"], None, 2)
+    change_stream.start_state(stream, ROW, table, checkpoint, compact_every=compact, available_now=True).awaitTermination()
+    assert [tuple(r) for r in table.scan().select("id", "v", "ts_ms", "offset", "seen").collect()] == [(1, "b", 10, 3, 9)]
+    assert change_stream.position(table).first()["seen"] == 9
+    assert not os.path.exists(f"{checkpoint.removeprefix('file:')}/state")
+
+
+def test_ties_do_not_depend_on_the_batch(spark):
+    """Changes of one time without a place: whole rows decide, whichever comes first; a row that no message changed gives way."""
+    base = spark.createDataFrame([(1, "zz"), (1, "z"), (2, "zz"), (3, "9"), (3, "10")], ROW)
+    for first, second in (("a", "b"), ("b", "a")):
+        stream = _sent(spark, [(0, 1, f'{{"id": 1, "v": "{first}"}}', None), (1, 1, f'{{"id": 1, "v": "{second}"}}', None)], 2)
+        table = change_stream.state_table(spark, scratch_dir(spark, "state"), ROW, ["id"], base, 2)
+        change_stream.start_state(stream, ROW, table, scratch_dir(spark, "ck"), unwrapped=True, compact_every=None,
+                                  available_now=True).awaitTermination()
+        assert sorted(map(tuple, change_stream.state_rows(table, ROW).collect())) == [(1, "b"), (2, "zz"), (3, "9")]
+
+
+def test_another_table_is_refused(spark):
+    table = KeyedTable.create(spark, scratch_dir(spark, "t"), T.StructType(ROW.fields + change_stream.STATE.fields), ["id"], 2)
+    with pytest.raises(ValueError, match="state_table"):
+        change_stream.start_state(spark.readStream.format("rate").load(), ROW, table, scratch_dir(spark, "ck"))
+
+
+def test_cdc_messages_that_are_sent_twice(spark):
+    """The log has the rows that a union of all messages and of every fifth again would have."""
+    from featloom.catalog import base, changes as catalog_changes
+    t = base.Tables(spark, "/root/testdata/sf0.001")
+    sent = catalog_changes.messages(t.raw("orders"))
+    arrival = F.pmod(F.xxhash64("offset"), F.lit(6))
+    want = sent.withColumn("at", arrival).unionByName(sent.where("offset % 5 = 0").withColumn("at", arrival + 2))
+    got = C.log(t)
+    assert got.schema == want.schema and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
